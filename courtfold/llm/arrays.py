@@ -86,7 +86,5 @@ def windows_of(first: np.ndarray, width: int) -> np.ndarray:
 
 def covered(positions: np.ndarray, width: int, n: int) -> np.ndarray:
     """Which of n items lie in a window of `width` that starts at one of the positions."""
-    edges = np.zeros(n + 1, np.int32)
-    np.add.at(edges, positions, 1)
-    np.add.at(edges, np.minimum(positions + width, n), -1)
-    return np.cumsum(edges[:-1]) > 0
+    edges = np.bincount(positions, minlength=n + 1) - np.bincount(np.minimum(positions + width, n), minlength=n + 1)
+    return np.cumsum(edges[:n]) > 0

@@ -5,8 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import linededup, mixing
+from .linededup import line_dedup
+from .mixing import mix_sources
+from .pieces import PieceModel, encode_documents
+from .quality import quality_rules
 from .simhash import simhash_groups
 
+#: The public SentencePiece model file; only the driver reads it.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -16,8 +24,36 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(_read(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup(_read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "source", F.col("n_lines").cast("long").alias("n_lines"), F.col("n_dropped").cast("long").alias("n_dropped"),
+        F.sha2("kept_text", 256).alias("kept_sha256"),
+    )
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_documents(_read(spark, sf_dir, "documents"), PieceModel.load(PIECE_MODEL))
+
+
+def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    return mix_sources(docs, mixing.domain_of(), mixing.WEIGHTS, budget_share=mixing.SHARE, max_epochs=mixing.EPOCHS, seed=mixing.SEED)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
+    "op4_line_dedup": op4_line_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op6_sentencepiece": op6_sentencepiece,
+    "op8_mix_sources": op8_mix_sources,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_line_dedup": linededup.ORACLE,
+    "op8_mix_sources": mixing.ORACLE,
+}

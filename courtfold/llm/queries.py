@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from . import linededup, mixing
 from .chat import format_conversations, read_back
+from .licenses import license_scan
 from .linededup import line_dedup
 from .mixing import mix_sources
 from .pieces import PieceModel, encode_documents
 from .quality import quality_rules
 from .simhash import simhash_groups
+from .vectors import embedding_groups
 
 #: The public SentencePiece model file; only the driver reads it.
 PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -36,6 +38,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_back(format_conversations(chat_turns(_read(spark, sf_dir, "conversations"))))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_read(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = line_dedup(_read(spark, sf_dir, "documents"))
     return found.select(
@@ -57,13 +63,19 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(docs, mixing.domain_of(), mixing.WEIGHTS, budget_share=mixing.SHARE, max_epochs=mixing.EPOCHS, seed=mixing.SEED)
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_groups(_read(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_chat_format": op2_chat_format,
+    "op3_license_scan": op3_license_scan,
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
     "op8_mix_sources": op8_mix_sources,
+    "op9_embedding_dedup": op9_embedding_dedup,
 }
 
 ORACLES: dict[str, str] = {

@@ -13,6 +13,7 @@ from .mixing import mix_sources
 from .pieces import PieceModel, encode_documents
 from .quality import quality_rules
 from .simhash import simhash_groups
+from .substrings import substring_dedup
 from .vectors import embedding_groups
 
 #: The public SentencePiece model file; only the driver reads it.
@@ -58,6 +59,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_documents(_read(spark, sf_dir, "documents"), PieceModel.load(PIECE_MODEL))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(_read(spark, sf_dir, "documents"), keep_text=False).drop("kept_text")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
     return mix_sources(docs, mixing.domain_of(), mixing.WEIGHTS, budget_share=mixing.SHARE, max_epochs=mixing.EPOCHS, seed=mixing.SEED)
@@ -74,6 +79,7 @@ QUERIES = {
     "op4_line_dedup": op4_line_dedup,
     "op5_quality_rules": op5_quality_rules,
     "op6_sentencepiece": op6_sentencepiece,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_embedding_dedup": op9_embedding_dedup,
 }

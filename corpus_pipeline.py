@@ -1,10 +1,55 @@
-"""The corpus pipeline; its stages follow."""
-STAGES = []
+"""From raw documents to token ids: quality rules, line dedup, near-dedup, mixing, encoding."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from courtfold.llm import mixing
+from courtfold.llm.linededup import line_dedup
+from courtfold.llm.pieces import PieceModel, encode_documents
+from courtfold.llm.quality import quality_filter
+from courtfold.llm.queries import PIECE_MODEL
+from courtfold.llm.simhash import simhash_dedup
+from courtfold.llm.work import save
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the base rule and their language's perplexity band keep."""
+    return quality_filter(docs)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that are boilerplate of their source."""
+    return line_dedup(docs, kept_col="text").select(*[c for c in docs.columns if c != "n_chars"], F.length("text").cast("long").alias("n_chars")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash group."""
+    return simhash_dedup(docs)
+
+
+def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the token budgets of the domain, language and source tree take, each once at most."""
+    return mixing.mixed_documents(docs, mixing.domain_of(), mixing.WEIGHTS, budget_share=mixing.SHARE, max_epochs=1, seed=mixing.SEED)
+
+
+def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of every document."""
+    return encode_documents(docs, PieceModel.load(PIECE_MODEL))
+
+
+STAGES = [
+    ("quality rules", quality), ("line dedup", lines), ("SimHash near-dedup", near_duplicates), ("mixing", mixture), ("SentencePiece", encoding),
+]
+
+#: SQL can't express the perplexity model, SimHash components or the encoder; tests/llm holds brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Applies the stages to the documents of sf_dir, each to the written result of the one before."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = save(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -107,6 +107,16 @@ def mix_sources(
     return at_cut.unionByName(off_cut).select("doc_id", *LEVELS, "n_tokens", (F.coalesce("whole", F.lit(0)) + F.col("extra")).cast("long").alias("epochs"))
 
 
+def mixed_documents(docs: DataFrame, domain: Column, weights: dict[tuple, float], id_col: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs as often as mix_sources() uses them; rows of one id are all used as often as the most used of them."""
+    uses = save(
+        mix_sources(docs, domain, weights, id_col=id_col, **options).filter("epochs > 0")
+        .groupBy(F.col("doc_id").alias("_id")).agg(F.max("epochs").alias("_epochs")), "uses",
+    )
+    used = docs.join(uses, F.col(id_col).eqNullSafe(F.col("_id")))
+    return used.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "_epochs"))).drop("_id", "_epochs", "_epoch")
+
+
 #: The mixture of the registered query: sources dealt to three domains by number.
 DOMAINS = ("web", "books", "reference")
 WEIGHTS = {

@@ -16,8 +16,8 @@ from .arrays import BASE, BASE_INVERSE, SECOND, mix, powers
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_SURFACE = " ⁇ "
-LONG = 200
-CACHE = 400_000
+LONG = 40
+CACHE = 800_000
 NOTHING = np.float64(-np.inf)
 
 
@@ -98,8 +98,11 @@ class _Words:
         return mix(h + (ends - starts).astype(np.uint64) * SECOND)
 
 
-def viterbi(words: list[str], model: PieceModel) -> list[list[tuple[int, int, int]]]:
-    """(start, end, id or -1) of the best segmentation of each word; the words have one length.
+Spans = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def viterbi(words: list[str], model: PieceModel) -> Spans:
+    """Word, start, end and id (or -1) of the best pieces of each word, in order; the words have one length.
 
     At each end position all words try all starts at once; the maximum and its start are the backpointer. A character
     without a piece of its own costs the lowest score less a penalty. On equal scores the longest last piece wins.
@@ -117,17 +120,17 @@ def viterbi(words: list[str], model: PieceModel) -> list[list[tuple[int, int, in
         total = best[:, starts] + scores
         pick = total.argmax(axis=1)
         best[:, end], start_of[:, end], id_of[:, end] = total[rows, pick], starts[pick], ids[rows, pick]
-    out = []
-    for r in range(w.n):
-        spans, end = [], w.length
-        while end:
-            spans.append((int(start_of[r, end]), end, int(id_of[r, end])))
-            end = spans[-1][0]
-        out.append(spans[::-1])
-    return out
+    steps, ends = [], np.full(w.n, w.length)
+    while len(rows):
+        steps.append((rows, start_of[rows, ends], ends, id_of[rows, ends]))
+        ends = steps[-1][1]
+        rows, ends = rows[ends > 0], ends[ends > 0]
+    row, start, end, ids = (np.concatenate(x) for x in zip(*steps))
+    order = np.lexsort((start, row))
+    return row[order], start[order], end[order], ids[order]
 
 
-def merges(words: list[str], model: PieceModel) -> list[list[tuple[int, int, int]]]:
+def merges(words: list[str], model: PieceModel) -> Spans:
     """As viterbi(), for models whose scores are merge ranks: every word makes its best merge (the leftmost of equals) at each step."""
     w = _Words(words)
     n, length = w.n, w.length
@@ -159,14 +162,10 @@ def merges(words: list[str], model: PieceModel) -> list[list[tuple[int, int, int
     starts = np.flatnonzero(alive)
     r, s = starts // length, starts % length
     e = ends[r, s]
-    ids = model.probe(w.hashes(r, s, e))[0]
-    out: list[list] = [[] for _ in range(n)]
-    for row, span in zip(r.tolist(), zip(s.tolist(), e.tolist(), ids.tolist())):
-        out[row].append(span)
-    return out
+    return r, s, e, model.probe(w.hashes(r, s, e))[0]
 
 
-def _merge_long(word: str, model: PieceModel) -> list[tuple[int, int, int]]:
+def _merge_long(word: str, model: PieceModel) -> Spans:
     """merges() for one long word, with a heap."""
     w = _Words([word])
     n = len(word)
@@ -195,7 +194,7 @@ def _merge_long(word: str, model: PieceModel) -> list[tuple[int, int, int]]:
         push(before[s])
     s = np.array([i for i in range(n) if alive[i]])
     e = np.array([end[i] for i in s])
-    return list(zip(s.tolist(), e.tolist(), model.probe(w.hashes(0, s, e))[0].tolist()))
+    return np.zeros(len(s), np.int64), s, e, model.probe(w.hashes(0, s, e))[0]
 
 
 class Encoder:
@@ -204,10 +203,11 @@ class Encoder:
     def __init__(self, model: PieceModel):
         self.model, self.known = model, {}
 
-    def _ids(self, word: str, spans) -> list[int]:
+    def _ids(self, word: str, starts, ends, ids) -> bytes:
+        """int32 ids of a word's pieces; unknown characters become their bytes, or one unknown id a run."""
         out: list[int] = []
         lone = False
-        for s, e, i in spans:
+        for s, e, i in zip(starts.tolist(), ends.tolist(), ids.tolist()):
             if i >= 0:
                 out.append(i)
             elif self.model.byte_ids:
@@ -215,7 +215,7 @@ class Encoder:
             elif not lone:
                 out.append(self.model.unknown)
             lone = i < 0
-        return out
+        return np.array(out, np.int32).tobytes()
 
     def _parts(self, word: str) -> list[str]:
         """Cut where no piece holds both neighbours, so nothing can be joined across."""
@@ -226,25 +226,39 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         if len(self.known) + len(words) > CACHE:
             self.known.clear()
-        parts = {w: self._parts(w) for w in words}
+        merging = self.model.kind == "bpe"
         by_length: dict[int, list[str]] = {}
-        spans: dict[str, list] = {}
-        for part in {p for ps in parts.values() for p in ps}:
-            if self.model.kind == "bpe" and len(part) > LONG:
-                spans[part] = _merge_long(part, self.model)
+        for word in words:
+            if merging and len(word) > LONG:
+                self._learn_long(word)
             else:
-                by_length.setdefault(len(part), []).append(part)
-        segment = merges if self.model.kind == "bpe" else viterbi
+                by_length.setdefault(len(word), []).append(word)
         for length, group in by_length.items():
-            step = max(1, 200_000 // (length + 1) // (self.model.longest if segment is viterbi else 1))
+            step = max(1, 200_000 // (length + 1) // (1 if merging else self.model.longest))
             for k in range(0, len(group), step):
-                spans.update(zip(group[k : k + step], segment(group[k : k + step], self.model)))
-        for w, ps in parts.items():
-            joined, shift = [], 0
-            for p in ps:
-                joined += [(s + shift, e + shift, i) for s, e, i in spans[p]]
-                shift += len(p)
-            self.known[w] = np.array(self._ids(w, joined), np.int32).tobytes()
+                part = group[k : k + step]
+                self._keep(part, (merges if merging else viterbi)(part, self.model))
+
+    def _keep(self, words: list[str], spans: Spans) -> None:
+        row, starts, ends, ids = spans
+        bounds = np.searchsorted(row, np.arange(len(words) + 1))
+        odd = set(row[ids < 0].tolist())
+        plain, cuts = ids.astype(np.int32).tobytes(), (4 * bounds).tolist()
+        for k, word in enumerate(words):
+            if k in odd:
+                own = slice(bounds[k], bounds[k + 1])
+                self.known[word] = self._ids(word, starts[own], ends[own], ids[own])
+            else:
+                self.known[word] = plain[cuts[k] : cuts[k + 1]]
+
+    def _learn_long(self, word: str) -> None:
+        """Only parts of a long word can merge, so those are merged one by one; parts beyond LONG use a heap."""
+        spans, shift = [], 0
+        for part in self._parts(word):
+            _, starts, ends, ids = (merges([part], self.model) if len(part) <= LONG else _merge_long(part, self.model))
+            spans.append((starts + shift, ends + shift, ids))
+            shift += len(part)
+        self.known[word] = self._ids(word, *(np.concatenate(x) for x in zip(*spans)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """int32 ids of each text, as bytes."""

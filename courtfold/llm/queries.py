@@ -14,6 +14,7 @@ from .pieces import PieceModel, encode_documents
 from .quality import quality_rules
 from .simhash import simhash_groups
 from .substrings import substring_dedup
+from .suffixes import suffix_dedup
 from .vectors import embedding_groups
 
 #: The public SentencePiece model file; only the driver reads it.
@@ -72,6 +73,10 @@ def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_groups(_read(spark, sf_dir, "embeddings"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(_read(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_chat_format": op2_chat_format,
@@ -82,6 +87,7 @@ QUERIES = {
     "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_embedding_dedup": op9_embedding_dedup,
+    "op10_suffix_dedup": op10_suffix_dedup,
 }
 
 ORACLES: dict[str, str] = {

@@ -64,7 +64,7 @@ def test_merge_model_gives_the_library_ids_and_texts():
     assert [own.decode(x) for x in got] == [library.decode(x) for x in got]
     assert [own.decode(x) for x in got] == texts
     word = "▁internationalisation" * 4
-    assert _merge_long(word, own.model) == merges([word], own.model)[0]
+    assert all((a == b).all() for a, b in zip(_merge_long(word, own.model), merges([word], own.model)))
 
 
 @pytest.mark.parametrize("fallback", [True, False])

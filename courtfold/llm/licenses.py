@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 SHINGLE = 5
 #: A window has WINDOW shingles, so it overlaps the next by SHINGLE - 1 words and each shingle has one window.
 WINDOW = 4
-#: Odd multipliers of the hash functions come from this seed.
-SEED = 0x9E3779B97F4A7C15
 BROADCAST_KEYS = 5_000_000
 
 #: Notices by which the licenses ask to be named, and passages of their public texts.
@@ -45,11 +43,14 @@ def _shingle_hash(words: Column, at: Column) -> Column:
     return F.xxhash64(*[F.get(words, at + i) for i in range(SHINGLE)])
 
 
-def _band(shingle: Column, i: int) -> Column:
-    """Hash function i: a multiplication and a shift, each a bijection of 64-bit integers."""
-    odd = (SEED * (2 * i + 1) + 2 * i) % (1 << 64) | 1
-    low = F.xxhash64(shingle, F.lit(odd - (1 << 64) if odd >> 63 else odd))
-    return low
+def _turns(bands: int) -> Column:
+    """One rotation for each band, as rows: a single short expression then serves all of them."""
+    return F.explode(F.array(*[F.lit(64 * i // bands) for i in range(bands)])).alias("turn")
+
+
+def _band(shingle: str) -> Column:
+    """Hash function of the row's band: a rotation of the 64-bit shingle hash, so other bits of it decide the order."""
+    return F.expr(f"shiftleft({shingle}, turn) | shiftrightunsigned({shingle}, 64 - turn)")
 
 
 def _shingles(words: Column) -> Column:
@@ -81,7 +82,7 @@ def license_scan(
     keys = (
         library.select("template", "n", "t_words", F.explode(F.sequence(F.lit(0), F.col("n") - SHINGLE)).alias("offset"))
         .select("template", "n", "offset", _shingle_hash(F.col("t_words"), F.col("offset")).alias("h"))
-        .select("template", "n", "offset", F.explode(F.array(*[_band(F.col("h"), i) for i in range(bands)])).alias("key"))
+        .select("template", "n", "offset", "h", _turns(bands)).select("template", "n", "offset", _band("h").alias("key"))
     )
     if sum(len(t) for t in templates.values()) * bands <= BROADCAST_KEYS:  # more characters than shingles
         keys, library = F.broadcast(keys), F.broadcast(library)
@@ -92,9 +93,11 @@ def license_scan(
     )
     hashed = windows.select(
         "doc_id", "words", "at",
-        *[F.when(F.col("at") + i <= F.size("words") - SHINGLE, _shingle_hash(F.col("words"), F.col("at") + i)).alias(f"h{i}") for i in range(WINDOW)],
+        *[F.when(F.col("at") + i <= F.size("words") - SHINGLE, _shingle_hash(F.col("words"), F.col("at") + i)).alias(f"h{i}")  # null beyond the last, and least() passes over nulls
+        for i in range(WINDOW)],
     )
-    banded = hashed.select("doc_id", "words", "at", F.explode(F.array(*[F.least(*[_masked(f"h{k}", i) for k in range(WINDOW)]) for i in range(bands)])).alias("key"))
+    names = [f"h{i}" for i in range(WINDOW)]
+    banded = hashed.select("doc_id", "words", "at", *names, _turns(bands)).select("doc_id", "words", "at", F.least(*map(_band, names)).alias("key"))
     begin = F.greatest(F.col("at") - F.col("offset"), F.lit(0))
     hits = banded.join(keys, "key").select(
         "doc_id", "template", (F.col("at") - F.col("offset")).alias("aligned"), begin.alias("begin"),
@@ -115,8 +118,3 @@ def license_scan(
         .agg(F.max("best").alias("best"), F.count("*").alias("n_places"))
         .select("doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.minus_start")).alias("start_word"), "n_places")
     )
-
-
-def _masked(name: str, i: int) -> Column:
-    """Hash i of a shingle; null beyond the last shingle, which least() passes over."""
-    return F.when(F.col(name).isNotNull(), _band(F.col(name), i))

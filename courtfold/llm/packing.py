@@ -6,6 +6,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from .arrays import mix
 
 SHARD_BYTES = 16 << 20
 
@@ -75,3 +78,32 @@ def by_key(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, list[bytes
     keys, values = keys[order], values[order]
     cuts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1], [True]])) if len(keys) else np.zeros(1, int)
     return keys[cuts[:-1]], [values[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def bucketed(keys: np.ndarray, values: np.ndarray, bits: int) -> list[tuple[int, bytes, bytes]]:
+    """Keys with their values as a row for each of 2**bits ranges of hashed keys that has any."""
+    bucket = (mix(keys.view(np.uint64)) >> np.uint64(64 - bits)).astype(np.int64)
+    order = np.lexsort((keys, bucket))
+    cuts = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
+    keys, values = keys[order], values[order]
+    return [(b, keys[x:y].tobytes(), values[x:y].tobytes()) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if x < y]
+
+
+def gathered(rows: DataFrame, item: int, name: str) -> DataFrame:
+    """(bucket, keys, values) rows as one row for each key with all of its values, of `item` bytes each."""
+
+    def run(batches):
+        for _, part in whole_shards(batches, "bucket"):
+            keys = np.frombuffer(b"".join(part.column("keys").to_pylist()), np.int64)
+            values = np.frombuffer(b"".join(part.column("values").to_pylist()), f"V{item}")
+            key, packed = by_key(keys, values)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(packed, pa.binary())], ["key", name])
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, f"key long, {name} binary")
+
+
+BUCKETS = pa.schema([("bucket", pa.int32()), ("keys", pa.binary()), ("values", pa.binary())])
+
+
+def batch_of(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import SECOND, SECOND_INVERSE, covered, range_hashes, text_slices, windows_of, words_of
-from .packing import by_key, member, pack, repeated, shard_bits, shard_cuts, unpack, whole_shards
+from .packing import BUCKETS, batch_of, bucketed, gathered, member, pack, repeated, shard_bits, shard_cuts, unpack, whole_shards
 from .work import save
 
 WIDTH = 35
@@ -97,12 +97,10 @@ def _anchors(index: DataFrame, bits: int, shards: int) -> DataFrame:
                 hit = member(unpack(blocks, base), again)
                 keys.append(np.frombuffer(key, np.int64)[hit])
                 places.append(np.frombuffer(place, np.int32)[hit])
-            key, packed = by_key(np.concatenate(keys), np.concatenate(places))
-            if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(packed, pa.binary())], ["key", "places"])
+            yield batch_of(bucketed(np.concatenate(keys), np.concatenate(places), shards), BUCKETS)
 
-    found = index.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "key long, places binary")
-    return found.groupBy("key").agg(F.collect_list("places").alias("places"))
+    found = index.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "bucket int, keys binary, values binary")
+    return gathered(found, 4, "places")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -129,10 +127,6 @@ def _compressed(own: DataFrame) -> DataFrame:
     return own.mapInArrow(run, "doc_id long, key long, packed binary")
 
 
-def _places(lists: list[bytes] | None) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(lists or []), np.int32))
-
-
 def _apart(texts: DataFrame, keep_text: bool) -> DataFrame:
     """Results of texts without an anchor; texts with one go on."""
 
@@ -146,13 +140,16 @@ def _apart(texts: DataFrame, keep_text: bool) -> DataFrame:
                 going = [z if p is not None else None for z, p in zip(packed, places)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int64(), pa.string(), pa.string()))],
-                     part.column("key"), pa.array(going, pa.binary()), pa.array([None if p is None else b"".join(p) for p in places], pa.binary())],
+                     part.column("key"), pa.array(going, pa.binary()), part.column("places")],
                     ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "key", "packed", "places"],
                 )
 
     return texts.mapInArrow(run, RESULT + ", key long, packed binary, places binary")
 
 
+CANDIDATES = pa.schema([("shard", pa.int32()), ("hashes", pa.binary()), ("keys", pa.binary()), ("places", pa.binary())])
+
+
 def _extended(going: DataFrame, width: int, block: int, bits: int, shards: int) -> DataFrame:
     """(key, places) of the windows of `width` words that occur twice: every window whose own blocks are all anchors is verified.
 
@@ -162,7 +159,6 @@ def _extended(going: DataFrame, width: int, block: int, bits: int, shards: int)
 
     def run(batches):
         expand = zstandard.ZstdDecompressor().decompress
-        turn = 0
 
         def texts():
             for batch in batches:
@@ -187,9 +183,7 @@ def _extended(going: DataFrame, width: int, block: int, bits: int, shards: int)
             new = np.concatenate([[True], h[1:] != h[:-1]])
             last = np.concatenate([new[1:], [True]])
             single = new & last
-            settled_key, settled = by_key(key[~single], inside[~single])
-            out = [(-1 - (turn + i) % 64, None, k, p) for i, (k, p) in enumerate(zip(settled_key.tolist(), settled))]
-            turn += 1
+            out = [(-1 - bucket, None, k, p) for bucket, k, p in bucketed(key[~single], inside[~single], shards)]
             once, twice = h[single], h[new & ~last]
             cuts = np.searchsorted(once >> drop, np.arange((1 << shards) + 1, dtype=np.uint64))
             cuts2 = np.searchsorted(twice >> drop, np.arange((1 << shards) + 1, dtype=np.uint64))
@@ -200,32 +194,25 @@ def _extended(going: DataFrame, width: int, block: int, bits: int, shards: int)
                     # in order of texts, so that keys and places compress; the hashes of settled windows follow
                     o = np.lexsort((inside[a:b], key[a:b]))
                     body = np.concatenate([once[a:b][o], twice[c:d]])
-                    out.append((s, body.tobytes(), 0, key[a:b][o].tobytes() + inside[a:b][o].tobytes()))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x, t) for x, t in zip(zip(*out), (pa.int32(), pa.binary(), pa.int64(), pa.binary()))], ["shard", "hashes", "key", "places"]
-            )
+                    out.append((s, body.tobytes(), key[a:b][o].tobytes(), inside[a:b][o].tobytes()))
+            yield batch_of(out, CANDIDATES)
 
     def settle(batches):
         for shard, rows in whole_shards(batches):
+            keys, places = rows.column("keys").to_pylist(), rows.column("places").to_pylist()
             if shard < 0:
-                yield rows.select(["key", "places"])
+                yield batch_of([(-1 - shard, k, p) for k, p in zip(keys, places)], BUCKETS)
                 continue
             hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-            sizes = [len(x) // 12 for x in rows.column("places").to_pylist()]
-            doubled = [np.concatenate([h, h[n:]]) for h, n in zip(hashes, sizes)]
-            again = repeated(np.concatenate(doubled))
-            keys, places = [], []
-            for h, n, who in zip(hashes, sizes, rows.column("places").to_pylist()):
-                hit = member(h[:n], again)
-                keys.append(np.frombuffer(who, np.int64, n)[hit])
-                places.append(np.frombuffer(who, np.int32, n, 8 * n)[hit])
-            key, packed = by_key(np.concatenate(keys), np.concatenate(places))
-            if len(key):
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(packed, pa.binary())], ["key", "places"])
+            sizes = [len(p) // 4 for p in places]
+            again = repeated(np.concatenate([np.concatenate([h, h[n:]]) for h, n in zip(hashes, sizes)]))
+            hit = np.concatenate([member(h[:n], again) for h, n in zip(hashes, sizes)])
+            key, place = np.frombuffer(b"".join(keys), np.int64)[hit], np.frombuffer(b"".join(places), np.int32)[hit]
+            yield batch_of(bucketed(key, place, shards), BUCKETS)
 
-    candidates = going.select("key", "packed", "places").mapInArrow(run, "shard int, hashes binary, key long, places binary")
-    found = candidates.repartition("shard").sortWithinPartitions("shard").mapInArrow(settle, "key long, places binary")
-    return found.groupBy("key").agg(F.collect_list("places").alias("found"))
+    candidates = going.select("key", "packed", "places").mapInArrow(run, "shard int, hashes binary, keys binary, places binary")
+    found = candidates.repartition("shard").sortWithinPartitions("shard").mapInArrow(settle, "bucket int, keys binary, values binary")
+    return gathered(found, 4, "found")
 
 
 def _cut(texts: DataFrame, width: int, keep_text: bool) -> DataFrame:
@@ -236,8 +223,8 @@ def _cut(texts: DataFrame, width: int, keep_text: bool) -> DataFrame:
                 part = batch.slice(k, 256)
                 out = []
                 for doc_id, z, found in zip(*(part.column(c).to_pylist() for c in ("doc_id", "packed", "found"))):
-                    text, at = expand(z), _places(found)
-                    gone = covered(at.astype(np.int64), width, len(text.split())) if len(at) else None
+                    text = expand(z)
+                    gone = None if found is None else covered(np.frombuffer(found, np.int32).astype(np.int64), width, len(text.split()))
                     out.append((doc_id, *_digest(text, gone, keep_text)))
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"])

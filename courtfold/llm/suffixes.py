@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE, BASE_INVERSE, SECOND, SECOND_INVERSE, mix, powers, range_hashes, text_slices, windows_of
-from .packing import by_key, member, repeated, shard_bits, whole_shards
+from .packing import BUCKETS, batch_of, bucketed, gathered, member, repeated, shard_bits, whole_shards
 from .work import save
 
 WIDTH, GRAM = 100, 32
@@ -80,12 +80,7 @@ def _cuts(hashes: np.ndarray, shards: int) -> np.ndarray:
     return np.searchsorted(hashes >> np.uint64(64 - shards), np.arange((1 << shards) + 1, dtype=np.uint64))
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
-
-
-TRIGGERS = pa.schema([("shard", pa.int32()), ("hashes", pa.binary()), ("key", pa.int64()), ("places", pa.binary())])
-PLACES = pa.schema([("key", pa.int64()), ("places", pa.binary())])
+TRIGGERS = pa.schema([("shard", pa.int32()), ("hashes", pa.binary()), ("keys", pa.binary()), ("places", pa.binary())])
 
 
 def _recurring(own: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
@@ -95,7 +90,6 @@ def _recurring(own: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
     """
 
     def run(batches):
-        turn = 0
         held, size = [], 0
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text"):
@@ -104,48 +98,44 @@ def _recurring(own: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
                 held.append((_trigger_hashes(data, trigger, gram), keys[row], _ordinals(row).astype(np.int32)))
                 size += len(data)
                 if size >= FLUSH_BYTES:
-                    yield flush(held, turn)
-                    held, size, turn = [], 0, turn + 1
+                    yield flush(held)
+                    held, size = [], 0
         if held:
-            yield flush(held, turn)
+            yield flush(held)
 
-    def flush(held, turn):
+    def flush(held):
         h, key, place = (np.concatenate(x) for x in zip(*held))
         order = np.argsort(h, kind="stable")
         h, key, place = h[order], key[order], place[order]
         new = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
         last = np.concatenate([new[1:], [True]]) if len(h) else new
         single = new & last
-        settled = by_key(key[~single], place[~single])
-        out = [(-1 - (turn + i) % 64, None, k, p) for i, (k, p) in enumerate(zip(settled[0].tolist(), settled[1]))]
+        out = [(-1 - bucket, None, k, p) for bucket, k, p in bucketed(key[~single], place[~single], shards)]
         once, twice, key, place = h[single], h[new & ~last], key[single], place[single]
         a, b = _cuts(once, shards), _cuts(twice, shards)
         for s in range(1 << shards):
             own_, other = slice(a[s], a[s + 1]), twice[b[s] : b[s + 1]]
             o = np.lexsort((place[own_], key[own_]))
             if len(o) or len(other):
-                out.append((s, np.concatenate([once[own_][o], other]).tobytes(), 0, key[own_][o].tobytes() + place[own_][o].tobytes()))
-        return _batch(out, TRIGGERS)
+                out.append((s, np.concatenate([once[own_][o], other]).tobytes(), key[own_][o].tobytes(), place[own_][o].tobytes()))
+        return batch_of(out, TRIGGERS)
 
     def settle(batches):
         for shard, rows in whole_shards(batches):
+            keys, places = rows.column("keys").to_pylist(), rows.column("places").to_pylist()
             if shard < 0:
-                yield rows.select(["key", "places"])
+                yield batch_of([(-1 - shard, k, p) for k, p in zip(keys, places)], BUCKETS)
                 continue
-            who = rows.column("places").to_pylist()
             hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-            again = repeated(np.concatenate([np.concatenate([h, h[len(w) // 12 :]]) for h, w in zip(hashes, who)]))
-            keys, places = [], []
-            for h, w in zip(hashes, who):
-                n = len(w) // 12
-                hit = member(h[:n], again)
-                keys.append(np.frombuffer(w, np.int64, n)[hit])
-                places.append(np.frombuffer(w, np.int32, n, 8 * n)[hit])
-            yield _batch(list(zip(*by_key(np.concatenate(keys), np.concatenate(places)))), PLACES)
+            sizes = [len(p) // 4 for p in places]
+            again = repeated(np.concatenate([np.concatenate([h, h[n:]]) for h, n in zip(hashes, sizes)]))
+            hit = np.concatenate([member(h[:n], again) for h, n in zip(hashes, sizes)])
+            key, place = np.frombuffer(b"".join(keys), np.int64)[hit], np.frombuffer(b"".join(places), np.int32)[hit]
+            yield batch_of(bucketed(key, place, shards), BUCKETS)
 
-    found = own.select("key", "text").mapInArrow(run, "shard int, hashes binary, key long, places binary")
-    found = found.repartition("shard").sortWithinPartitions("shard").mapInArrow(settle, "key long, places binary")
-    return found.groupBy("key").agg(F.collect_list("places").alias("places"))
+    found = own.select("key", "text").mapInArrow(run, "shard int, hashes binary, keys binary, places binary")
+    found = found.repartition("shard").sortWithinPartitions("shard").mapInArrow(settle, "bucket int, keys binary, values binary")
+    return gathered(found, 4, "places")
 
 
 def _packed(own: DataFrame) -> DataFrame:
@@ -166,10 +156,10 @@ DIGEST = pa.schema([
 GOING = pa.schema([*DIGEST, ("key", pa.int64()), ("packed", pa.binary()), ("places", pa.binary())])
 
 
-def _digest(doc_id, text: bytes, spans: list[bytes] | None, width: int, keep: bool) -> tuple:
+def _digest(doc_id, text: bytes, spans: bytes | None, width: int, keep: bool) -> tuple:
     kept, n_spans = text, 0
     if spans:
-        pairs = np.frombuffer(b"".join(spans), np.int32).reshape(-1, 2).astype(np.int64)
+        pairs = np.frombuffer(spans, np.int32).reshape(-1, 2).astype(np.int64)
         edges = np.bincount(pairs[:, 0], minlength=len(text) + 1) - np.bincount(pairs.sum(axis=1) + width - 1, minlength=len(text) + 1)
         gone = np.cumsum(edges[: len(text)]) > 0
         kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
@@ -189,17 +179,15 @@ def _apart(texts: DataFrame, width: int, keep: bool) -> DataFrame:
                     if places is None:
                         out.append((*_digest(doc_id, expand(z), None, width, keep), key, None, None))
                     else:
-                        out.append((doc_id, *(None,) * 5, key, z, b"".join(places)))
-                yield _batch(out, GOING)
+                        out.append((doc_id, *(None,) * 5, key, z, places))
+                yield batch_of(out, GOING)
 
     return texts.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, key long, packed binary, places binary")
 
 
 PHRASES = pa.schema([
-    ("shard", pa.int32()), ("triggers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()),
-    ("bytes", pa.binary()), ("key", pa.int64()), ("spans", pa.binary()),
+    ("shard", pa.int32()), ("triggers", pa.binary()), ("lengths", pa.binary()), ("ids", pa.binary()), ("keys", pa.binary()), ("starts", pa.binary()), ("bytes", pa.binary()),
 ])
-SPANS = pa.schema([("key", pa.int64()), ("spans", pa.binary())])
 
 
 def _pick(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -242,7 +230,7 @@ def _repeats(going: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
 
     def run(batches):
         expand = zstandard.ZstdDecompressor().decompress
-        turn, held, size = 0, [], 0
+        held, size = [], 0
         for batch in batches:
             plain = pa.array([expand(z) for z in batch.column("packed").to_pylist()], pa.binary()).cast(pa.string())
             texts = pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), plain, batch.column("places")], ["doc_id", "key", "text", "places"])
@@ -260,30 +248,31 @@ def _repeats(going: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
                 ))
                 size += len(data)
                 if size >= FLUSH_BYTES:
-                    yield flush(held, turn)
-                    held, size, turn = [], 0, turn + 1
+                    yield flush(held)
+                    held, size = [], 0
         if held:
-            yield flush(held, turn)
+            yield flush(held)
 
-    def flush(held, turn):
+    def flush(held):
         trigger, phrase, length, ids, keys, starts, data = (np.concatenate(x) for x in zip(*held))
         size = length.astype(np.int64) + width - 1
         at = np.cumsum(size) - size
         late, _ = _later(phrase, ids, starts)
-        out = [(-1 - (turn + i) % 64, *(None,) * 6, k, s) for i, (k, s) in enumerate(zip(*by_key(keys[late], np.stack([starts, length.astype(np.int32)], 1)[late])))]
+        settled = bucketed(keys[late], np.stack([starts, length.astype(np.int32)], 1)[late], shards)
+        out = [(-1 - bucket, None, None, None, k, s, None) for bucket, k, s in settled]
         order = np.flatnonzero(~late)
         order = order[np.argsort(trigger[order], kind="stable")]
         cuts = _cuts(trigger[order], shards)
         for s in range(1 << shards):
             o = np.sort(order[cuts[s] : cuts[s + 1]])
             if len(o):
-                out.append((s, *(x[o].tobytes() for x in (trigger, length, ids, keys, starts)), _pick(data, at[o], size[o]).tobytes(), None, None))
-        return _batch(out, PHRASES)
+                out.append((s, *(x[o].tobytes() for x in (trigger, length, ids, keys, starts)), _pick(data, at[o], size[o]).tobytes()))
+        return batch_of(out, PHRASES)
 
     def settle(batches):
         for shard, rows in whole_shards(batches):
             if shard < 0:
-                yield rows.select(["key", "spans"])
+                yield batch_of([(-1 - shard, k, s) for k, s in zip(*(rows.column(c).to_pylist() for c in ("keys", "starts")))], BUCKETS)
                 continue
             read = lambda name, kind: np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
             trigger, length, ids, keys, starts = (read(*x) for x in (("triggers", np.uint64), ("lengths", np.uint8), ("ids", np.int64), ("keys", np.int64), ("starts", np.int32)))
@@ -311,12 +300,12 @@ def _repeats(going: DataFrame, width: int, gram: int, shards: int) -> DataFrame:
                 if len(key):
                     cut = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (place[1:] != place[:-1] + 1)]))
                     spans.append((key[cut], np.stack([place[cut], np.diff(np.append(cut, len(key)))], 1).astype(np.int32)))
-            yield _batch(list(zip(*by_key(*(np.concatenate(x) for x in zip(*spans))))), SPANS)
+            yield batch_of(bucketed(*(np.concatenate(x) for x in zip(*spans)), shards), BUCKETS)
 
-    schema = "shard int, triggers binary, lengths binary, ids binary, keys binary, starts binary, bytes binary, key long, spans binary"
+    schema = "shard int, triggers binary, lengths binary, ids binary, keys binary, starts binary, bytes binary"
     phrases = going.select("doc_id", "key", "packed", "places").mapInArrow(run, schema)
-    found = phrases.repartition("shard").sortWithinPartitions("shard").mapInArrow(settle, "key long, spans binary")
-    return found.groupBy("key").agg(F.collect_list("spans").alias("spans"))
+    found = phrases.repartition("shard").sortWithinPartitions("shard").mapInArrow(settle, "bucket int, keys binary, values binary")
+    return gathered(found, 8, "spans")
 
 
 def suffix_dedup(
@@ -343,7 +332,7 @@ def suffix_dedup(
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 rows = zip(*(batch.slice(k, 256).column(c).to_pylist() for c in ("doc_id", "packed", "spans")))
-                yield _batch([_digest(i, expand(z), s, width, keep_bytes) for i, z, s in rows], DIGEST)
+                yield batch_of([_digest(i, expand(z), s, width, keep_bytes) for i, z, s in rows], DIGEST)
 
     done = going.select("doc_id", "key", "packed").join(spans, "key", "left").select("doc_id", "packed", "spans").mapInArrow(
         cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -102,3 +102,105 @@ def coverage(catalog: DataFrame, games: DataFrame, jobs: DataFrame) -> DataFrame
         .when(F.col("kind") == "cup", F.col("n") < F.greatest(F.lit(4.0), F.col("median") * 0.35)).otherwise(F.col("n") < F.col("median") * 0.65)
     )
     return rows.withColumn("low", low)
+
+
+def summary(games: DataFrame, *keys: str) -> DataFrame:
+    """Games, finished games, different teams and the first and last day for each value of the keys, in one shuffle of both sides."""
+    home = F.col("is_home")
+    return appearances(games).groupBy(*keys).agg(
+        F.count_if(home).alias("games"), F.count_if(home & (F.col("status") == "finished")).alias("n_finished"), F.count_distinct("team_id").alias("teams"),
+        F.min("game_date").alias("first_date"), F.max("game_date").alias("last_date"),
+    )
+
+
+def season_list(games: DataFrame) -> DataFrame:
+    """Seasons whatever their case, in the least spelling, with their games and last day."""
+    return games.groupBy(F.lower("season").alias("key")).agg(F.min("season").alias("season"), F.count("*").alias("games"), F.max("game_date").alias("last_date")).drop("key")
+
+
+def pool_catalog(games: DataFrame, pools: list[str]) -> DataFrame:
+    """Every known pool with its games and last game, which may be none."""
+    known = games.sparkSession.createDataFrame([(p,) for p in pools], "pool string")
+    counted = games.groupBy("pool").agg(F.count("*").alias("n"), F.max("game_date").alias("last_date"))
+    return F.broadcast(known).join(counted, "pool", "left").select("pool", F.coalesce("n", F.lit(0)).alias("games"), "last_date")
+
+
+def totals(games: DataFrame) -> DataFrame:
+    """One row for the whole table."""
+    return games.agg(
+        F.count("*").alias("games"), F.count_if(F.col("status") == "finished").alias("n_finished"), F.count_if("eligible").alias("n_eligible"),
+        F.min("game_date").alias("first_date"), F.max("game_date").alias("last_date"), missing_scores(games).alias("n_missing"),
+    )
+
+
+def unrated(games: DataFrame, history: DataFrame) -> DataFrame:
+    """Games with both scores that no history row rates."""
+    return games.filter("home_score is not null and away_score is not null").join(history.select("pool", "game_id"), ["pool", "game_id"], "left_anti")
+
+
+def admin_coverage(games: DataFrame, history: DataFrame, most: int = 25) -> DataFrame:
+    """Competitions' seasons with the most games that miss a rating: a report of `most` rows."""
+    rated = history.filter("is_home").select("pool", "game_id", F.lit(True).alias("rated"))
+    done = F.col("home_score").isNotNull() & F.col("away_score").isNotNull()
+    grouped = games.join(rated, ["pool", "game_id"], "left").groupBy("competition_id", "season").agg(
+        F.count("*").alias("total"), F.count_if(done).alias("completed"), F.count_if(done & F.col("rated").isNull()).alias("n_unrated"), F.max("game_date").alias("last_date")
+    )
+    return grouped.orderBy(F.desc("n_unrated"), F.desc("total"), "competition_id", "season").limit(most)
+
+
+def season_audit(games: DataFrame) -> DataFrame:
+    """For each season: games, games without scores, and copies beyond the first of (day, home, away)."""
+    once = games.groupBy("season", "game_date", "home_id", "away_id").agg(F.count("*").alias("n"), missing_scores(games).alias("m"))
+    return once.groupBy("season").agg(F.sum("n").alias("games"), F.sum("m").alias("n_missing"), F.sum(F.greatest(F.col("n") - 1, F.lit(0))).alias("n_copies"))
+
+
+def merged_metrics(parts: DataFrame, keys: list[str], names: list[str], n: str = "n") -> DataFrame:
+    """Means of parts as means of wholes, weighted by their counts; null where the counts add up to zero."""
+    return parts.groupBy(*keys).agg(F.sum(n).alias(n), *[F.try_divide(F.sum(F.col(x) * F.col(n)), F.sum(n)).alias(x) for x in names])
+
+
+def league_cards(rows: DataFrame) -> DataFrame:
+    """Competitions of coverage rows: seasons, seasons with games, and the seasons of most and fewest games (the first of equals)."""
+    some = F.col("n") > 0
+    return rows.groupBy("competition_id").agg(
+        F.count("*").alias("n_seasons"), F.count_if(some).alias("n_with_games"), F.bool_or(F.coalesce(F.col("low"), F.lit(False))).alias("any_low"),
+        F.min("season").alias("first_season"), F.min_by("season", F.struct(-F.col("n"), F.col("season"))).alias("fullest"), F.min_by("season", F.struct("n", "season")).alias("emptiest"),
+    )
+
+
+def first_scored(games: DataFrame) -> DataFrame:
+    """Each season's first day with a finished game, or its first day if none is finished."""
+    return games.groupBy("season").agg(F.coalesce(F.min(F.when(F.col("status") == "finished", F.col("game_date"))), F.min("game_date")).alias("opener"))
+
+
+def options(games: DataFrame) -> DataFrame:
+    """(kind, value): what each filter of the games browser can take."""
+    kinds = {"season": F.col("season"), "source": F.col("source"), "year": F.year("game_date").cast("string"), "round": F.col("round_name"), "status": F.col("status")}
+    pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()])).alias("o")
+    return games.select(pairs).select("o.*").filter("value is not null").distinct()
+
+
+def search(games: DataFrame, teams: DataFrame, text: str | None, exact_case: bool = False) -> DataFrame:
+    """Games of which a team's name holds the text: as a LIKE pattern in any case, or as it is written."""
+    if not text or not text.strip():
+        return games
+    name = F.contains(F.col("team_name"), F.lit(text)) if exact_case else F.col("team_name").ilike(f"%{text.strip()}%")
+    hit = F.broadcast(teams.filter(name).select("team_id"))
+    home = games.join(hit.withColumnRenamed("team_id", "home_id"), "home_id", "left_semi")
+    away = games.join(hit.withColumnRenamed("team_id", "home_id"), "home_id", "left_anti").join(hit.withColumnRenamed("team_id", "away_id"), "away_id", "left_semi")
+    return home.unionByName(away)
+
+
+def top_teams(snapshot: DataFrame, games: DataFrame, n: int) -> DataFrame:
+    """The n best rated teams of each competition, of those that played in it."""
+    members = appearances(games).select("competition_id", "pool", "team_id").distinct()
+    w = Window.partitionBy("competition_id").orderBy(F.desc("elo"), "team_id")
+    return members.join(F.broadcast(snapshot), ["pool", "team_id"]).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("competition_id", "place", "team_id", "elo")
+
+
+def tier_summary(snapshot: DataFrame, games: DataFrame, competitions: DataFrame) -> DataFrame:
+    """Games, teams and the mean rating of the teams of each tier and pool."""
+    own = appearances(games).join(F.broadcast(competitions.select("competition_id", "tier")), "competition_id")
+    teams = own.groupBy("pool", "tier", "team_id").agg(F.count_if("is_home").alias("n"))
+    rated = teams.join(F.broadcast(snapshot.select("pool", "team_id", "elo")), ["pool", "team_id"], "left")
+    return rated.groupBy("pool", "tier").agg(F.count("*").alias("teams"), F.sum("n").alias("games"), F.round(F.avg("elo"), 2).alias("avg_elo"))

@@ -90,7 +90,7 @@ def coverage(catalog: DataFrame, games: DataFrame, jobs: DataFrame) -> DataFrame
     larger of 4 and 35 % unless it has 4 games and the median is at most 20, a super cup without games.
     """
     seasons = catalog.select("competition_id", "kind", F.explode(F.sequence("first", "last")).alias("y")).select("competition_id", "kind", F.concat_ws("-", "y", F.col("y") + 1).alias("season"))
-    counted = games.groupBy("competition_id", "season").agg(F.count("*").alias("n"), F.count_if("home_score is not null").alias("n_done"))
+    counted = games.groupBy("competition_id", "season").agg(F.count("*").alias("n"), F.count_if(F.col("home_score").isNotNull()).alias("n_done"))
     last = Window.partitionBy("competition_id", "season").orderBy(F.desc("job_id"))
     job = jobs.withColumn("rn", F.row_number().over(last)).filter("rn = 1").select("competition_id", "season", F.col("status").alias("job_status"))
     rows = seasons.join(counted, ["competition_id", "season"], "left").join(job, ["competition_id", "season"], "left").fillna(0, ["n", "n_done"])

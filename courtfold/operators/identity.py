@@ -36,9 +36,9 @@ def near_duplicates(games: DataFrame, days: int) -> DataFrame:
     low_score = F.when(F.col("home_id") < F.col("away_id"), F.col("home_score")).otherwise(F.col("away_score"))
     high_score = F.when(F.col("home_id") < F.col("away_id"), F.col("away_score")).otherwise(F.col("home_score"))
     own = games.filter("home_score is not null").select("game_id", "source", "game_date", "competition_id", lo.alias("lo"), hi.alias("hi"), low_score.alias("ls"), high_score.alias("hs"))
-    other = own.withColumnsRenamed({"game_id": "other_id", "source": "other_source", "game_date": "other_date"})
+    other = own.withColumnsRenamed({"game_id": "other_id", "source": "other_source", "game_date": "other_date", "ls": "other_ls", "hs": "other_hs"})
     pairs = own.join(other, ["competition_id", "lo", "hi"]).filter("source <> other_source").withColumn("distance", F.abs(F.datediff("game_date", "other_date"))).filter(F.col("distance") <= days)
-    pairs = pairs.withColumn("score_match", ((own.ls == other.ls) & (own.hs == other.hs)).cast("int"))
+    pairs = pairs.withColumn("score_match", ((F.col("ls") == F.col("other_ls")) & (F.col("hs") == F.col("other_hs"))).cast("int"))
     mine = Window.partitionBy("game_id").orderBy("distance", F.desc("score_match"), "other_id")
     theirs = Window.partitionBy("other_id").orderBy("distance", F.desc("score_match"), "game_id")
     best = pairs.withColumns({"r1": F.row_number().over(mine), "r2": F.row_number().over(theirs)}).filter("r1 = 1 and r2 = 1 and game_id < other_id")
@@ -91,3 +91,41 @@ def pair_rollup(findings: DataFrame) -> DataFrame:
         F.array_join(F.array_sort(F.collect_set("finding_type")), ",").alias("types"), F.count("*").alias("n"),
         F.array_join(F.slice(F.array_sort(F.collect_set("evidence")), 1, 5), ",").alias("evidence"),
     )
+
+
+def split_sources(aliases: DataFrame) -> DataFrame:
+    """(source, source_team_id) that stand for more than one team."""
+    return aliases.groupBy("source", "source_team_id").agg(F.count_distinct("team_id").alias("n_teams")).filter("n_teams > 1")
+
+
+def unanimous(games: DataFrame, competitions: DataFrame) -> DataFrame:
+    """The country of teams all of whose games are in competitions of one country."""
+    from .games import appearances
+
+    played = appearances(games).select("team_id", "competition_id").distinct().join(F.broadcast(competitions.select("competition_id", "country")), "competition_id")
+    return played.groupBy("team_id").agg(F.count_distinct("country").alias("n"), F.min("country").alias("country")).filter("n = 1").drop("n")
+
+
+def one_to_one(games: DataFrame, keys: list[str]) -> DataFrame:
+    """Pairs of games of two sources that are the only two with equal keys."""
+    two = games.filter("home_score is not null and away_score is not null").groupBy(*keys).agg(
+        F.count("*").alias("n"), F.min("game_id").alias("game_id"), F.max("game_id").alias("other_id"), F.count_distinct("source").alias("sources")
+    )
+    return two.filter("n = 2 and sources = 2").select("game_id", "other_id")
+
+
+def team_stats(games: DataFrame) -> DataFrame:
+    """Games and last day of each team, at home and away together."""
+    from .games import appearances
+
+    return appearances(games).groupBy("team_id").agg(F.count("*").alias("games"), F.max("game_date").alias("last_date"))
+
+
+def admin_teams(teams: DataFrame, aliases: DataFrame, games: DataFrame) -> DataFrame:
+    """Teams with their aliases, their games, and the source of most aliases (the first of equals)."""
+    by_source = aliases.groupBy("team_id", "source").agg(F.count("*").alias("n"))
+    named = by_source.groupBy("team_id").agg(F.sum("n").alias("n_aliases"), F.min_by("source", F.struct(-F.col("n"), F.col("source"))).alias("top_source"))
+    played = team_stats(games).select("team_id", F.col("games").alias("n_games"))
+    return teams.join(named, "team_id", "left").join(played, "team_id", "left").select(
+        "team_id", F.coalesce("n_aliases", F.lit(0)).alias("n_aliases"), F.coalesce("n_games", F.lit(0)).alias("n_games"), "top_source"
+    )

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from courtfold.llm import mixing
 from courtfold.llm.linededup import line_dedup
+from courtfold.llm.neardup import near_dedup
 from courtfold.llm.pieces import PieceModel, encode_documents
 from courtfold.llm.quality import quality_filter
 from courtfold.llm.queries import PIECE_MODEL
-from courtfold.llm.simhash import simhash_dedup
 from courtfold.llm.work import save
 
 
@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash group."""
-    return simhash_dedup(docs)
+    """One document of each group of texts whose five-word shingles are similar by 0.8 or more."""
+    return near_dedup(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

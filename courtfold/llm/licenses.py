@@ -71,7 +71,7 @@ def license_scan(
     at least `threshold` of its distinct five-word shingles; containment is that of the best place looked at, start_word its first
     (counted from 0), n_places how many alignments matched. Each window of each whole text is hashed; `miss` bounds the probability that a
     window with one shingle of a template isn't retrieved, and longer matches have many windows. Null, empty and short texts have
-    no matches. Rows of one id are one document, repeated rows too; a null id is an id. Other columns are ignored.
+    no matches. Rows of one id are one document, repeated rows too, and each of its texts is checked; a null id is an id. Other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
     spark = docs.sparkSession
@@ -103,7 +103,8 @@ def license_scan(
         "doc_id", "template", (F.col("at") - F.col("offset")).alias("aligned"), begin.alias("begin"),
         F.array_join(F.slice("words", begin + 1, F.col("n") + WINDOW - 1), " ").alias("span"),
     )
-    places = hits.groupBy("doc_id", "template", "aligned").agg(F.first("begin").alias("begin"), F.first("span").alias("span"))
+    # texts of one id may differ, so each text's span is checked
+    places = hits.select("doc_id", "template", "aligned", "begin", "span").distinct()
     span = F.split("span", " ")
     tries = F.array(*[
         F.struct(
@@ -112,9 +113,9 @@ def license_scan(
         )
         for i in range(WINDOW)
     ])
-    best = places.join(library.select("template", "n", "t_shingles"), "template").select("doc_id", "template", F.array_max(tries).alias("best"))
+    best = places.join(library.select("template", "n", "t_shingles"), "template").select("doc_id", "template", "aligned", F.array_max(tries).alias("best"))
     return (
         best.filter(F.col("best.containment") >= threshold).groupBy("doc_id", "template")
-        .agg(F.max("best").alias("best"), F.count("*").alias("n_places"))
+        .agg(F.max("best").alias("best"), F.count_distinct("aligned").alias("n_places"))
         .select("doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.minus_start")).alias("start_word"), "n_places")
     )

@@ -58,3 +58,12 @@ def test_runs_no_python(spark):
     frame = spark.createDataFrame([(1, "a", "t", 1, "w")], SCHEMA)
     plan = license_scan(frame)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_texts_of_one_id_are_checked_each(spark):
+    true = " ".join(f"t{i}" for i in range(12))
+    near = " ".join(f"t{i}" for i in range(8)) + " other words stand here"  # hits at every alignment that the notice has
+    for texts in ([true, near], [near, true]):
+        rows = [(k, t, "t", 1, "w") for k in (5, None) for t in texts]
+        got = {(r.doc_id, r.containment) for r in license_scan(spark.createDataFrame(rows, SCHEMA).coalesce(1), {"notice": true}).collect()}
+        assert got == {(5, 1.0), (None, 1.0)}

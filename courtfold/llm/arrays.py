@@ -46,6 +46,17 @@ def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base=
     return mix(h + (ends - starts).astype(np.uint64) * SECOND)
 
 
+def near_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base=BASE, inverse=BASE_INVERSE, step: int = 1 << 20) -> np.ndarray:
+    """range_hashes() of short ranges in order of their starts, a stretch of the values at a time."""
+    out = np.zeros(len(starts), np.uint64)
+    cuts = np.searchsorted(starts, np.arange(0, len(values) + step, step))
+    for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
+        if a < b:
+            shift = k * step
+            out[a:b] = range_hashes(values[shift : int(ends[a:b].max())], starts[a:b] - shift, ends[a:b] - shift, base, inverse)
+    return out
+
+
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about `most` text bytes; yields (rows, bytes, offsets). Null texts are empty."""
     i = batch.schema.get_field_index(column)

@@ -1,4 +1,9 @@
-"""Substring dedup by fixed-block anchors: repeated runs of words, whichever documents hold them."""
+"""Substring dedup by fixed-block anchors: repeated runs of words, whichever documents hold them.
+
+Blocks that don't overlap are the index, every rolling window probes it, and blocks that another window equals are the hits. Each hit is
+extended to the windows of `width` words around it; those whose words recur are kept, and runs of them make up the maximal repeats. No pair of places is ever
+formed, so a passage in very many texts costs no more than its words.
+"""
 
 from __future__ import annotations
 
@@ -10,12 +15,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SECOND, SECOND_INVERSE, covered, range_hashes, text_slices, windows_of, words_of
-from .packing import BUCKETS, batch_of, bucketed, gathered, member, pack, repeated, shard_bits, shard_cuts, unpack, whole_shards
-from .work import save
+from .arrays import SECOND, SECOND_INVERSE, covered, near_hashes, range_hashes, text_slices, windows_of, words_of
+from .packing import KEY, bucketed, flat, gathered, member, narrow, passed, runs, settled_rows, shard_bits, shard_parts, shard_rows, widen
+from .work import drop, save
 
 WIDTH = 35
-FLUSH_WORDS = 1 << 21
+FLUSH_WORDS = 1 << 20
 #: Bits by which hashes in the index exceed the number of words: one block in 2**SPARE is a candidate by chance, and verified away.
 SPARE = 12
 
@@ -41,66 +46,67 @@ def _column(rows, name) -> np.ndarray:
     return np.concatenate([r.column(name).to_numpy(zero_copy_only=False) for r in rows])
 
 
-def _window_hashes(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    return range_hashes(words, at, at + width)
-
-
-def _check_hashes(words: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
-    return range_hashes(words, at, at + width, SECOND, SECOND_INVERSE)
+INDEX = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("once", "again", "blocks", "keys", "places"))])
 
 
 def _index(own: DataFrame, block: int, bits: int, shards: int) -> DataFrame:
-    """A row for each shard and flush: every rolling window's hash, and the blocks with their places.
+    """A row for each shard and flush: every rolling window's hash, those that recur in the flush apart, and the blocks with their places.
 
-    Rolling hashes need no place and so take about three bytes each; one that recurs in a flush is sent twice, not oftener,
-    so a passage that many texts share weighs no more than others.
+    Blocks that recur in a flush are settled there, so a passage that many texts share weighs no more than others.
     """
-    drop = np.uint64(64 - bits)
+    low = bits - shards
 
     def run(batches):
         for rows, words, first in _flushes(batches):
             at = windows_of(first, block)
             if not len(at):
                 continue
-            h = _window_hashes(words, at, block) >> drop
+            h = near_hashes(words, at, at + block) >> np.uint64(64 - bits)
             row = np.searchsorted(first, at, "right") - 1
             inside = at - first[row]
-            whole = inside % block == 0
-            order = np.argsort(h[whole], kind="stable")
-            block_hash, block_key = h[whole][order], _column(rows, "key")[row[whole]][order]
-            block_at = (inside[whole] // block).astype(np.int32)[order]
-            h.sort()
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            second = np.concatenate([[False], ~new[1:] & new[:-1]])
-            probes = h[new | second]
-            cuts, block_cuts = shard_cuts(probes, bits, shards), shard_cuts(block_hash, bits, shards)
-            out = []
-            for s in range(1 << shards):
-                base = s << (bits - shards)
-                a, b, c, d = cuts[s], cuts[s + 1], block_cuts[s], block_cuts[s + 1]
-                if a < b:
-                    out.append((s, pack(probes[a:b], base), pack(block_hash[c:d], base), block_key[c:d].tobytes(), block_at[c:d].tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), [pa.int32()] + [pa.binary()] * 4)], ["shard", "probes", "blocks", "keys", "places"])
-
-    return own.select("key", "text").mapInArrow(run, "shard int, probes binary, blocks binary, keys binary, places binary")
+            whole = np.flatnonzero(inside % block == 0)
+            key, place = _column(rows, "key")[row[whole]], (inside[whole] // block).astype(np.int32)
+            probes = np.sort(h)
+            cuts = runs(probes)
+            probes, n = probes[cuts[:-1]], np.diff(cuts)
+            once, again = probes[n == 1], probes[n > 1]
+            hit = member(h[whole], again)
+            yield settled_rows(key[hit], place[hit], shards, INDEX, (4, 5))
+            order = np.flatnonzero(~hit)[np.argsort(h[whole][~hit], kind="stable")]
+            blocks = h[whole][order]
+            top = lambda x: (x >> np.uint64(low)).astype(np.int32)
+            yield shard_rows(
+                [(top(once), [narrow(once, low)]), (top(again), [narrow(again, low)]), (top(blocks), [narrow(blocks, low), key[order], place[order]])], INDEX
+            )
+
+    return own.select("key", "text").mapInArrow(run, "shard int, once binary, again binary, blocks binary, keys binary, places binary")
 
 
 def _anchors(index: DataFrame, bits: int, shards: int) -> DataFrame:
-    """(key, places): the blocks of each text that some other rolling window equals."""
+    """(key, places): the blocks of each text that some other rolling window equals. A shard is folded part by part into its different hashes."""
+    kind = f"V{(bits - shards + 7) // 8}"
+    nothing = (np.zeros(0, np.uint64),) * 2, (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32))
 
     def run(batches):
-        for shard, rows in whole_shards(batches):
-            base = shard << (bits - shards)
-            again = repeated(np.concatenate([unpack(x, base) for x in rows.column("probes").to_pylist()]))
-            keys, places = [], []
-            for blocks, key, place in zip(*(rows.column(c).to_pylist() for c in ("blocks", "keys", "places"))):
-                hit = member(unpack(blocks, base), again)
-                keys.append(np.frombuffer(key, np.int64)[hit])
-                places.append(np.frombuffer(place, np.int32)[hit])
-            yield batch_of(bucketed(np.concatenate(keys), np.concatenate(places), shards), BUCKETS)
+        (once, known), pending = nothing
+        for shard, rows, last in shard_parts(batches):
+            if shard < 0:
+                yield passed(shard, rows, (4, 5))
+                continue
+            read = lambda c: widen(flat(rows.column(c), kind))
+            known = np.union1d(known, read("again"))
+            hashes, n = np.unique(np.concatenate([once, read("once")]), return_counts=True)
+            known = np.union1d(known, hashes[n > 1])
+            once = hashes[(n == 1) & ~member(hashes, known)]
+            block, key, place = (np.concatenate([x, y]) for x, y in zip(pending, (read("blocks"), flat(rows.column("keys"), np.int64), flat(rows.column("places"), np.int32))))
+            hit = member(block, known)
+            yield bucketed(key[hit], place[hit], shards)
+            pending = (block[~hit], key[~hit], place[~hit])
+            if last:
+                (once, known), pending = nothing
 
     found = index.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "bucket int, keys binary, values binary")
-    return gathered(found, 4, "places")
+    return gathered(found, np.int32, "places")
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
@@ -121,10 +127,10 @@ def _compressed(own: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column("text").cast(pa.large_string()).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array([squeeze((t or "").encode()) for t in texts], pa.binary())], ["doc_id", "key", "packed"]
+                [batch.column("doc_id"), batch.column("key"), batch.column("id"), pa.array([squeeze((t or "").encode()) for t in texts], pa.binary())], ["doc_id", "key", "id", "packed"]
             )
 
-    return own.mapInArrow(run, "doc_id long, key long, packed binary")
+    return own.mapInArrow(run, "doc_id long, key long, id long, packed binary")
 
 
 def _apart(texts: DataFrame, keep_text: bool) -> DataFrame:
@@ -140,22 +146,30 @@ def _apart(texts: DataFrame, keep_text: bool) -> DataFrame:
                 going = [z if p is not None else None for z, p in zip(packed, places)]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("doc_id"), *[pa.array(c, t) for c, t in zip(zip(*done), (pa.int64(), pa.int64(), pa.string(), pa.string()))],
-                     part.column("key"), pa.array(going, pa.binary()), part.column("places")],
-                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "key", "packed", "places"],
+                     part.column("key"), part.column("id"), pa.array(going, pa.binary()), part.column("places")],
+                    ["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text", "key", "id", "packed", "places"],
                 )
 
-    return texts.mapInArrow(run, RESULT + ", key long, packed binary, places binary")
+    return texts.mapInArrow(run, RESULT + ", key long, id long, packed binary, places binary")
+
+
+CANDIDATES = pa.schema([("shard", pa.int32()), *((c, pa.binary()) for c in ("hashes", "checks", "keys", "places", "again", "again_checks"))])
 
 
-CANDIDATES = pa.schema([("shard", pa.int32()), ("hashes", pa.binary()), ("keys", pa.binary()), ("places", pa.binary())])
+def _equal(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order by both hashes, and where runs of equal ones begin, with the end."""
+    order = np.lexsort((g, h))
+    h, g = h[order], g[order]
+    new = np.ones(len(h) + 1, bool)
+    new[1:-1] = (h[1:] != h[:-1]) | (g[1:] != g[:-1])
+    return order, np.flatnonzero(new) if len(h) else np.zeros(1, np.int64)
 
 
-def _extended(going: DataFrame, width: int, block: int, bits: int, shards: int) -> DataFrame:
-    """(key, places) of the windows of `width` words that occur twice: every window whose own blocks are all anchors is verified.
+def _extended(going: DataFrame, width: int, block: int, shards: int) -> DataFrame:
+    """(key, id, found): the windows of `width` words around the hits of each text that occur twice or more, by two 64-bit hashes.
 
-    Consecutive verified windows make up a maximal repeat. Windows that recur in a flush are settled there.
+    A window is looked at if all blocks inside it are hits. Windows that recur in a flush are settled there. A shard is folded part by part into its different windows.
     """
-    drop = np.uint64(64 - shards)
 
     def run(batches):
         expand = zstandard.ZstdDecompressor().decompress
@@ -163,56 +177,63 @@ def _extended(going: DataFrame, width: int, block: int, bits: int, shards: int)
         def texts():
             for batch in batches:
                 plain = pa.array([expand(z) for z in batch.column("packed").to_pylist()], pa.binary()).cast(pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column("key"), plain, batch.column("places")], ["key", "text", "places"])
+                yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), plain, batch.column("places")], ["key", "id", "text", "places"])
 
         for rows, words, first in _flushes(texts()):
             anchors = np.zeros(len(words) + 1, bool)
-            for start, places in zip(first[:-1].tolist(), (p for r in rows for p in r.column("places").to_pylist())):
-                anchors[start + np.frombuffer(places, np.int32).astype(np.int64) * block] = True
+            for start, end, places in zip(first[:-1].tolist(), first[1:].tolist(), (p for r in rows for p in r.column("places").to_pylist())):
+                at = start + np.frombuffer(places, np.int32).astype(np.int64) * block
+                anchors[at[at < end]] = True
             at = windows_of(first, width)
             row = np.searchsorted(first, at, "right") - 1
             inside = at - first[row]
             lead = first[row] + -(-inside // block) * block  # the first whole block in the window; there may be a second
             good = anchors[lead] & (anchors[np.minimum(lead + block, len(words))] | (lead + 2 * block > at + width))
-            at, row, inside = at[good], row[good], inside[good].astype(np.int32)
+            at, row, place = at[good], row[good], inside[good].astype(np.int32)
             if not len(at):
                 continue
-            key, h = _column(rows, "key")[row], _check_hashes(words, at, width)
-            order = np.argsort(h, kind="stable")
-            h, key, inside = h[order], key[order], inside[order]
-            new = np.concatenate([[True], h[1:] != h[:-1]])
-            last = np.concatenate([new[1:], [True]])
-            single = new & last
-            out = [(-1 - bucket, None, k, p) for bucket, k, p in bucketed(key[~single], inside[~single], shards)]
-            once, twice = h[single], h[new & ~last]
-            cuts = np.searchsorted(once >> drop, np.arange((1 << shards) + 1, dtype=np.uint64))
-            cuts2 = np.searchsorted(twice >> drop, np.arange((1 << shards) + 1, dtype=np.uint64))
-            key, inside = key[single], inside[single]
-            for s in range(1 << shards):
-                a, b, c, d = cuts[s], cuts[s + 1], cuts2[s], cuts2[s + 1]
-                if a < b or c < d:
-                    # in order of texts, so that keys and places compress; the hashes of settled windows follow
-                    o = np.lexsort((inside[a:b], key[a:b]))
-                    body = np.concatenate([once[a:b][o], twice[c:d]])
-                    out.append((s, body.tobytes(), key[a:b][o].tobytes(), inside[a:b][o].tobytes()))
-            yield batch_of(out, CANDIDATES)
+            key = np.zeros(len(at), KEY)
+            key["key"], key["id"] = _column(rows, "key")[row], _column(rows, "id")[row]
+            h, g = near_hashes(words, at, at + width, SECOND, SECOND_INVERSE), near_hashes(words, at, at + width)
+            order, cuts = _equal(h, g)
+            h, g, key, place = h[order], g[order], key[order], place[order]
+            n = np.diff(cuts)
+            single = np.repeat(n == 1, n)
+            yield settled_rows(key[~single], place[~single], shards, CANDIDATES, (3, 4))
+            again = cuts[:-1][n > 1]
+            top = lambda x: (x >> np.uint64(64 - shards)).astype(np.int32)
+            yield shard_rows(
+                [(top(h[single]), [h[single], g[single], key[single], place[single]]), (top(h[again]), [h[again], g[again]])], CANDIDATES
+            )
+
+    nothing = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, KEY), np.zeros(0, np.int32)), (np.zeros(0, np.uint64),) * 2
 
     def settle(batches):
-        for shard, rows in whole_shards(batches):
-            keys, places = rows.column("keys").to_pylist(), rows.column("places").to_pylist()
+        once, known = nothing
+        for shard, rows, last in shard_parts(batches):
             if shard < 0:
-                yield batch_of([(-1 - shard, k, p) for k, p in zip(keys, places)], BUCKETS)
+                yield passed(shard, rows, (3, 4))
                 continue
-            hashes = [np.frombuffer(x, np.uint64) for x in rows.column("hashes").to_pylist()]
-            sizes = [len(p) // 4 for p in places]
-            again = repeated(np.concatenate([np.concatenate([h, h[n:]]) for h, n in zip(hashes, sizes)]))
-            hit = np.concatenate([member(h[:n], again) for h, n in zip(hashes, sizes)])
-            key, place = np.frombuffer(b"".join(keys), np.int64)[hit], np.frombuffer(b"".join(places), np.int32)[hit]
-            yield batch_of(bucketed(key, place, shards), BUCKETS)
-
-    candidates = going.select("key", "packed", "places").mapInArrow(run, "shard int, hashes binary, keys binary, places binary")
+            h, g, key, place = (np.concatenate([x, flat(rows.column(c), x.dtype)]) for x, c in zip(once, ("hashes", "checks", "keys", "places")))
+            h2, g2 = (np.concatenate([x, flat(rows.column(c), x.dtype)]) for x, c in zip(known, ("again", "again_checks")))
+            order, cuts = _equal(np.concatenate([h, h2]), np.concatenate([g, g2]))
+            n = np.diff(cuts)
+            # what recurs elsewhere counts twice
+            twice = np.repeat((n > 1) | np.logical_or.reduceat(order >= len(h), cuts[:-1]), n) if len(order) else np.zeros(0, bool)
+            hit = np.zeros(len(order), bool)
+            hit[order] = twice
+            heads = order[cuts[:-1]][twice[cuts[:-1]]] if len(order) else order
+            known = tuple(np.concatenate([a, b])[heads] for a, b in ((h, h2), (g, g2)))
+            hit = hit[: len(h)]
+            yield bucketed(key[hit], place[hit], shards)
+            once = (h[~hit], g[~hit], key[~hit], place[~hit])
+            if last:
+                once, known = nothing
+
+    schema = "shard int, " + ", ".join(f"{c} binary" for c in CANDIDATES.names[1:])
+    candidates = going.select("key", "id", "packed", "places").mapInArrow(run, schema)
     found = candidates.repartition("shard").sortWithinPartitions("shard").mapInArrow(settle, "bucket int, keys binary, values binary")
-    return gathered(found, 4, "found")
+    return gathered(found, np.int32, "found", KEY)
 
 
 def _cut(texts: DataFrame, width: int, keep_text: bool) -> DataFrame:
@@ -237,19 +258,22 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A window goes if its words also start anywhere else, in the same text too; all its occurrences go, the first as well. Windows
     never cross texts and are judged on the input. Blocks of (width + 1) / 2 words from the start of each text are the anchors: any repeated window
-    holds one, so every repeat is found. Words are compared by 64-bit hashes, with other hash functions for anchors and for windows. Null and empty texts have no
+    holds one, so every repeat is found. Windows are compared by 128 bits of hashes of their words. Null and empty texts have no
     words; repeated rows are texts of their own; null ids are kept; other columns are ignored. An empty table gives an empty result.
     """
     if width < 2:
         raise ValueError("width must be 2 at least")
     block = (width + 1) // 2
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns(
+        {"key": F.xxhash64("doc_id", "text"), "id": F.xxhash64(F.lit(1), "doc_id", "text")}
+    )
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits, shards = min(64, max(32, total.bit_length() - 2 + SPARE)), shard_bits(total)
     anchors = save(_anchors(_index(own, block, bits, shards), bits, shards), "anchors")
-    joined = _compressed(own.select("doc_id", "key", "text")).join(anchors, "key", "left")
+    joined = _compressed(own.select("doc_id", "key", "id", "text")).join(anchors, "key", "left")
     apart = save(_apart(joined, keep_text), "apart")
+    drop(anchors)
     going = apart.filter("packed is not null")
-    found = save(_extended(going, width, block, bits, shards), "found")
-    cut = _cut(going.select("doc_id", "key", "packed").join(found, "key", "left").select("doc_id", "packed", "found"), width, keep_text)
+    found = save(_extended(going, width, block, shards), "found")
+    cut = _cut(going.select("doc_id", "key", "id", "packed").join(found, ["key", "id"], "left").select("doc_id", "packed", "found"), width, keep_text)
     return apart.filter("packed is null").select("doc_id", "n_words", "n_removed", "kept_sha256", "kept_text").unionByName(cut)

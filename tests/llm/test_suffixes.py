@@ -80,3 +80,26 @@ def test_every_window_has_the_trigger_of_its_content():
 
 def test_empty_table(spark):
     assert suffix_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+@pytest.mark.parametrize("refined_from,ranked", [(2, 1 << 20), (1024, 300), (2, 300)])
+def test_hot_triggers_are_refined_and_lose_nothing(spark, monkeypatch, refined_from, ranked):
+    monkeypatch.setattr(suffixes, "REFINED_FROM", refined_from)
+    monkeypatch.setattr(suffixes, "RANKED_BYTES", ranked)
+    monkeypatch.setattr(suffixes, "FLUSH_BYTES", 3000)
+    rng = random.Random(3)
+    some = lambda k: "".join(rng.choice("abcdefgh") for _ in range(k))
+    common = some(60)  # one trigger for very many different phrases
+    rows = [(i, some(rng.randint(0, 80)) + common + some(rng.randint(0, 80))) for i in range(150)]
+    rows += [(200 + i, rows[i][1][rng.randint(0, 10) :] + "tail") for i in range(0, 40, 3)] + documents(8, 20)
+    frame = spark.createDataFrame([(*r, "k", 1, "n") for r in rows], SCHEMA)
+    got = sorted((tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in suffix_dedup(frame).collect()), key=repr)
+    assert got == brute(rows, 100)
+
+
+def test_one_text_of_many_megabytes(spark):
+    rng = np.random.default_rng(1)
+    long = bytes(rng.integers(97, 123, 20 << 20).astype(np.uint8)).decode()
+    rows = [(1, long), (2, "start " + long[5_000_000:5_000_300] + " end"), (3, long[-150:])]
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), keep_bytes=False).collect()}
+    assert got == {1: (0, 0), 2: (300, 1), 3: (150, 1)}

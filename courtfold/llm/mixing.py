@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .work import save
+from .work import drop, save
 
 LEVELS = ("domain", "lang", "source")
 WORD = r"[^\x20\x09-\x0D]+"
@@ -50,8 +50,15 @@ def _weights(nodes: DataFrame, weights: dict[tuple, float], names: tuple[str, ..
 
 
 def leaf_budgets(leaves: DataFrame, weights: dict[tuple, float], budget: float | None, budget_share: float, max_epochs: int) -> DataFrame:
-    """leaves(domain, lang, source, tokens) with `budget` whole tokens for each, tokens * max_epochs at most."""
-    caps = leaves.withColumn("cap", (F.col("tokens") * max_epochs).cast("double"))
+    """leaves(domain, lang, source, tokens) with `budget` whole tokens for each, tokens * max_epochs at most.
+
+    A branch's capacity is that of its leaves with a weight above 0 on their whole path, so what nobody there may take goes to others.
+    """
+    usable, caps = F.lit(True), leaves
+    for depth in range(len(LEVELS)):
+        caps = _weights(caps, weights, LEVELS[: depth + 1]).withColumn(f"weight{depth}", F.col("weight")).drop("weight")
+        usable = usable & (F.col(f"weight{depth}") > 0)
+    caps = caps.select(*LEVELS, F.when(usable, F.col("tokens") * max_epochs).otherwise(0).cast("double").alias("cap"))
     total = F.lit(float(budget)) if budget is not None else F.col("all_tokens") * F.lit(float(budget_share))
     root = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).cast("double").alias("all_tokens")).select(total.alias("budget"))
     above = None
@@ -63,6 +70,49 @@ def leaf_budgets(leaves: DataFrame, weights: dict[tuple, float], budget: float |
     return _same(leaves, above, LEVELS).withColumn("budget", F.floor(F.coalesce("budget", F.lit(0.0)) + 1e-6))
 
 
+def _turn(seed: int, text_hash: str = "text_hash"):
+    """Place of a row in the seeded order of its leaf's epoch: an md5 of the id (of the text where the id is null), then the id, then the text."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null "), F.col(text_hash)))
+    return F.struct(F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), own)).alias("turn"), F.col("doc_id").alias("id"), F.col(text_hash).alias("text"))
+
+
+def _leaf_plan(own: DataFrame, weights, budget, budget_share, max_epochs, seed) -> DataFrame:
+    """A row for each leaf: whole epochs, and the last place of the next epoch that is still used (null: none)."""
+    leaves = save(own.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
+    plan = leaf_budgets(leaves, weights, budget, budget_share, max_epochs)
+    full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0)
+    plan = save(plan.withColumn("whole", full).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")).select(*LEVELS, "whole", "rest"), "plan")
+    placed = _same(own, plan, LEVELS).withColumn("place", _turn(seed))
+    # The order is uniform, so buckets of its first digits hold about 1/4096 of a leaf each: only the one at the cut is sorted.
+    bucket = F.substring("place.turn", 1, 3)
+    sums = placed.groupBy(*LEVELS, bucket.alias("bucket"), "rest").agg(F.sum("n_tokens").alias("n"))
+    upto = Window.partitionBy(*LEVELS).orderBy("bucket")
+    cuts = save(
+        sums.withColumn("before", F.coalesce(F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .filter("before < rest and before + n >= rest").select(*LEVELS, F.col("bucket").alias("cut"), "before"), "cuts",
+    )
+    running = Window.partitionBy(*LEVELS).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    last = (
+        _same(placed, cuts, LEVELS).filter(bucket == F.col("cut"))
+        .withColumn("used", F.col("before") + F.coalesce(F.sum("n_tokens").over(running), F.lit(0)) < F.col("rest"))
+        .filter("used").groupBy(*LEVELS).agg(F.max("place").alias("last"))
+    )
+    return save(_same(plan.select(*LEVELS, "whole"), last, LEVELS), "ends")
+
+
+def _own(docs: DataFrame, domain: Column, id_col: str, text_col: str, lang_col: str, source_col: str) -> list[Column]:
+    text = F.col(text_col).cast("string")
+    return [F.col(id_col).alias("doc_id"), domain.alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), F.xxhash64(text).alias("text_hash")]
+
+
+def _epochs(seed: int) -> Column:
+    return (F.coalesce("whole", F.lit(0)) + F.coalesce(_turn(seed) <= F.col("last"), F.lit(False)).cast("int")).cast("long")
+
+
+def _tokens(docs: DataFrame, own: list[Column], text_col: str) -> DataFrame:
+    return save(docs.select(*own, F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens")), "tokens")
+
+
 def mix_sources(
     docs: DataFrame, domain: Column, weights: dict[tuple, float], budget: float | None = None, budget_share: float = 1.0,
     max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
@@ -70,51 +120,30 @@ def mix_sources(
     """(doc_id, domain, lang, source, n_tokens, epochs): how often each document is used.
 
     Weights are given by path: ("web",), ("web", "en"), ("*", "en", "src1"); "*" is any part, the last rule that fits counts, and
-    without one siblings weigh 1. The budget (tokens, or budget_share of all tokens) goes down the tree domain, language, source;
-    a leaf takes max_epochs times its tokens at most, and what it can't take goes to its siblings before other branches.
+    without one siblings weigh 1; a weight of 0 leaves a branch out. The budget (tokens, or budget_share of all tokens) goes down the tree domain,
+    language, source; a leaf takes max_epochs times its tokens at most, and what it can't take goes to its siblings before other branches.
     A leaf uses its documents in whole epochs, then the first documents of the next epoch's seeded order, up to the one
     that reaches its budget. Tokens are words. Null keys are leaves of their own; null and wordless texts have no tokens and
-    are used only with whole epochs or before the cut; repeated rows are documents of their own. Rules are literals, so
-    their number is that of the caller's list; leaves are as many as different paths. An empty table gives an empty result.
+    are used only with whole epochs or before the cut. The order is by id, or by text where ids are null, so it is the same for any partitioning; rows
+    that are equal in both are used alike. Rules are literals, so their number is that of the caller's list; leaves are as many as different
+    paths. Other columns are ignored. An empty table gives an empty result.
     """
-    own = save(
-        docs.select(
-            F.col(id_col).alias("doc_id"), domain.alias("domain"), F.col(lang_col).alias("lang"), F.col(source_col).alias("source"),
-            F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("n_tokens"),
-        ),
-        "tokens",
-    )
-    leaves = save(own.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "leaves")
-    plan = leaf_budgets(leaves, weights, budget, budget_share, max_epochs)
-    full = F.when(F.col("tokens") > 0, F.floor(F.col("budget") / F.col("tokens"))).otherwise(0)
-    plan = save(plan.withColumn("whole", full).withColumn("rest", F.col("budget") - F.col("whole") * F.col("tokens")), "plan")
-    turn = F.md5(F.concat_ws(":", F.lit(seed), F.col("whole"), F.col("doc_id")))
-    # The order is uniform, so buckets of its first digits hold about 1/4096 of a leaf each: only the one at the cut is sorted.
-    bucket = F.substring("turn", 1, 3)
-    sums = _same(own, plan, LEVELS).withColumn("turn", turn).groupBy(*LEVELS, bucket.alias("bucket"), "rest").agg(F.sum("n_tokens").alias("n"))
-    upto = Window.partitionBy(*LEVELS).orderBy("bucket")
-    cuts = (
-        sums.withColumn("before", F.coalesce(F.sum("n").over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .filter("before < rest and before + n >= rest").select(*LEVELS, F.col("bucket").alias("cut"), "before")
-    )
-    plan = save(_same(plan.select(*LEVELS, "whole", "rest"), cuts, LEVELS), "cuts")
-    dealt = _same(own, plan, LEVELS).withColumn("turn", turn)
-    running = Window.partitionBy(*LEVELS).orderBy("turn", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    at_cut = dealt.filter(bucket == F.col("cut")).withColumn(
-        "extra", (F.col("before") + F.coalesce(F.sum("n_tokens").over(running), F.lit(0)) < F.col("rest")).cast("int")
-    )
-    off_cut = dealt.filter(~F.coalesce(bucket == F.col("cut"), F.lit(False))).withColumn("extra", F.coalesce(bucket < F.col("cut"), F.lit(False)).cast("int"))
-    return at_cut.unionByName(off_cut).select("doc_id", *LEVELS, "n_tokens", (F.coalesce("whole", F.lit(0)) + F.col("extra")).cast("long").alias("epochs"))
+    own = _tokens(docs, _own(docs, domain, id_col, text_col, lang_col, source_col), text_col)
+    plan = _leaf_plan(own, weights, budget, budget_share, max_epochs, seed)
+    return _same(own, plan, LEVELS).select("doc_id", *LEVELS, "n_tokens", _epochs(seed).alias("epochs"))
 
 
-def mixed_documents(docs: DataFrame, domain: Column, weights: dict[tuple, float], id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of docs as often as mix_sources() uses them; rows of one id are all used as often as the most used of them."""
-    uses = save(
-        mix_sources(docs, domain, weights, id_col=id_col, **options).filter("epochs > 0")
-        .groupBy(F.col("doc_id").alias("_id")).agg(F.max("epochs").alias("_epochs")), "uses",
-    )
-    used = docs.join(uses, F.col(id_col).eqNullSafe(F.col("_id")))
-    return used.withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), "_epochs"))).drop("_id", "_epochs", "_epoch")
+def mixed_documents(
+    docs: DataFrame, domain: Column, weights: dict[tuple, float], budget: float | None = None, budget_share: float = 1.0,
+    max_epochs: int = 1, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source",
+) -> DataFrame:
+    """The rows of docs as often as mix_sources() uses them. Each row is decided where it is, from its leaf's last place; columns keep their names, whatever they are."""
+    own = _own(docs, domain, id_col, text_col, lang_col, source_col)
+    tokens = _tokens(docs, own, text_col)
+    plan = _leaf_plan(tokens, weights, budget, budget_share, max_epochs, seed)
+    drop(tokens)
+    used = _same(docs.select(*own, F.struct(*[F.col(c) for c in docs.columns]).alias("row")), plan, LEVELS).select("row", _epochs(seed).alias("epochs")).filter("epochs > 0")
+    return used.select("row", F.explode(F.sequence(F.lit(1).cast("long"), "epochs"))).select("row.*")
 
 
 #: The mixture of the registered query: sources dealt to three domains by number.

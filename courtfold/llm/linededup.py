@@ -9,8 +9,8 @@ from .work import save
 
 
 def _key(line: Column) -> Column:
-    """128 bits of a line: two chained 64-bit hashes."""
-    return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(1), line).alias("b"))
+    """128 bits of a line, as text, whose arrays Spark intersects by hashing."""
+    return F.md5(line)
 
 
 def _lines(text: str) -> Column:
@@ -36,23 +36,25 @@ def boilerplate(pages: DataFrame, host_col: str = "source", text_col: str = "tex
 
 def line_dedup(
     pages: DataFrame, host_col: str = "source", text_col: str = "text", ratio: float = 0.1, min_pages: int = 5,
-    kept_col: str = "kept_text", lines_col: str = "n_lines", dropped_col: str = "n_dropped",
+    kept_col: str = "kept_text", lines_col: str | None = "n_lines", dropped_col: str | None = "n_dropped",
 ) -> DataFrame:
     """pages with the text that remains, its number of lines before, and how many of them were dropped.
 
     A line is what stands between line feeds, compared exactly; lines of spaces are never dropped. Every copy
     of a boilerplate line goes, on each page of the host where it is frequent, and nowhere else. A null host is a host
     of its own; a null text is one empty line and comes back empty; repeated rows are pages of their own. Columns of
-    pages keep their names, and those named like an output column are replaced.
+    pages keep their names, and those named like an output column are replaced; None leaves a count out.
     """
-    known = boilerplate(pages, host_col, text_col, ratio, min_pages).select(F.col("host").alias("_host"), F.col("keys").alias("_keys"))
-    kept = F.when(F.col("_keys").isNull(), _lines(text_col)).otherwise(
-        F.filter(_lines(text_col), lambda line: ~F.array_contains(F.col("_keys"), _key(line)))
-    )
-    found = pages.join(known, F.col(host_col).eqNullSafe(F.col("_host")), "left").withColumn("_kept", kept)
-    return found.withColumns({
-        lines_col: F.size(_lines(text_col)), dropped_col: F.size(_lines(text_col)) - F.size("_kept"), kept_col: F.array_join("_kept", "\n"),
-    }).drop("_host", "_keys", "_kept")
+    known = boilerplate(pages, host_col, text_col, ratio, min_pages).select(F.col("host").alias("known_host"), F.col("keys").alias("known"))
+    lines = _lines("page_text")
+    own = pages.select(F.col(host_col).alias("page_host"), F.col(text_col).alias("page_text"), F.struct(*[F.col(c) for c in pages.columns]).alias("row"))
+    found = own.join(known, F.col("page_host").eqNullSafe(F.col("known_host")), "left")
+    # a page's own few boilerplate lines first, so that lines aren't compared with all of the host's
+    found = found.select("row", lines.alias("lines"), F.coalesce(F.array_intersect(F.transform(lines, _key), "known"), F.array().cast("array<string>")).alias("common"))
+    found = found.select("row", F.size("lines").alias("n"), F.filter("lines", lambda line: ~F.array_contains("common", _key(line))).alias("kept"))
+    new = {lines_col: F.col("n"), dropped_col: F.col("n") - F.size("kept"), kept_col: F.array_join("kept", "\n")}
+    new.pop(None, None)
+    return found.select(*[new.pop(c).alias(c) if c in new else F.col("row").getField(c).alias(c) for c in pages.columns], *[x.alias(c) for c, x in new.items()])
 
 
 ORACLE = """

@@ -1,4 +1,8 @@
-"""Near-duplicate documents by word shingles: MinHash bands retrieve pairs, exact Jaccard similarity decides."""
+"""Near-duplicate documents by word shingles: SimHash and MinHash bands retrieve pairs, exact Jaccard similarity decides.
+
+Deletion-variant SimHash signatures (see simhash) find the nearest texts, but two texts of similarity 0.8 differ in about ten of 64 bits, which
+no bucket of usable size holds. So bands of MinHashes retrieve the rest.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import SECOND, mix, range_hashes, text_slices, windows_of, words_of
+from .arrays import SECOND, mix, near_hashes, range_hashes, text_slices, windows_of, words_of
 from .components import connected_components
-from .work import save
+from .packing import runs
+from .simhash import fingerprint_links
+from .work import drop, joined_by_size, save, whole_number
 
 #: 24 bands of 6 hashes miss a pair of similarity s with probability (1 - s**6)**24: 0.0007 at 0.8, 1e-8 at 0.9.
 BANDS, ROWS = 24, 6
+#: Bands whose neighbours are compared first; what they link need not be compared again in the others.
+FIRST_BANDS = 6
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
-SKETCH = "doc_id long, node long, grams array<long>, bands array<long>"
+SKETCH = "doc_id long, node long, n int, fp long, bands array<long>"
+BLOCK = 1 << 16
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -25,7 +34,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
     words = range_hashes(data, starts, ends)
     at = windows_of(first, width)
     short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < width))
-    hashes = np.concatenate([range_hashes(words, at, at + width), range_hashes(words, first[short], first[short + 1])])
+    hashes = np.concatenate([near_hashes(words, at, at + width), range_hashes(words, first[short], first[short + 1])])
     rows = np.concatenate([np.searchsorted(first, at, "right") - 1, short])
     order = np.lexsort((hashes, rows))
     hashes, rows = hashes[order], rows[order]
@@ -46,8 +55,29 @@ def band_keys(hashes: np.ndarray, begins: np.ndarray, bands: int = BANDS, rows:
     return out
 
 
+def fingerprints_of(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """64-bit SimHash of each set of shingle hashes; zero for an empty one."""
+    counts = np.zeros((len(sizes), 64), np.int64)
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    for k in range(0, len(hashes), BLOCK):
+        bits = np.unpackbits(hashes[k : k + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        cuts = runs(rows[k : k + BLOCK])
+        counts[rows[k : k + BLOCK][cuts[:-1]]] += np.add.reduceat(bits, cuts[:-1], axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > sizes[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
+
+
+def _nodes(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A hash of each whole set."""
+    sizes = np.diff(bounds)
+    filled = np.flatnonzero(sizes)
+    node = np.zeros(len(sizes), np.uint64)
+    if len(filled):
+        node[filled] = mix(np.add.reduceat(mix(hashes ^ SECOND), bounds[filled]) + sizes[filled].astype(np.uint64))
+    return node.view(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
-    """(doc_id, node, grams, bands) of every row: node is a hash of the whole set of shingles; a wordless text has no bands."""
+    """(doc_id, node, n, fp, bands) of every row: node is a hash of the whole set of n shingles, fp its SimHash; a wordless text has no bands."""
 
     def run(batches):
         for batch in batches:
@@ -55,22 +85,31 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 hashes, bounds = shingle_sets(data, offsets, width)
                 sizes = np.diff(bounds)
                 filled = np.flatnonzero(sizes)
-                node = np.zeros(len(sizes), np.uint64)
-                keys, ends = np.zeros((0, BANDS), np.uint64), np.concatenate([[0], np.cumsum(sizes > 0)]) * BANDS
-                if len(filled):
-                    begins = bounds[filled]
-                    node[filled] = mix(np.add.reduceat(mix(hashes ^ SECOND), begins) + sizes[filled].astype(np.uint64))
-                    keys = band_keys(hashes, begins)
+                keys = band_keys(hashes, bounds[filled]) if len(filled) else np.zeros((0, BANDS), np.uint64)
+                ends = (np.concatenate([[0], np.cumsum(sizes > 0)]) * BANDS).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        rows.column("doc_id"), pa.array(node.view(np.int64)),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64))),
-                        pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(keys.ravel().view(np.int64))),
+                        rows.column("doc_id"), pa.array(_nodes(hashes, bounds)), pa.array(sizes.astype(np.int32)), pa.array(fingerprints_of(hashes, sizes).view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64))),
                     ],
-                    ["doc_id", "node", "grams", "bands"],
+                    ["doc_id", "node", "n", "fp", "bands"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(whole_number(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SKETCH)
+
+
+def gram_sets(texts: DataFrame, width: int = 5) -> DataFrame:
+    """(node, grams) of texts(text)."""
+
+    def run(batches):
+        for batch in batches:
+            for _, data, offsets in text_slices(batch, "text"):
+                hashes, bounds = shingle_sets(data, offsets, width)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(_nodes(hashes, bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["node", "grams"]
+                )
+
+    return texts.select("text").mapInArrow(run, "node long, grams array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -83,29 +122,38 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable by pairs of Jaccard similarity `threshold` or more).
 
-    Sets of equal shingles are one node. Neighbours in each band's bucket are checked first; then only pairs of different
-    components that still meet in a bucket, so a large group of near copies never emits its pairs. A pair that no bucket
-    holds is missed, see BANDS. Null, empty and wordless texts are equal. Rows with a null id keep their row and never name a
-    group unless all of its ids are null. Other columns are ignored. An empty table gives an empty result.
+    Sets of equal shingles are one node. Neighbours in the buckets of the first bands and in groups of near fingerprints are checked first; then only pairs of
+    different components that still meet in a bucket, so a large group of near copies never emits its pairs. A pair that no bucket
+    holds is missed, see BANDS. Null, empty and wordless texts are equal. Rows with a null id, or one that isn't a whole number, keep their row and never
+    name a group unless all of its ids are null. Other columns are ignored. An empty table gives an empty result.
     """
     prints = save(sketches(docs, id_col, text_col, width), "sketches")
-    nodes = save(prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first(F.size("grams")).alias("n"), F.first("bands").alias("bands")), "nodes")
-    # grams of equal nodes are equal, so any row's will do
-    sets = prints.select("node", "grams")
+    nodes = save(
+        prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes"
+    )
     keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    met = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1").select("band", "key")
+    close = fingerprint_links(nodes.filter("n > 0").select("fp").distinct())
+    close = nodes.filter("n > 0").select("node", "n", "fp").join(close, F.col("fp") == close.node).select(nodes.node, "n", "component")
+    close = save(close.withColumns({"u": F.min("node").over(Window.partitionBy("component")), "m": F.min_by("n", "node").over(Window.partitionBy("component"))}).filter("u <> node"), "close")
+    keyed = save(keyed.join(met, ["band", "key"]), "keyed")
+    wanted = keyed.select("node").unionByName(close.select("node")).unionByName(close.select(F.col("u").alias("node"))).distinct()
+    # one document of each node that meets another gives its set
+    ids = save(nodes.join(wanted, "node").select(F.col("least").alias("wanted_id")).distinct(), "wanted")
+    own = docs.select(whole_number(id_col).alias("own_id"), F.col(text_col).cast("string").alias("text"))
+    sets = save(gram_sets(joined_by_size(own, ids, F.col("own_id").eqNullSafe(F.col("wanted_id"))), width).dropDuplicates(["node"]), "sets")
     alike = F.least("n", "m") >= threshold * F.greatest("n", "m") - 1e-6
 
     def links(pairs, name):
         pairs = save(pairs.filter(alike).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-pairs")
-        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-        own = save(sets.join(ends, "node", "left_semi").dropDuplicates(["node"]), f"{name}-sets")
-        return save(_similar(pairs, own, threshold), name)
+        return save(_similar(pairs, sets, threshold), name)
 
     order = Window.partitionBy("band", "key").orderBy("n", "node")
-    first = links(keyed.select(F.col("node").alias("v"), "n", F.lag("node").over(order).alias("u"), F.lag("n").over(order).alias("m")).filter("u is not null"), "neighbours")
+    neighbours = keyed.filter(F.col("band") < FIRST_BANDS).select(F.col("node").alias("v"), "n", F.lag("node").over(order).alias("u"), F.lag("n").over(order).alias("m")).filter("u is not null")
+    first = links(neighbours.unionByName(close.select(F.col("node").alias("v"), "n", "u", "m")), "neighbours")
     groups = connected_components(first)
-    held = nodes.join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"), F.posexplode("bands").alias("band", "key"))
     whole = Window.partitionBy("band", "key")
+    held = keyed.join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"), "band", "key")
     mixed = save(
         held.select("*", F.min("c").over(whole).alias("lo"), F.max("c").over(whole).alias("hi")).filter("lo < hi").select("band", "key", "node", "n", "c"), "mixed"
     )
@@ -116,11 +164,14 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labelled = save(nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")), "labelled")
     least = save(labelled.groupBy("c").agg(F.min("least").alias("component_id")), "least")
     named = save(labelled.join(least, "c").select("node", "component_id"), "named")
+    for table in (sets, keyed, mixed, close, labelled, least, nodes):
+        drop(table)
     return prints.select("doc_id", "node").join(named, "node").select("doc_id", "component_id")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs whose document is the smallest of its group; rows of one id stay or go together."""
+    """The rows of docs whose document is the smallest of its group; rows of one id stay or go together. Columns keep their names, whatever they are."""
     groups = near_groups(docs, id_col, text_col, width, threshold)
-    keep = save(groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "keep")
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    gone = save(groups.groupBy("doc_id").agg(F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("stays")).filter("not stays").select(F.col("doc_id").alias("gone_id")), "gone")
+    own = docs.select(whole_number(id_col).alias("own_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return joined_by_size(own, gone, F.col("own_id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")

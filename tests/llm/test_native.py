@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from courtfold.llm import mixing
 from courtfold.llm.linededup import line_dedup
 from courtfold.llm.quality import quality_rules
-from courtfold.llm.simhash import simhash_groups
+from test_neardup import brute as brute_groups
 
 DDL = "doc_id long, text string, lang string, source string, n_lines string"
 
@@ -84,10 +84,84 @@ def test_stages_do_what_their_operators_decide(spark, corpus):
         elif name == "line dedup":
             assert {k: r.text for k, r in after.items()} == dict(brute_lines(docs.collect())) and all(r.n_chars == len(r.text) for r in after.values())
         elif name == "SimHash near-dedup":
-            assert set(after) == {r.component_id for r in simhash_groups(docs).collect()}
+            # five-word shingles at Jaccard 0.8, as stages on word shingles take
+            assert set(after) == {least for _, least in brute_groups([(r.doc_id, r.text) for r in docs.collect()])}
         else:
             tokens = lambda rs: sum(len(r.text.split()) for r in rs)
             assert tokens(after.values()) >= 0.6 * tokens(before.values()) and all(before[k] == r for k, r in after.items())
         docs = out
     coded = corpus_pipeline.STAGES[-1][1](spark, docs, "")
     assert coded.count() == docs.count() and coded.filter(~F.col("round_trip")).count() == 0
+
+
+def test_mixing_passes_on_what_branches_of_weight_zero_leave(spark):
+    leaves = spark.createDataFrame([("web", "en", "a", 500), ("web", "de", "b", 10), ("books", "en", "c", 1000)], "domain string, lang string, source string, tokens long")
+    budgets = {r.source: r.budget for r in mixing.leaf_budgets(leaves, {("web", "en"): 0.0}, 200.0, 1.0, 1).collect()}
+    assert budgets == {"a": 0, "b": 10, "c": 190}
+
+
+def fill_by_hand(children, budget):
+    """{name: share} of a budget among {name: (weight, cap)}: by weight, and again by weight among those with room for what full ones can't take."""
+    out, open_ = dict.fromkeys(children, 0.0), {k for k, (w, cap) in children.items() if w > 0}
+    while open_ and budget > 1e-9:
+        total = sum(children[k][0] for k in open_)
+        full = {k for k in open_ if children[k][1] - out[k] <= budget * children[k][0] / total}
+        if not full:
+            for k in open_:
+                out[k] += budget * children[k][0] / total
+            break
+        given = {k: children[k][1] - out[k] for k in full}
+        for k, x in given.items():
+            out[k] += x
+        budget -= sum(given.values())
+        open_ -= full
+    return out
+
+
+def test_budgets_equal_a_plain_descent(spark):
+    import random
+
+    rng = random.Random(9)
+    leaves = [(d, g, s, rng.choice([0, 10, 200, 3000])) for d in ("web", "books", "x") for g in ("en", "de") for s in ("a", "b", "c") if rng.random() < 0.8]
+    weights = {("web",): 0.6, ("books",): 0.1, ("*", "de"): 2.0, ("web", "en", "a"): 0.0, ("x", "en"): 0.0}
+
+    def weight(*path):
+        fits = [w for rule, w in weights.items() if len(rule) == len(path) and all(a in ("*", b) for a, b in zip(rule, path))]
+        return fits[-1] if fits else 1.0
+
+    cap = {x[:3]: 2 * x[3] if all(weight(*x[: i + 1]) > 0 for i in range(3)) else 0 for x in leaves}
+    under = lambda *path: sum(c for k, c in cap.items() if k[: len(path)] == path)
+    for budget in (0, 50, 900, 6000, 10**6):
+        want = {}
+        for d, x in fill_by_hand({d: (weight(d), under(d)) for d in {k[0] for k in cap}}, budget).items():
+            for g, y in fill_by_hand({g: (weight(d, g), under(d, g)) for g in {k[1] for k in cap if k[0] == d}}, x).items():
+                for s, z in fill_by_hand({s: (weight(d, g, s), cap[d, g, s]) for s in {k[2] for k in cap if k[:2] == (d, g)}}, y).items():
+                    want[d, g, s] = int(z + 1e-6)
+        frame = spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long")
+        assert {(r.domain, r.lang, r.source): r.budget for r in mixing.leaf_budgets(frame, weights, float(budget), 1.0, 2).collect()} == want
+
+
+def test_rows_are_mixed_in_place_as_the_plan_says_whatever_columns_are_called(spark):
+    rows = [(i if i % 7 else None, "w " * (1 + i % 5) + str(i), "en" if i % 3 else "de", f"src{i % 4}", "t", i, "e") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, turn string, whole int, epochs string")
+    args = (mixing.domain_of(), mixing.WEIGHTS)
+    uses = Counter(r.doc_id for r in mixing.mix_sources(docs, *args, budget_share=0.7, max_epochs=2, seed=3).collect() for _ in range(r.epochs))
+    mixed = mixing.mixed_documents(docs, *args, budget_share=0.7, max_epochs=2, seed=3)
+    assert mixed.columns == docs.columns and Counter(r.doc_id for r in mixed.collect()) == uses
+    assert mixing.mixed_documents(docs.limit(0), *args).count() == 0
+
+
+def test_line_dedup_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(i, "menu\nx" + str(i), "a", "h", "k", "r") for i in range(9)], "doc_id long, text string, source string, known_host string, kept string, row string")
+    got = line_dedup(docs)
+    assert got.columns == [*docs.columns, "n_lines", "n_dropped", "kept_text"] and got.filter("kept = 'k' and row = 'r' and kept_text like 'x%'").count() == 9
+
+
+def test_stages_take_empty_tables_and_nulls(spark, corpus):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, corpus.limit(0), "").count() == 0, name
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "src1", 0), (1, "", "en", "src1", 0), (None, "x " * 30, None, None, 60)], corpus.schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns and out.count() <= 4, name
+    assert corpus_pipeline.STAGES[-1][1](spark, odd, "").count() == 4

@@ -14,6 +14,8 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SECOND = np.uint64(0xD6E8FEB86659FD93)
 SECOND_INVERSE = np.uint64(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
+#: Rows of a batch that are copied at a time.
+ROWS = 512
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -60,15 +62,16 @@ def near_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base=B
 def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Cut a batch into runs of rows of about `most` text bytes; yields (rows, bytes, offsets). Null texts are empty."""
     i = batch.schema.get_field_index(column)
-    kind = pa.large_binary()
-    texts = pc.fill_null(batch.column(i).cast(pa.large_string()), "").cast(kind)
-    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
-    data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and texts.buffers()[2].size else np.zeros(0, np.uint8)
-    row = 0
-    while row < len(texts):
-        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
-        yield batch.slice(row, end - row), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
-        row = end
+    for k in range(0, batch.num_rows, ROWS):
+        own = batch.slice(k, ROWS)
+        texts = pc.fill_null(own.column(i).cast(pa.large_string()), "").cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8)
+        data = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None and texts.buffers()[2].size else np.zeros(0, np.uint8)
+        row = 0
+        while row < len(texts):
+            end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + most, "right")) - 1)
+            yield own.slice(row, end - row), data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+            row = end
 
 
 def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

@@ -1,8 +1,14 @@
-"""SentencePiece encoding and decoding: words of equal length advance together in numpy."""
+"""SentencePiece encoding and decoding by batched Viterbi: words of equal length advance together in numpy.
+
+At each end position all words probe the sorted piece keys with the hashes of all substrings that end there; the best total is stored with its start as
+backpointer. For a unigram model totals are sums of scores. For a merge (BPE) model a step from one piece to the next is possible only if
+merging the two pieces' text by itself gives exactly those two, else it counts minus infinity. A text's merges never cross the
+borders of its final pieces, so each pair of neighbours is what merging the pair alone gives, and the other way round: just one path
+has possible steps only, and it is the library's encoding. merges() decides pairs of pieces, and those are kept.
+"""
 
 from __future__ import annotations
 
-import heapq
 import re
 from dataclasses import dataclass, field
 
@@ -12,12 +18,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .arrays import BASE, BASE_INVERSE, SECOND, mix, powers
+from .work import whole_number
 
 SPACE = "▁"
 UNKNOWN_PENALTY = 10.0
 UNKNOWN_SURFACE = " ⁇ "
 LONG = 40
-CACHE = 800_000
+CACHE, PAIRS = 250_000, 300_000
+#: Texts whose new words are learnt together, and texts that are cut into words at a time.
+LEARNT, CUT = 4096, 256
 NOTHING = np.float64(-np.inf)
 
 
@@ -120,6 +129,12 @@ def viterbi(words: list[str], model: PieceModel) -> Spans:
         total = best[:, starts] + scores
         pick = total.argmax(axis=1)
         best[:, end], start_of[:, end], id_of[:, end] = total[rows, pick], starts[pick], ids[rows, pick]
+    return _traced(w, start_of, id_of)
+
+
+def _traced(w: _Words, start_of: np.ndarray, id_of: np.ndarray) -> Spans:
+    """The pieces that the backpointers lead to from the ends of the words."""
+    rows = np.arange(w.n)
     steps, ends = [], np.full(w.n, w.length)
     while len(rows):
         steps.append((rows, start_of[rows, ends], ends, id_of[rows, ends]))
@@ -130,6 +145,58 @@ def viterbi(words: list[str], model: PieceModel) -> Spans:
     return row[order], start[order], end[order], ids[order]
 
 
+class Steps:
+    """Which pieces of a merge model may follow one another. -1 stands for a character without a piece, -2 for the start of a word."""
+
+    def __init__(self, model: PieceModel):
+        self.model, self.known = model, {}
+        self.size = len(model.pieces) + 2
+
+    def possible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        keys, which = np.unique((left + 2) * self.size + right + 2, return_inverse=True)
+        if len(self.known) > PAIRS:
+            self.known.clear()
+        new = [k for k in keys.tolist() if k not in self.known]
+        if new:
+            self._learn(new)
+        return np.array([self.known[k] for k in keys.tolist()], bool)[which]
+
+    def _learn(self, keys: list[int]) -> None:
+        by_length: dict[int, list] = {}
+        for key in keys:
+            left, right = key // self.size - 2, key % self.size - 2
+            if right < 0:
+                self.known[key] = True  # no piece holds such a character
+                continue
+            first = self.model.pieces[left] if left >= 0 else ""
+            by_length.setdefault(len(first) + len(self.model.pieces[right]), []).append((key, len(first), first + self.model.pieces[right]))
+        for group in by_length.values():
+            row, start, _, _ = merges([text for _, _, text in group], self.model)
+            bounds = np.searchsorted(row, np.arange(len(group) + 1))
+            for k, (key, cut, _) in enumerate(group):
+                self.known[key] = start[bounds[k] : bounds[k + 1]].tolist() == ([0, cut] if cut else [0])
+
+
+def merge_viterbi(words: list[str], model: PieceModel, steps: Steps) -> Spans:
+    """As viterbi(), for models whose scores are merge ranks: a total is 0 where all steps are possible, else minus infinity."""
+    w = _Words(words)
+    rows = np.arange(w.n)
+    start_of, id_of = np.zeros((w.n, w.length + 1), np.int64), np.full((w.n, w.length + 1), -1, np.int64)
+    id_of[:, 0] = -2
+    for end in range(1, w.length + 1):
+        starts = np.arange(max(0, end - model.longest), end)
+        grid = np.broadcast_to(starts, (w.n, len(starts)))
+        ids, _ = model.probe(w.hashes(rows[:, None], grid, np.full_like(grid, end)))
+        some = ids >= 0
+        some[:, -1] = True
+        r, c = np.nonzero(some)
+        total = np.full(ids.shape, NOTHING)
+        total[r, c] = np.where(steps.possible(id_of[r, starts[c]], ids[r, c]), 0.0, NOTHING)
+        pick = total.argmax(axis=1)
+        start_of[:, end], id_of[:, end] = starts[pick], ids[rows, pick]
+    return _traced(w, start_of, id_of)
+
+
 def merges(words: list[str], model: PieceModel) -> Spans:
     """As viterbi(), for models whose scores are merge ranks: every word makes its best merge (the leftmost of equals) at each step."""
     w = _Words(words)
@@ -165,43 +232,11 @@ def merges(words: list[str], model: PieceModel) -> Spans:
     return r, s, e, model.probe(w.hashes(r, s, e))[0]
 
 
-def _merge_long(word: str, model: PieceModel) -> Spans:
-    """merges() for one long word, with a heap."""
-    w = _Words([word])
-    n = len(word)
-    end, before, alive = list(range(1, n + 1)), list(range(-1, n - 1)), [True] * n
-    at = np.arange(n - 1)
-    first = model.probe(w.hashes(0, at, at + 2))[1]
-    heap = [(-x, int(i), int(i) + 2) for i, x in enumerate(first) if x > NOTHING]
-    heapq.heapify(heap)
-
-    def push(s):
-        if s >= 0 and end[s] < n:
-            e = end[end[s]]
-            x = model.probe(w.hashes(0, np.array([s]), np.array([e])))[1][0]
-            if x > NOTHING:
-                heapq.heappush(heap, (-x, s, e))
-
-    while heap:
-        _, s, e = heapq.heappop(heap)
-        if not alive[s] or end[s] >= n or not alive[end[s]] or end[end[s]] != e:
-            continue
-        gone = end[s]
-        alive[gone], end[s] = False, e
-        if e < n:
-            before[e] = s
-        push(s)
-        push(before[s])
-    s = np.array([i for i in range(n) if alive[i]])
-    e = np.array([end[i] for i in s])
-    return np.zeros(len(s), np.int64), s, e, model.probe(w.hashes(0, s, e))[0]
-
-
 class Encoder:
     """Encodes texts by their words; ids of words seen are kept, up to CACHE words."""
 
     def __init__(self, model: PieceModel):
-        self.model, self.known = model, {}
+        self.model, self.known, self.steps = model, {}, Steps(model)
 
     def _ids(self, word: str, starts, ends, ids) -> bytes:
         """int32 ids of a word's pieces; unknown characters become their bytes, or one unknown id a run."""
@@ -234,10 +269,13 @@ class Encoder:
             else:
                 by_length.setdefault(len(word), []).append(word)
         for length, group in by_length.items():
-            step = max(1, 200_000 // (length + 1) // (1 if merging else self.model.longest))
+            step = max(1, 200_000 // (length + 1))
             for k in range(0, len(group), step):
                 part = group[k : k + step]
-                self._keep(part, (merges if merging else viterbi)(part, self.model))
+                self._keep(part, self._spans(part))
+
+    def _spans(self, words: list[str]) -> Spans:
+        return merge_viterbi(words, self.model, self.steps) if self.model.kind == "bpe" else viterbi(words, self.model)
 
     def _keep(self, words: list[str], spans: Spans) -> None:
         row, starts, ends, ids = spans
@@ -252,24 +290,28 @@ class Encoder:
                 self.known[word] = plain[cuts[k] : cuts[k + 1]]
 
     def _learn_long(self, word: str) -> None:
-        """Only parts of a long word can merge, so those are merged one by one; parts beyond LONG use a heap."""
+        """Only parts of a long word can merge, so each is a word of its own here."""
         spans, shift = [], 0
         for part in self._parts(word):
-            _, starts, ends, ids = (merges([part], self.model) if len(part) <= LONG else _merge_long(part, self.model))
+            _, starts, ends, ids = self._spans([part])
             spans.append((starts + shift, ends + shift, ids))
             shift += len(part)
         self.known[word] = self._ids(word, *(np.concatenate(x) for x in zip(*spans)))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """int32 ids of each text, as bytes."""
-        units = [self._units(t) for t in texts]
-        new = {u for us in units for u in us if u not in self.known}
-        if new:
+        out: list[bytes] = []
+        for k in range(0, len(texts), LEARNT):
+            group = texts[k : k + LEARNT]
+            words = {u for j in range(0, len(group), CUT) for u in {x for t in group[j : j + CUT] for x in self._units(t)}}
+            new = words - self.known.keys()
             if len(self.known) + len(new) > CACHE:
-                new = {u for us in units for u in us}
-            self.learn(new)
-        get = self.known.__getitem__
-        return [b"".join(map(get, us)) for us in units]
+                new = words  # all that is known goes
+            if new:
+                self.learn(new)
+            get = self.known.__getitem__
+            out += [b"".join(map(get, self._units(t))) for t in group]
+        return out
 
     def _units(self, text: str) -> list[str]:
         if not text:
@@ -304,26 +346,27 @@ def encode_documents(
     """(doc_id, n_tokens, ids, round_trip): piece ids of whole texts, and whether decoding them gives the text again.
 
     Null and empty texts have no ids and a null text's round trip is null. A text that holds the space mark itself comes back
-    with a space there, so its round trip is false. Repeated rows stay repeated; null ids are kept; other columns are ignored.
+    with a space there, so its round trip is false. Ids that aren't whole numbers become null. Repeated rows stay repeated; null ids are kept; other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         encoder = Encoder(shared.value)
         for batch in batches:
-            for k in range(0, batch.num_rows, 512):
-                part = batch.slice(k, 512)
+            for k in range(0, batch.num_rows, LEARNT):
+                part = batch.slice(k, LEARNT)
                 texts = part.column(1).to_pylist()
                 coded = encoder.encode([t or "" for t in texts])
-                sizes = np.array([len(c) // 4 for c in coded], np.int64)
-                flat = np.frombuffer(b"".join(coded), np.int32)
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
-                ids = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat))
-                plain = flat.tolist()
-                same = [None if t is None else encoder.decode(plain[a:b]) == t for t, a, b in zip(texts, bounds.tolist(), bounds[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), ids, pa.array(same, pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"])
-
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+                same = [None if t is None else encoder.decode(np.frombuffer(c, np.int32).tolist()) == t for t, c in zip(texts, coded)]
+                for j in range(0, len(texts), CUT):
+                    own = coded[j : j + CUT]
+                    sizes = np.array([len(c) // 4 for c in own], np.int64)
+                    ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(np.frombuffer(b"".join(own), np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).slice(j, CUT), pa.array(sizes), ids, pa.array(same[j : j + CUT], pa.bool_())], ["doc_id", "n_tokens", "ids", "round_trip"]
+                    )
+
+    return docs.select(whole_number(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
         run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
     )
 
@@ -339,4 +382,4 @@ def decode_documents(coded: DataFrame, model: PieceModel, id_col: str = "doc_id"
             texts = [None if ids is None else encoder.decode([i for i in ids if i is not None and 0 <= i < top]) for ids in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")
+    return coded.select(whole_number(id_col).alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids")).mapInArrow(run, "doc_id long, text string")

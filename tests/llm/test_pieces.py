@@ -6,7 +6,7 @@ import pytest
 sentencepiece = pytest.importorskip("sentencepiece")
 from sentencepiece import sentencepiece_model_pb2 as pb  # noqa: E402
 
-from courtfold.llm.pieces import Encoder, PieceModel, _merge_long, decode_documents, encode_documents, merges  # noqa: E402
+from courtfold.llm.pieces import Encoder, PieceModel, Steps, decode_documents, encode_documents, merge_viterbi, merges  # noqa: E402
 
 PATH = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 TEXTS = [
@@ -63,8 +63,8 @@ def test_merge_model_gives_the_library_ids_and_texts():
     assert got == [library.encode(t) for t in texts]
     assert [own.decode(x) for x in got] == [library.decode(x) for x in got]
     assert [own.decode(x) for x in got] == texts
-    word = "▁internationalisation" * 4
-    assert all((a == b).all() for a, b in zip(_merge_long(word, own.model), merges([word], own.model)))
+    for word in ("▁internationalisation" * 4, "▁aaaaaaaaaaaaaaaaaaaaaab", "▁thethethethe", "▁éèàééé漢字"):
+        assert all((a == b).all() for a, b in zip(merge_viterbi([word], own.model, Steps(own.model)), merges([word], own.model)))
 
 
 @pytest.mark.parametrize("fallback", [True, False])

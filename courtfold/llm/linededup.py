@@ -50,8 +50,10 @@ def line_dedup(
     own = pages.select(F.col(host_col).alias("page_host"), F.col(text_col).alias("page_text"), F.struct(*[F.col(c) for c in pages.columns]).alias("row"))
     found = own.join(known, F.col("page_host").eqNullSafe(F.col("known_host")), "left")
     # a page's own few boilerplate lines first, so that lines aren't compared with all of the host's
-    found = found.select("row", lines.alias("lines"), F.coalesce(F.array_intersect(F.transform(lines, _key), "known"), F.array().cast("array<string>")).alias("common"))
-    found = found.select("row", F.size("lines").alias("n"), F.filter("lines", lambda line: ~F.array_contains("common", _key(line))).alias("kept"))
+    both = F.struct(lines.alias("lines"), F.coalesce(F.array_intersect(F.transform(lines, _key), "known"), F.array().cast("array<string>")).alias("common"))
+    # an array of one, so that what is common is found once a page and not once a line
+    kept = F.transform(F.array(both), lambda x: F.filter(x["lines"], lambda line: ~F.array_contains(x["common"], _key(line))))[0]
+    found = found.select("row", F.size(lines).alias("n"), kept.alias("kept"))
     new = {lines_col: F.col("n"), dropped_col: F.col("n") - F.size("kept"), kept_col: F.array_join("kept", "\n")}
     new.pop(None, None)
     return found.select(*[new.pop(c).alias(c) if c in new else F.col("row").getField(c).alias(c) for c in pages.columns], *[x.alias(c) for c, x in new.items()])

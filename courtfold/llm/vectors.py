@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .work import save
+from .packing import flat, slices
+from .work import save, whole_number
 
 TABLES, FUNCTIONS, PROBES = 12, 2, 2
 CHUNK = 1024
@@ -60,7 +61,8 @@ def cross_polytope(unit: np.ndarray, tables: int, functions: int, probes: int, s
 
 
 def _hashed(reps: DataFrame, tables: int, functions: int, probes: int, seed: int) -> DataFrame:
-    """A row for each rep and bucket: its vector, weight and the buckets of all tables, which tell where a pair first meets."""
+    """A row for each rep: its components as bytes, its weight, and its buckets in all tables, which also tell where a pair first meets."""
+    wide = np.float32 if reps.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
 
     def run(batches):
         for batch in batches:
@@ -69,23 +71,25 @@ def _hashed(reps: DataFrame, tables: int, functions: int, probes: int, seed: int
             sizes = batch.column("embedding").value_lengths().to_numpy(zero_copy_only=False)
             for d in np.unique(sizes):
                 part = batch.take(pa.array(np.flatnonzero(sizes == d)))
-                v = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, d)
-                unit = v / np.abs(v).max(axis=1, keepdims=True)
-                unit /= np.sqrt((unit * unit).sum(axis=1, keepdims=True))
-                codes = cross_polytope(unit, tables, functions, probes, seed)
-                n, each = len(v), tables * probes
-                flat = codes.reshape(n, each)
-                rows = np.repeat(np.arange(n), each)
-                label = part.column("label").take(pa.array(rows))
-                table = np.tile(np.repeat(np.arange(tables), probes), n)
+                v = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(wide).reshape(-1, d)
+                codes = cross_polytope(_unit(v), tables, functions, probes, seed).reshape(len(v), -1)
+                if codes.max() > np.iinfo(np.int32).max:
+                    raise ValueError("too many buckets for so many functions of so long vectors")
+                bounds = pa.array(np.arange(len(v) + 1, dtype=np.int32) * codes.shape[1])
                 yield pa.RecordBatch.from_arrays(
-                    [label, pa.array(np.full(len(rows), d, np.int64)), pa.array(table), pa.array(flat.ravel()), part.column("node").take(pa.array(rows)),
-                     part.column("n").take(pa.array(rows)), pa.array([x.tobytes() for x in unit], pa.binary()).take(pa.array(rows)),
-                     pa.array([x.tobytes() for x in flat], pa.binary()).take(pa.array(rows))],
-                    ["label", "d", "t", "bucket", "node", "n", "unit", "codes"],
+                    [part.column("label"), pa.array(np.full(len(v), d, np.int64)), part.column("node"), part.column("n"), slices(v.ravel(), np.arange(len(v) + 1) * d),
+                     pa.ListArray.from_arrays(bounds, pa.array(codes.ravel().astype(np.int32)))],
+                    ["label", "d", "node", "n", "raw", "codes"],
                 )
 
-    return reps.mapInArrow(run, "label long, d long, t long, bucket long, node long, n long, unit binary, codes binary")
+    return reps.mapInArrow(run, "label long, d long, node long, n long, raw binary, codes array<int>")
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length one in double precision."""
+    v = v.astype(np.float64)
+    v /= np.abs(v).max(axis=1, keepdims=True)
+    return v / np.sqrt((v * v).sum(axis=1, keepdims=True))
 
 
 def _first_meeting(a: np.ndarray, b: np.ndarray, t: int, bucket: int) -> np.ndarray:
@@ -96,14 +100,14 @@ def _first_meeting(a: np.ndarray, b: np.ndarray, t: int, bucket: int) -> np.ndar
     return ~earlier & ~smaller
 
 
-def _links(pairs: DataFrame, threshold: float, tables: int, probes: int) -> DataFrame:
+def _links(pairs: DataFrame, threshold: float, tables: int, probes: int, wide) -> DataFrame:
     """For each group of at most two chunks of a bucket: (node, links, root) with the linked weights first met there and a forest of the links."""
     keys = ["label", "d", "t", "bucket", "i", "j"]
 
     def solve(group) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         node, n, chunk = group["node"], group["n"], group["chunk"]
-        unit = np.frombuffer(b"".join(group["unit"]), np.float64).reshape(len(node), -1)
-        codes = np.frombuffer(b"".join(group["codes"]), np.int64).reshape(len(node), tables, probes)
+        unit = _unit(group["raw"].view(wide).reshape(len(node), -1))
+        codes = group["codes"].reshape(len(node), tables, probes)
         near = unit @ unit.T >= threshold
         np.fill_diagonal(near, False)
         if group["i"] != group["j"]:
@@ -144,7 +148,7 @@ def _links(pairs: DataFrame, threshold: float, tables: int, probes: int) -> Data
             for k in np.flatnonzero(sizes > 1):
                 part = held.slice(int(done[k]), int(sizes[k]))
                 group = dict(zip(keys, ids[done[k]])) | {c: part.column(c).to_numpy() for c in ("node", "n", "chunk")}
-                out.append(solve(group | {c: part.column(c).to_pylist() for c in ("unit", "codes")}))
+                out.append(solve(group | {"raw": flat(part.column("raw"), np.uint8), "codes": part.column("codes").flatten().to_numpy()}))
             if out:
                 node, links, root = (np.concatenate(x) for x in zip(*out))
                 some = (links > 0) | (root != node)
@@ -168,26 +172,28 @@ def embedding_groups(
     Only vectors of one label, not null, and of one length are compared. Null, empty and zero vectors, and those with null or non-finite
     components, have no links. Equal vectors are hashed once and weighted by their number. A bucket of any size is compared in
     pairs of chunks of CHUNK vectors; a pair is counted where it first meets, and only sums and a forest leave a task. Pairs that share
-    no bucket of any table aren't found (see the recall test). Null ids keep their row; a group's id is its smallest that isn't null. Repeated rows
+    no bucket of any table aren't found (see the recall test). Ids and labels that aren't whole numbers become null. Null ids keep their row; a group's id is its smallest that isn't null. Repeated rows
     are vectors of their own. An empty table gives an empty result.
     """
-    numbers = F.col(embedding_col).cast("array<double>")
+    kind = vectors.schema[embedding_col].dataType
+    numbers = F.col(embedding_col) if kind.simpleString() == "array<float>" else F.col(embedding_col).cast("array<double>")
     finite = ~F.exists(numbers, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     valid = F.coalesce(F.col(label_col).isNotNull() & finite & F.exists(numbers, lambda x: x != 0), F.lit(False))
-    own = save(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).cast("long").alias("label"), F.when(valid, numbers).alias("embedding")), "vectors")
-    good = own.filter("embedding is not null")
+    own = save(vectors.select(whole_number(id_col).alias("vec_id"), whole_number(label_col).alias("label"), F.when(valid, numbers).alias("embedding")), "vectors")
+    good = own.filter("embedding is not null and label is not null")
     reps = save(
         good.groupBy("label", "embedding").agg(F.count("*").alias("n"), F.min("vec_id").alias("least")).withColumn("node", F.monotonically_increasing_id()), "reps"
     )
+    wide = np.float32 if reps.schema["embedding"].dataType.elementType.typeName() == "float" else np.float64
     hashed = save(_hashed(reps.select("label", "embedding", "node", "n"), tables, functions, probes, seed), "hashed")
     bucket = ["label", "d", "t", "bucket"]
-    counts = save(
-        hashed.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK)), "counts"
-    )
-    chunked = hashed.join(counts, bucket).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
+    # only numbers travel until it is known which buckets hold two vectors or more
+    members = hashed.select("label", "d", "node", F.posexplode("codes").alias("pos", "bucket")).withColumn("t", F.floor(F.col("pos") / probes)).drop("pos")
+    counts = members.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1").withColumn("chunks", F.ceil(F.col("size") / CHUNK))
+    chunked = members.join(counts, bucket).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    dealt = chunked.withColumn("other", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")})
-    found = save(_links(dealt.select(*bucket, "i", "j", "chunk", "node", "n", "unit", "codes"), threshold, tables, probes), "links")
+    dealt = chunked.withColumn("other", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).join(hashed.select("node", "n", "raw", "codes"), "node")
+    found = save(_links(dealt.select(*bucket, "i", "j", "chunk", "node", "n", "raw", "codes"), threshold, tables, probes, wide), "links")
     groups = connected_components(found.select(F.col("node").alias("u"), F.col("root").alias("v")))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = save(
@@ -198,5 +204,5 @@ def embedding_groups(
     least = save(named.groupBy("c").agg(F.min("least").alias("component_id")), "least")
     named = save(named.join(least, "c").select("label", "embedding", "n_links", "component_id"), "components")
     linked = good.join(named, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
-    alone = own.filter("embedding is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    alone = own.filter("embedding is null or label is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -25,6 +25,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SKETCH = "doc_id long, node long, n int, fp long, bands array<long>"
 BLOCK = 1 << 16
+CHUNK, COLUMNS = 256, 4096
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -119,6 +120,50 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return held.filter(F.col("shared") / (F.size("gu") + F.size("gv") - F.col("shared")) >= threshold).select("u", "v")
 
 
+def _bucket_links(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(u, v): links between components that meet in a bucket of mixed(band, key, node, c), as a forest for each pair of chunks of CHUNK nodes.
+
+    The sizes of all intersections of a chunk pair are one matrix product, so no pair becomes a row.
+    """
+
+    def solve(table: pa.Table) -> pa.Table:
+        node, c = table.column("node").to_numpy(), table.column("c").to_numpy()
+        lists = table.column("grams").combine_chunks()
+        n = lists.value_lengths().to_numpy().astype(np.float64)
+        rows = np.repeat(np.arange(len(n)), n.astype(np.int64))
+        _, gram = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+        order = np.argsort(gram, kind="stable")
+        rows, gram = rows[order], gram[order]
+        shared = np.zeros((len(n), len(n)), np.float32)
+        for k in range(0, int(gram[-1]) + 1 if len(gram) else 0, COLUMNS):
+            a, b = np.searchsorted(gram, (k, k + COLUMNS))
+            part = np.zeros((len(n), COLUMNS), np.float32)
+            part[rows[a:b], gram[a:b] - k] = 1
+            shared += part @ part.T
+        near = (shared / (n[:, None] + n[None, :] - shared) >= threshold) & (c[:, None] < c[None, :])
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while root.get(x, x) != x:
+                x = root[x]
+            return x
+
+        out = []
+        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+            a, b = find(int(c[i])), find(int(c[j]))
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((i, j))
+        at = np.array(out, np.int64).reshape(-1, 2)
+        return pa.table({"u": node[at[:, 0]], "v": node[at[:, 1]]})
+
+    counts = mixed.groupBy("band", "key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
+    dealt = mixed.join(counts, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("other", other)
+    dealt = dealt.select("band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "c")
+    return dealt.join(sets, "node").groupBy("band", "key", "i", "j").applyInArrow(solve, "u long, v long")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, threshold: float = 0.8) -> DataFrame:
     """One row per document: doc_id, component_id (smallest doc_id reachable by pairs of Jaccard similarity `threshold` or more).
 
@@ -132,10 +177,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         prints.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands")), "nodes"
     )
     keyed = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    met = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1").select("band", "key")
+    met = keyed.groupBy("band", "key").agg(F.count("*").alias("size")).filter("size > 1")
     close = fingerprint_links(nodes.filter("n > 0").select("fp").distinct())
     close = nodes.filter("n > 0").select("node", "n", "fp").join(close, F.col("fp") == close.node).select(nodes.node, "n", "component")
-    close = save(close.withColumns({"u": F.min("node").over(Window.partitionBy("component")), "m": F.min_by("n", "node").over(Window.partitionBy("component"))}).filter("u <> node"), "close")
+    heads = close.groupBy("component").agg(F.min(F.struct("node", "n")).alias("head"))
+    close = save(close.join(heads, "component").select("node", "n", F.col("head.node").alias("u"), F.col("head.n").alias("m")).filter("u <> node"), "close")
     keyed = save(keyed.join(met, ["band", "key"]), "keyed")
     wanted = keyed.select("node").unionByName(close.select("node")).unionByName(close.select(F.col("u").alias("node"))).distinct()
     # one document of each node that meets another gives its set
@@ -148,18 +194,21 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pairs = save(pairs.filter(alike).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"{name}-pairs")
         return save(_similar(pairs, sets, threshold), name)
 
+    # the text that others are copies of meets most of them, so each bucket is compared with its most frequent member first
+    weights = keyed.groupBy("node").agg(F.sum("size").alias("weight"))
+    weighed = keyed.join(weights, "node")
+    middle = weighed.groupBy("band", "key").agg(F.max_by(F.struct("node", "n"), F.struct("weight", "node")).alias("middle"))
+    stars = keyed.join(middle, ["band", "key"]).select(F.col("node").alias("v"), "n", F.col("middle.node").alias("u"), F.col("middle.n").alias("m")).filter("u <> v")
     order = Window.partitionBy("band", "key").orderBy("n", "node")
     neighbours = keyed.filter(F.col("band") < FIRST_BANDS).select(F.col("node").alias("v"), "n", F.lag("node").over(order).alias("u"), F.lag("n").over(order).alias("m")).filter("u is not null")
-    first = links(neighbours.unionByName(close.select(F.col("node").alias("v"), "n", "u", "m")), "neighbours")
+    first = links(neighbours.unionByName(stars).unionByName(close.select(F.col("node").alias("v"), "n", "u", "m")), "neighbours")
     groups = connected_components(first)
     whole = Window.partitionBy("band", "key")
     held = keyed.join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"), "band", "key")
     mixed = save(
-        held.select("*", F.min("c").over(whole).alias("lo"), F.max("c").over(whole).alias("hi")).filter("lo < hi").select("band", "key", "node", "n", "c"), "mixed"
+        held.select("*", F.min("c").over(whole).alias("lo"), F.max("c").over(whole).alias("hi")).filter("lo < hi").select("band", "key", "node", "c"), "mixed"
     )
-    a = mixed.select("band", "key", F.col("node").alias("u"), "n", F.col("c").alias("cu"))
-    b = mixed.select("band", "key", F.col("node").alias("v"), F.col("n").alias("m"), F.col("c").alias("cv"))
-    across = links(a.join(b, ["band", "key"]).filter("cu < cv"), "across")
+    across = save(_bucket_links(mixed, sets, threshold), "across")
     groups = connected_components(first.unionByName(across))
     labelled = save(nodes.join(groups, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c")), "labelled")
     least = save(labelled.groupBy("c").agg(F.min("least").alias("component_id")), "least")

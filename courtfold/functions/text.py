@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Letters with marks and the plain letters they stand for, the letters of Serbian and Greek in Latin.
@@ -31,13 +31,13 @@ CYCLES = {
     "olympics": ("world", ["summer olympics", "fiba men's olympic basketball tournament", "olympics qualification", "fiba olympic qualifying tournament", "olympics pre-qualification",
                            "fiba olympic pre-qualifying tournament"]),
 }
-# Competitions by what their feed names contain ("~") or equal ("="), the first that fits.
+# Competitions by what their feed names contain or equal, the first that fits.
 COMPETITIONS = [
-    ("=nba", "NBA"), ("~euroleague", "Euroleague"), ("=euro league", "Euroleague"), ("~eurocup", "Eurocup"), ("~euro cup", "Eurocup"), ("~adriatic", "ABA League"), ("~aba league", "ABA League"),
-    ("~champions league", "Champions League"), ("~fiba europe cup", "FIBA Europe Cup"), ("~bnxt", "BNXT League"), ("~enbl", "ENBL"), ("~acb", "ACB"), ("~liga endesa", "ACB"),
-    ("~copa del rey", "Spanish Cup"), ("=spanish cup", "Spanish Cup"), ("~elite 1", "LNB"), ("~lnb pro a", "LNB"), ("~betclic elite", "LNB"), ("~coupe de france", "French Cup"),
-    ("~french cup", "French Cup"), ("=lkl", "LKL"), ("~greek basket", "A1"), ("=a1", "A1"), ("~greek cup", "Greek Cup"), ("~lega basket", "Lega A"), ("~serie a", "Lega A"),
-    ("~italian cup", "Italian Cup"), ("=bsl", "Super Ligi"), ("~super ligi", "Super Ligi"), ("~turkish cup", "Turkish Cup"),
+    ("equals", "nba", "NBA"), ("contains", "euroleague", "Euroleague"), ("equals", "euro league", "Euroleague"), ("contains", "eurocup", "Eurocup"), ("contains", "euro cup", "Eurocup"), ("contains", "adriatic", "ABA League"), ("contains", "aba league", "ABA League"),
+    ("contains", "champions league", "Champions League"), ("contains", "fiba europe cup", "FIBA Europe Cup"), ("contains", "bnxt", "BNXT League"), ("contains", "enbl", "ENBL"), ("contains", "acb", "ACB"), ("contains", "liga endesa", "ACB"),
+    ("contains", "copa del rey", "Spanish Cup"), ("equals", "spanish cup", "Spanish Cup"), ("contains", "elite 1", "LNB"), ("contains", "lnb pro a", "LNB"), ("contains", "betclic elite", "LNB"), ("contains", "coupe de france", "French Cup"),
+    ("contains", "french cup", "French Cup"), ("equals", "lkl", "LKL"), ("contains", "greek basket", "A1"), ("equals", "a1", "A1"), ("contains", "greek cup", "Greek Cup"), ("contains", "lega basket", "Lega A"), ("contains", "serie a", "Lega A"),
+    ("contains", "italian cup", "Italian Cup"), ("equals", "bsl", "Super Ligi"), ("contains", "super ligi", "Super Ligi"), ("contains", "turkish cup", "Turkish Cup"),
 ]
 SIMILAR = 0.86
 
@@ -154,10 +154,11 @@ def cycle_key(region: Column, name: Column, season: Column) -> Column:
 
 def competition_of(name: Column) -> Column:
     """The supported competition a feed name stands for, without its phase words; null if none."""
+    # fixed value: the words of phases
     n = plain_name(F.regexp_replace(plain_name(name), r"\b(play off|playoffs?|regular season|group stage|qualification)\b", " "))
     out = F.lit(None).cast("string")
-    for rule, value in reversed(COMPETITIONS):
-        out = F.when(n == rule[1:] if rule[0] == "=" else F.contains(n, F.lit(rule[1:])), value).otherwise(out)
+    for kind, text, value in reversed(COMPETITIONS):
+        out = F.when(n == text if kind == "equals" else F.contains(n, F.lit(text)), value).otherwise(out)
     return out
 
 
@@ -201,3 +202,35 @@ def midpoint(a: Column, b: Column) -> Column:
 def id_list(text: str | None) -> list[int]:
     """Whole numbers of a comma list: what isn't one is dropped, each comes once, in order."""
     return list(dict.fromkeys(int(p) for p in (x.strip() for x in (text or "").split(",")) if p.isdecimal()))
+
+
+def json_set(document: Column, key: str, value: Column) -> Column:
+    """A flat JSON document as text with one key set; a broken one becomes that key alone. Keys are written in order."""
+    fields = F.coalesce(F.from_json(document, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    others = F.map_filter(fields, lambda k, _: k != key)
+    return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(F.map_concat(others, F.create_map(F.lit(key), value.cast("string")))))))
+
+
+def json_has(document: Column, key: str) -> Column:
+    return F.coalesce(F.array_contains(F.json_object_keys(document), key), F.lit(False))
+
+
+def decision_key(kind: Column, left: Column, right: Column, scope: Column) -> Column:
+    """Key of a decision: its kind, the pair in either order, and its scope or "all"."""
+    return F.concat_ws("|", F.lower(kind), pair_key(left, right), F.coalesce(F.lower(F.trim(scope)), F.lit("all")))
+
+
+def display_name(code: Column, overrides: dict[str, str], catalog: dict[str, str]) -> Column:
+    """A place's name by its code: an override, else the catalog's, else the code itself."""
+    c = country_code(code)
+    return F.coalesce(mapped(c, overrides), mapped(c, catalog), c)
+
+
+def resolve_place(rows: DataFrame, catalog: DataFrame) -> DataFrame:
+    """rows(row_id, id, code, name) with the place of catalog(place_id, code, name) they mean: by id, else by code, else by the name without marks and case."""
+    by_id = catalog.select(F.col("place_id").alias("p1"), F.col("place_id").alias("k1"))
+    by_code = catalog.groupBy(F.upper("code").alias("k2")).agg(F.min("place_id").alias("p2"))
+    by_name = catalog.groupBy(F.lower(without_marks(F.col("name"))).alias("k3")).agg(F.min("place_id").alias("p3"))
+    out = rows.join(by_id, F.col("id") == F.col("k1"), "left").join(by_code, country_code(F.col("code")) == F.col("k2"), "left")
+    out = out.join(by_name, F.lower(without_marks(F.trim("name"))) == F.col("k3"), "left")
+    return out.select("row_id", F.coalesce("p1", "p2", "p3").alias("place_id"))

@@ -95,7 +95,7 @@ def coverage(catalog: DataFrame, games: DataFrame, jobs: DataFrame) -> DataFrame
     job = jobs.withColumn("rn", F.row_number().over(last)).filter("rn = 1").select("competition_id", "season", F.col("status").alias("job_status"))
     rows = seasons.join(counted, ["competition_id", "season"], "left").join(job, ["competition_id", "season"], "left").fillna(0, ["n", "n_done"])
     middle = rows.filter("n > 0").groupBy("competition_id").agg(F.median("n").alias("median"))
-    rows = rows.join(F.broadcast(middle), "competition_id", "left")
+    rows = rows.join(middle, "competition_id", "left")
     low = (
         F.when(F.coalesce(F.col("median"), F.lit(0)) <= 0, False).when(F.col("kind") == "super", F.col("n") == 0)
         .when((F.col("kind") == "cup") & (F.col("n") >= 4) & (F.col("median") <= 20), False)
@@ -122,7 +122,7 @@ def pool_catalog(games: DataFrame, pools: list[str]) -> DataFrame:
     """Every known pool with its games and last game, which may be none."""
     known = games.sparkSession.createDataFrame([(p,) for p in pools], "pool string")
     counted = games.groupBy("pool").agg(F.count("*").alias("n"), F.max("game_date").alias("last_date"))
-    return F.broadcast(known).join(counted, "pool", "left").select("pool", F.coalesce("n", F.lit(0)).alias("games"), "last_date")
+    return known.join(counted, "pool", "left").select("pool", F.coalesce("n", F.lit(0)).alias("games"), "last_date")
 
 
 def totals(games: DataFrame) -> DataFrame:
@@ -185,7 +185,7 @@ def search(games: DataFrame, teams: DataFrame, text: str | None, exact_case: boo
     if not text or not text.strip():
         return games
     name = F.contains(F.col("team_name"), F.lit(text)) if exact_case else F.col("team_name").ilike(f"%{text.strip()}%")
-    hit = F.broadcast(teams.filter(name).select("team_id"))
+    hit = teams.filter(name).select("team_id")
     home = games.join(hit.withColumnRenamed("team_id", "home_id"), "home_id", "left_semi")
     away = games.join(hit.withColumnRenamed("team_id", "home_id"), "home_id", "left_anti").join(hit.withColumnRenamed("team_id", "away_id"), "away_id", "left_semi")
     return home.unionByName(away)
@@ -195,12 +195,12 @@ def top_teams(snapshot: DataFrame, games: DataFrame, n: int) -> DataFrame:
     """The n best rated teams of each competition, of those that played in it."""
     members = appearances(games).select("competition_id", "pool", "team_id").distinct()
     w = Window.partitionBy("competition_id").orderBy(F.desc("elo"), "team_id")
-    return members.join(F.broadcast(snapshot), ["pool", "team_id"]).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("competition_id", "place", "team_id", "elo")
+    return members.join(snapshot, ["pool", "team_id"]).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n).select("competition_id", "place", "team_id", "elo")
 
 
 def tier_summary(snapshot: DataFrame, games: DataFrame, competitions: DataFrame) -> DataFrame:
     """Games, teams and the mean rating of the teams of each tier and pool."""
-    own = appearances(games).join(F.broadcast(competitions.select("competition_id", "tier")), "competition_id")
+    own = appearances(games).join(competitions.select("competition_id", "tier"), "competition_id")
     teams = own.groupBy("pool", "tier", "team_id").agg(F.count_if("is_home").alias("n"))
-    rated = teams.join(F.broadcast(snapshot.select("pool", "team_id", "elo")), ["pool", "team_id"], "left")
+    rated = teams.join(snapshot.select("pool", "team_id", "elo"), ["pool", "team_id"], "left")
     return rated.groupBy("pool", "tier").agg(F.count("*").alias("teams"), F.sum("n").alias("games"), F.round(F.avg("elo"), 2).alias("avg_elo"))

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_name, similar
+from ..functions.text import compact_name, full_season, similar
 
 
 def nearest_fixture(results: DataFrame, fixtures: DataFrame, days: int = 1) -> DataFrame:
@@ -37,7 +37,11 @@ def near_duplicates(games: DataFrame, days: int) -> DataFrame:
     high_score = F.when(F.col("home_id") < F.col("away_id"), F.col("away_score")).otherwise(F.col("home_score"))
     own = games.filter("home_score is not null").select("game_id", "source", "game_date", "competition_id", lo.alias("lo"), hi.alias("hi"), low_score.alias("ls"), high_score.alias("hs"))
     other = own.withColumnsRenamed({"game_id": "other_id", "source": "other_source", "game_date": "other_date", "ls": "other_ls", "hs": "other_hs"})
-    pairs = own.join(other, ["competition_id", "lo", "hi"]).filter("source <> other_source").withColumn("distance", F.abs(F.datediff("game_date", "other_date"))).filter(F.col("distance") <= days)
+    # dealt by stretches of days, so a pair that plays often doesn't meet in one task
+    step = days + 1
+    own = own.withColumn("stretch", F.explode(F.array(*[F.floor(F.unix_date("game_date") / step) + k for k in (-1, 0, 1)])))
+    other = other.withColumn("stretch", F.floor(F.unix_date("other_date") / step))
+    pairs = own.join(other, ["competition_id", "lo", "hi", "stretch"]).filter("source <> other_source").withColumn("distance", F.abs(F.datediff("game_date", "other_date"))).filter(F.col("distance") <= days)
     pairs = pairs.withColumn("score_match", ((F.col("ls") == F.col("other_ls")) & (F.col("hs") == F.col("other_hs"))).cast("int"))
     mine = Window.partitionBy("game_id").orderBy("distance", F.desc("score_match"), "other_id")
     theirs = Window.partitionBy("other_id").orderBy("distance", F.desc("score_match"), "game_id")
@@ -45,21 +49,93 @@ def near_duplicates(games: DataFrame, days: int) -> DataFrame:
     return best.select("game_id", "other_id", "distance", "score_match")
 
 
-def similar_teams(aliases: DataFrame, places: DataFrame) -> DataFrame:
-    """Pairs of teams with similar names that appear in a common competition; names compare once for each pair of teams.
+def _blocks(name: Column) -> Column:
+    """Runs of four characters of a compact name, or a shorter name itself: two similar() names share one.
 
-    Candidates are blocked by competition, and teams without any game meet all others, as nothing tells them apart.
+    A name that holds another holds its runs; names that differ by at most 14 % differ by no change up to 7 characters, by one up to 14 and so on, and each
+    change touches four of the length - 3 runs.
     """
+    n = F.length(name) - 3
+    return F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.substring(name, p, 4))).otherwise(F.array(name)))
+
+
+def similar_names(names: DataFrame) -> DataFrame:
+    """(left_id, right_id, left_name, right_name) of names(team_id, name) of different teams that are similar, met by common runs of characters."""
+    keyed = names.withColumn("block", F.explode(_blocks(F.col("name"))))
+    left = keyed.withColumnsRenamed({"team_id": "left_id", "name": "left_name"})
+    right = keyed.withColumnsRenamed({"team_id": "right_id", "name": "right_name"})
+    pairs = left.join(right, (left.block == right.block) & (left.left_id < right.right_id)).select("left_id", "right_id", "left_name", "right_name").distinct()
+    return pairs.filter(similar(F.col("left_name"), F.col("right_name")))
+
+
+def similar_teams(aliases: DataFrame, places: DataFrame) -> DataFrame:
+    """Pairs of teams with similar names that appear in a common competition; a team without any game may be any other, as nothing tells them apart."""
     names = aliases.select("team_id", compact_name(F.col("alias_name")).alias("name")).distinct()
+    pairs = similar_names(names).groupBy("left_id", "right_id").agg(F.count("*").alias("n_names"))
     seen = places.select("team_id", "competition_id").distinct()
     a, b = seen.withColumnRenamed("team_id", "left_id"), seen.withColumnRenamed("team_id", "right_id")
-    pairs = a.join(b, "competition_id").filter("left_id < right_id").select("left_id", "right_id")
-    unseen = names.join(seen, "team_id", "left_anti").select(F.col("team_id").alias("u")).distinct()
-    everyone = names.select(F.col("team_id").alias("t")).distinct()
-    lone = unseen.join(everyone, F.col("u") != F.col("t")).select(F.least("u", "t").alias("left_id"), F.greatest("u", "t").alias("right_id"))
-    pairs = pairs.unionByName(lone).distinct()
-    joined = pairs.join(names.withColumnsRenamed({"team_id": "left_id", "name": "left_name"}), "left_id").join(names.withColumnsRenamed({"team_id": "right_id", "name": "right_name"}), "right_id")
-    return joined.filter(similar(F.col("left_name"), F.col("right_name"))).groupBy("left_id", "right_id").agg(F.count("*").alias("n_names"))
+    common = pairs.join(a, "left_id").join(b, ["right_id", "competition_id"]).select("left_id", "right_id").distinct()
+    teams = seen.select("team_id").distinct()
+    lone = pairs.join(teams, pairs.left_id == teams.team_id, "left_anti").unionByName(pairs.join(teams, pairs.right_id == teams.team_id, "left_anti"))
+    return pairs.join(common.unionByName(lone.select("left_id", "right_id")).distinct(), ["left_id", "right_id"], "left_semi")
+
+
+def succeeding(spans: DataFrame, names: DataFrame, days: int = 370) -> DataFrame:
+    """(earlier_id, later_id, gap): teams of one place where one begins 0 to `days` days after the other ended, and similar names, so that they may be one.
+
+    spans(team_id, place, first, last), names(team_id, name) with compact names.
+    """
+    near = similar_names(names.distinct()).select("left_id", "right_id").distinct()
+    both = near.select(F.col("left_id").alias("earlier_id"), F.col("right_id").alias("later_id")).unionByName(near.select(F.col("right_id").alias("earlier_id"), F.col("left_id").alias("later_id")))
+    a = spans.select(F.col("team_id").alias("earlier_id"), "place", "last")
+    b = spans.select(F.col("team_id").alias("later_id"), "place", "first")
+    gap = F.datediff("first", "last")
+    return both.join(a, "earlier_id").join(b, ["later_id", "place"]).withColumn("gap", gap).filter(F.col("gap").between(0, days)).groupBy("earlier_id", "later_id").agg(F.min("gap").alias("gap"))
+
+
+def date_variants(games: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """(game_id, other_id, distance) of games of two tables with equal keys at most a day apart, where each has just this one partner."""
+    o = others.select("other_id", F.col("game_date").alias("other_date"), *keys).withColumn("day", F.explode(F.array(*[F.date_add("other_date", k) for k in (-1, 0, 1)])))
+    pairs = games.select("game_id", F.col("game_date").alias("day"), *keys).join(o, ["day", *keys]).withColumn("distance", F.abs(F.datediff("day", "other_date")))
+    n = pairs.withColumns({"a": F.count("*").over(Window.partitionBy("game_id")), "b": F.count("*").over(Window.partitionBy("other_id"))})
+    return n.filter("a = 1 and b = 1").select("game_id", "other_id", "distance")
+
+
+def within_season(rows: DataFrame, seasons: DataFrame, day: str) -> DataFrame:
+    """Rows with the label of the season whose first to last day holds their day; met by year, so the join is an equality."""
+    years = seasons.select("label", "first", "last", F.explode(F.sequence(F.year("first"), F.year("last"))).alias("y"))
+    return rows.join(years, (F.year(day) == F.col("y")) & F.col(day).between(F.col("first"), F.col("last"))).drop("y", "first", "last")
+
+
+def resolve_names(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
+    """wanted(want_id, name, year) with the team its name stands for: the name in its years, else at any time, else the compact name; the lowest alias of equals."""
+    a = aliases.select("alias_id", "team_id", F.col("alias_name").alias("known"), "valid_from", "valid_to")
+    exact = wanted.join(a, F.col("name") == F.col("known"))
+    inside = F.coalesce(F.col("valid_from") <= F.col("year"), F.lit(True)) & F.coalesce(F.col("valid_to") >= F.col("year"), F.lit(True))
+    loose = wanted.withColumn("key", compact_name(F.col("name"))).join(a.withColumn("key", compact_name(F.col("known"))), "key")
+    steps = exact.select("want_id", "team_id", "alias_id", F.when(inside, 1).otherwise(2).alias("step")).unionByName(loose.select("want_id", "team_id", "alias_id", F.lit(3).alias("step")))
+    best = steps.groupBy("want_id").agg(F.min(F.struct("step", "alias_id", "team_id")).alias("best"))
+    return wanted.join(best, "want_id", "left").select("want_id", F.col("best.team_id").alias("team_id"), F.col("best.step").alias("step"))
+
+
+def canonical_labels(seasons: DataFrame) -> DataFrame:
+    """(competition_id, legacy, label): seasons under a single year's label that the competition also has in full."""
+    full = seasons.select("competition_id", F.col("label").alias("full"))
+    legacy = seasons.filter(~F.contains("label", F.lit("-"))).select("competition_id", F.col("label").alias("legacy"), full_season(F.col("label")).alias("full"))
+    return legacy.join(full, ["competition_id", "full"], "left_semi").select("competition_id", "legacy", F.col("full").alias("label"))
+
+
+def unmatched(feed: DataFrame, known: DataFrame) -> DataFrame:
+    """Competitions of a feed(country, competition, feed_date) that aren't among the known(country, competition), whatever their case and spaces, with their games and days."""
+    k = [F.lower(F.trim(c)).alias(c) for c in ("country", "competition")]
+    return feed.select(*k, "feed_date").join(known.select(*k), ["country", "competition"], "left_anti").groupBy("country", "competition").agg(
+        F.count("*").alias("n"), F.min("feed_date").alias("first_date"), F.max("feed_date").alias("last_date"))
+
+
+def evidence(games: DataFrame, a: int, b: int, most: int = 12) -> DataFrame:
+    """The last games of either of two teams, newest first, with the side that each was on."""
+    own = F.col("home_id").isin(a, b) | F.col("away_id").isin(a, b)
+    return games.filter(own).orderBy(F.desc("game_date"), F.desc("game_id")).limit(most).withColumn("of_left", (F.col("home_id") == a) | (F.col("away_id") == a))
 
 
 def unique_aliases(aliases: DataFrame) -> DataFrame:
@@ -79,7 +155,7 @@ def alias_usage(aliases: DataFrame, games: DataFrame) -> DataFrame:
 
     played = appearances(games).groupBy("team_id", F.year("game_date").alias("y")).agg(F.count("*").alias("n"))
     hit = (aliases.valid_from.isNull() | (F.col("y") >= F.col("valid_from"))) & (aliases.valid_to.isNull() | (F.col("y") <= F.col("valid_to")))
-    return aliases.join(F.broadcast(played.withColumnRenamed("team_id", "t")), (aliases.team_id == F.col("t")) & hit, "left").groupBy("alias_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_games"))
+    return aliases.join(played.withColumnRenamed("team_id", "t"), (aliases.team_id == F.col("t")) & hit, "left").groupBy("alias_id").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_games"))
 
 
 def pair_rollup(findings: DataFrame) -> DataFrame:
@@ -102,7 +178,7 @@ def unanimous(games: DataFrame, competitions: DataFrame) -> DataFrame:
     """The country of teams all of whose games are in competitions of one country."""
     from .games import appearances
 
-    played = appearances(games).select("team_id", "competition_id").distinct().join(F.broadcast(competitions.select("competition_id", "country")), "competition_id")
+    played = appearances(games).select("team_id", "competition_id").distinct().join(competitions.select("competition_id", "country"), "competition_id")
     return played.groupBy("team_id").agg(F.count_distinct("country").alias("n"), F.min("country").alias("country")).filter("n = 1").drop("n")
 
 

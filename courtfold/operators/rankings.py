@@ -48,7 +48,7 @@ def rankings(
 ) -> DataFrame:
     """Teams by rating: the rank among all of the pool, and the rank in the filtered list. Search ignores case."""
     order = (F.desc("elo"), "team_name")
-    named = snapshot.join(F.broadcast(teams), "team_id")
+    named = snapshot.join(teams, "team_id")
     if current is not None:
         named = named.join(current, ["pool", "team_id"], "left_semi")
     all_ = named.withColumn("global_rank", F.row_number().over(Window.partitionBy("pool", "ruleset").orderBy(*order)))
@@ -69,7 +69,7 @@ def movers(history: DataFrame, days: int = 365, least_games: int = 1, window_end
     """First and last rating, summed change and games of each team in the last days before its pool's latest game."""
     days = clamp(days, 7, 3650)
     end = history.groupBy("pool").agg(F.max("game_date").alias("until"))
-    recent = history.join(F.broadcast(end), "pool").filter(F.col("game_date") >= F.date_sub("until", days))
+    recent = history.join(end, "pool").filter(F.col("game_date") >= F.date_sub("until", days))
     key = F.struct("game_date", "game_id")
     return (
         recent.groupBy("pool", "ruleset", "team_id")
@@ -157,12 +157,12 @@ def nearest_point(history: DataFrame, day: date) -> DataFrame:
 
 def explain(games: DataFrame, history: DataFrame, teams: DataFrame, competitions: DataFrame) -> DataFrame:
     """How each game moved its teams: names, both ratings before, expectation, multiplier and change."""
-    t = F.broadcast(teams.select("team_id", "team_name"))
+    t = teams.select("team_id", "team_name")
     home = history.filter("is_home").select("pool", "ruleset", "game_id", F.col("pre").alias("home_pre"), "expected", "multiplier", "change")
     away = history.filter("not is_home").select("pool", "ruleset", "game_id", F.col("pre").alias("away_pre"))
     return (
         games.join(home, ["pool", "game_id"]).join(away, ["pool", "ruleset", "game_id"])
-        .join(F.broadcast(competitions.select("competition_id", "competition_name")), "competition_id")
+        .join(competitions.select("competition_id", "competition_name"), "competition_id")
         .join(t.withColumnsRenamed({"team_id": "home_id", "team_name": "home_name"}), "home_id").join(t.withColumnsRenamed({"team_id": "away_id", "team_name": "away_name"}), "away_id")
         .select("game_id", "competition_name", "home_name", "away_name", "home_score", "away_score", F.round("home_pre", 2).alias("home_pre"), F.round("away_pre", 2).alias("away_pre"),
                 F.round("expected", 4).alias("expected"), F.round("multiplier", 4).alias("multiplier"), F.round("change", 2).alias("change"))
@@ -172,7 +172,7 @@ def explain(games: DataFrame, history: DataFrame, teams: DataFrame, competitions
 def upcoming(games: DataFrame, snapshot: DataFrame, least: int = 0) -> DataFrame:
     """Games without a result beside both teams' ratings (which may be missing) and their gap."""
     elo = snapshot.select("pool", "team_id", "elo")
-    home, away = (F.broadcast(elo.withColumnsRenamed({"team_id": f"{s}_id", "elo": f"{s}_elo"})) for s in ("home", "away"))
+    home, away = (elo.withColumnsRenamed({"team_id": f"{s}_id", "elo": f"{s}_elo"}) for s in ("home", "away"))
     open_ = games.filter("status = 'scheduled' and home_score is null")
     return open_.join(home, ["pool", "home_id"], "left").join(away, ["pool", "away_id"], "left").select(
         "game_id", "game_date", "home_id", "away_id", "home_elo", "away_elo", F.round(F.col("home_elo") - F.col("away_elo"), 2).alias("gap")

@@ -97,7 +97,7 @@ def browse_competitions(spark, sf_dir):
 
 @query(with_views(SUMMARY.format(keys="country, tier", join=" JOIN competitions USING (competition_id)"), sides=SIDES))
 def browse_countries(spark, sf_dir):
-    known = F.broadcast(view(spark, sf_dir, "competitions").select("competition_id", "country", "tier"))
+    known = view(spark, sf_dir, "competitions").select("competition_id", "country", "tier")
     return G.summary(games(spark, sf_dir).join(known, "competition_id"), "country", "tier")
 
 

@@ -112,9 +112,28 @@ def snapshot(history: DataFrame) -> DataFrame:
     )
 
 
-def write_history(history: DataFrame, path: str) -> None:
-    """Replace the (pool, ruleset) partitions that history holds and leave the others."""
+def open_games(games: DataFrame) -> DataFrame:
+    """Games of the pools that the gate leaves open."""
+    return games.join(gate(games).select("pool"), "pool", "left_anti")
+
+
+def rebuilt(games: DataFrame, stored: DataFrame, rulesets: list[Ruleset]) -> DataFrame:
+    """History after a rebuild: a pool in the gate keeps its stored rows of these rulesets, every other one is replayed. Other rulesets keep all their rows."""
+    names = [r.name for r in rulesets]
+    kept = stored.join(gate(games).select("pool"), "pool", "left_semi").unionByName(
+        stored.filter(~F.col("ruleset").isin(names)).join(gate(games).select("pool"), "pool", "left_anti"))
+    return replay(open_games(games), rulesets).unionByName(kept.select(*[f.name for f in HISTORY]))
+
+
+def write_history(history: DataFrame, path: str, rebuilt_partitions: list[tuple[str, str]] = ()) -> None:
+    """Replace the (pool, ruleset) partitions that history holds and leave the others; rebuilt ones that it doesn't hold, as no game is left, are deleted."""
     history.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("pool", "ruleset").parquet(path)
+    if rebuilt_partitions:
+        spark = history.sparkSession
+        there = {tuple(r) for r in history.select("pool", "ruleset").distinct().collect()}
+        for pool, ruleset in set(rebuilt_partitions) - there:
+            old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/pool={pool}/ruleset={ruleset}")
+            old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
 
 PREDICTION = pa.schema([
@@ -205,12 +224,12 @@ def recent_movement(tested: DataFrame, n: int = 5) -> DataFrame:
     return sides.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n).groupBy("pool", "ruleset", "team_id").agg(F.round(F.sum("change"), 2).alias("movement"), F.count("*").alias("n"))
 
 
-def scope(competitions: DataFrame, ids: list[int] | None = None) -> tuple[str, DataFrame]:
+def scope(competitions: DataFrame, ids: list[int] | DataFrame | None = None) -> tuple[str, DataFrame]:
     """The one pool of the chosen competitions (all if None), and their labels; names that repeat get their country.
 
     Raises if none is found or if they belong to more than one pool.
     """
-    chosen = competitions if ids is None else competitions.filter(F.col("competition_id").isin(ids))
+    chosen = competitions if ids is None else competitions.join(ids, "competition_id", "left_semi") if isinstance(ids, DataFrame) else competitions.filter(F.col("competition_id").isin(ids))
     pools = [r.pool for r in chosen.select("pool").distinct().limit(2).collect()]
     if len(pools) != 1:
         raise ValueError("competitions of exactly one pool are needed")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -56,6 +57,22 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(SOURCE.sub(r"\1 {\2}", sql), **{n: view(spark, sf_dir, n) for n in used})
 
 
+_written: dict[tuple[str, str], str] = {}
+
+
+def written(spark: SparkSession, name: str, make) -> DataFrame:
+    """A table that make() gives, written once a session in the folder of spark.checkpoint.dir and read from there; made anew where no such folder is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared:
+        return make()
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _written:
+        made, path = make(), f"{shared.rstrip('/')}/courtfold-{uuid.uuid4().hex}"
+        made.write.parquet(path)
+        _written[key] = path
+    return spark.read.parquet(_written[key])
+
+
 def with_views(sql: str, recursive: bool = False, **more: str) -> str:
     """DuckDB SQL with the domain views, and more of them, in front of it."""
     kept = ("seq", "fold", "history")  # asked for more than once, or at each step of a recursion

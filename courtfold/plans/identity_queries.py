@@ -23,9 +23,15 @@ def findings(spark, sf_dir):
     )
 
 
-@query(with_views("SELECT source, source_team_id, min(team_id) AS team_id FROM aliases GROUP BY ALL HAVING count(DISTINCT team_id) = 1"))
+#: Aliases whose source ids stand for ten parts in a row; in some of these one part belongs to another team.
+GROUPED = "SELECT source, concat('u', alias_id // 10) AS source_team_id, (alias_id // 10 + CASE WHEN alias_id % 70 = 3 THEN 1 ELSE 0 END) % 25 AS team_id FROM aliases"
+
+
+@query(with_views("SELECT source, source_team_id, min(team_id) AS team_id FROM grouped GROUP BY ALL HAVING count(DISTINCT team_id) = 1", grouped=GROUPED))
 def unique_aliases(spark, sf_dir):
-    return I.unique_aliases(view(spark, sf_dir, "aliases"))
+    i = F.col("alias_id")
+    tens = F.floor(i / 10)
+    return I.unique_aliases(view(spark, sf_dir, "aliases").select("source", F.concat(F.lit("u"), tens).alias("source_team_id"), ((tens + F.when(i % 70 == 3, 1).otherwise(0)) % 25).alias("team_id")))
 
 
 @query(with_views("SELECT source, source_team_id, count(DISTINCT team_id) AS n_teams FROM aliases GROUP BY ALL HAVING count(DISTINCT team_id) > 1"))
@@ -39,10 +45,12 @@ def split_names(spark, sf_dir):
     return I.split_names(view(spark, sf_dir, "aliases"))
 
 
-@query(with_views("""SELECT team_id, min(country) AS country FROM (SELECT home_id AS team_id, competition_id FROM games UNION ALL SELECT away_id, competition_id FROM games) JOIN competitions USING (competition_id)
+@query(with_views("""SELECT team_id, min(country) AS country FROM (SELECT home_id AS team_id, CASE WHEN home_id % 4 = 1 THEN game_id % 5 ELSE competition_id END AS competition_id FROM games) JOIN competitions USING (competition_id)
 GROUP BY team_id HAVING count(DISTINCT country) = 1"""))
 def unanimous_countries(spark, sf_dir):
-    return I.unanimous(view(spark, sf_dir, "games"), view(spark, sf_dir, "competitions"))
+    """Of games at home, where a quarter of the teams play in every competition."""
+    at_home = view(spark, sf_dir, "games").withColumns({"away_id": F.col("home_id"), "competition_id": F.when(F.col("home_id") % 4 == 1, F.col("game_id") % 5).otherwise(F.col("competition_id"))})
+    return I.unanimous(at_home, view(spark, sf_dir, "competitions"))
 
 
 @query(with_views("""SELECT alias_id, coalesce(sum(n), 0)::BIGINT AS n_games FROM aliases a LEFT JOIN (
@@ -83,12 +91,21 @@ def nearest_fixtures(spark, sf_dir):
 
 
 SCORED = "SELECT * FROM games WHERE home_score IS NOT NULL AND away_score IS NOT NULL"
+#: Games, and a third of them once more from another source; of these some have another away team.
+TWICE = """SELECT game_id, source, game_date, season, home_id, away_id, home_score, away_score FROM games WHERE home_score IS NOT NULL AND away_score IS NOT NULL
+UNION ALL SELECT game_id + 1000000000, 'copy', game_date, season, home_id, CASE WHEN game_id % 2 = 0 THEN 30 ELSE away_id END, home_score, away_score FROM games WHERE game_id % 3 = 0 AND home_score IS NOT NULL AND away_score IS NOT NULL"""
+
+
+def twice(spark, sf_dir):
+    g = view(spark, sf_dir, "games").filter("home_score is not null and away_score is not null").select("game_id", "source", "game_date", "season", "home_id", "away_id", "home_score", "away_score")
+    i = F.col("game_id")
+    return g.unionByName(g.filter(i % 3 == 0).withColumns({"game_id": i + 1000000000, "source": F.lit("copy"), "away_id": F.when(i % 2 == 0, F.lit(30)).otherwise(F.col("away_id"))}))
 
 
-@query(with_views("""SELECT a.game_id, b.game_id AS other_id, a.game_date FROM scored a JOIN scored b USING (game_date, home_score, away_score)
-WHERE a.game_id < b.game_id AND a.source <> b.source AND (a.home_id = b.home_id OR a.away_id = b.away_id)""", scored=SCORED))
+@query(with_views("""SELECT a.game_id, b.game_id AS other_id, a.game_date FROM twice a JOIN twice b USING (game_date, home_score, away_score)
+WHERE a.game_id < b.game_id AND a.source <> b.source AND (a.home_id = b.home_id OR a.away_id = b.away_id)""", twice=TWICE))
 def same_day_duplicates(spark, sf_dir):
-    return I.same_day_duplicates(view(spark, sf_dir, "games"))
+    return I.same_day_duplicates(twice(spark, sf_dir))
 
 
 @query(with_views("""SELECT game_id, other_id, distance, score_match FROM (
@@ -101,11 +118,11 @@ def near_duplicate_games(spark, sf_dir):
     return I.near_duplicates(view(spark, sf_dir, "games"), 31)
 
 
-@query(with_views("""SELECT a.game_id, b.game_id AS other_id FROM (SELECT *, count(*) OVER (PARTITION BY home_id, away_id, home_score, away_score, season) AS n FROM scored) a
-JOIN (SELECT *, count(*) OVER (PARTITION BY home_id, away_id, home_score, away_score, season) AS n FROM scored) b USING (home_id, away_id, home_score, away_score, season)
-WHERE a.n = 2 AND b.n = 2 AND a.game_id < b.game_id AND a.source <> b.source""", scored=SCORED))
+@query(with_views("""SELECT a.game_id, b.game_id AS other_id FROM (SELECT *, count(*) OVER (PARTITION BY home_id, away_id, home_score, away_score, season) AS n FROM twice) a
+JOIN (SELECT *, count(*) OVER (PARTITION BY home_id, away_id, home_score, away_score, season) AS n FROM twice) b USING (home_id, away_id, home_score, away_score, season)
+WHERE a.n = 2 AND b.n = 2 AND a.game_id < b.game_id AND a.source <> b.source""", twice=TWICE))
 def one_to_one_duplicates(spark, sf_dir):
-    return I.one_to_one(view(spark, sf_dir, "games"), ["home_id", "away_id", "home_score", "away_score", "season"])
+    return I.one_to_one(twice(spark, sf_dir), ["home_id", "away_id", "home_score", "away_score", "season"])
 
 
 @query(with_views("""SELECT least(left_id, right_id) AS left_id, greatest(left_id, right_id) AS right_id,

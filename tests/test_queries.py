@@ -16,7 +16,7 @@ from courtfold.functions import text as T
 from courtfold.operators import changes as C
 from courtfold.operators import rankings as R
 from courtfold.operators import rating as E
-from courtfold.plans import change_queries, game_queries, identity_queries, rating_queries, source_queries  # noqa: F401
+from courtfold.plans import change_queries, feed_queries, game_queries, identity_queries, matching_queries, rating_queries, source_queries  # noqa: F401
 from courtfold.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"
@@ -44,6 +44,7 @@ def test_same_rows_as_sql(spark, con, name):
     assert sorted(theirs.columns) == cols
     at = [theirs.columns.index(c) for c in cols]
     mine = sorted((tuple(plain(r[c]) for c in cols) for r in df.collect()), key=repr)
+    assert mine, "nothing is shown by two empty results"
     assert mine == sorted((tuple(plain(r[i]) for i in at) for r in theirs.fetchall()), key=repr)
 
 
@@ -126,3 +127,67 @@ def test_dynamic_overwrite_leaves_other_pools(spark, tmp_path):
     E.write_history(base, f"{tmp_path}/h")
     E.write_history(base.withColumn("pool", F.lit("europe")).limit(4), f"{tmp_path}/h")
     assert {r.pool: r["count"] for r in spark.read.parquet(f"{tmp_path}/h").groupBy("pool").count().collect()} == {"nba": base.count(), "europe": 4}
+
+
+def test_archives_rounds_and_reports(spark, tmp_path):
+    import hashlib
+
+    from courtfold.sources import files as S
+
+    body = "game_id,lg_id,_iscopy,year_id,date_game,fran_id,opp_fran,pts,opp_pts\n1,NBA,0,2000,1/5/2000,A,B,90,80\n2,NBA,1,2000,1/6/2000,B,A,80,90\n2,NBA,0,2000,1/7/2000,B,A,81,90\n"
+    path = tmp_path / "a.csv"
+    path.write_text(body)
+    rows = S.read_archive(spark, str(path), ["game_id", "pts"], hashlib.sha256(body.encode()).hexdigest())
+    assert [(r.game_id, r.home_score) for r in S.archive_games(rows).orderBy("game_id").collect()] == [("1", 90), ("2", 81)]
+    assert [r.game_id for r in S.repeated_ids(rows, "game_id").collect()] == ["2"]
+    for wrong in ({"required": ["game_id"], "sha256": "0" * 64}, {"required": ["missing"]}):
+        with pytest.raises(ValueError):
+            S.read_archive(spark, str(path), **wrong)
+    for n in (4, 5):
+        games = S.round_robin(n)
+        assert len(games) == n * (n - 1) // 2 == len({frozenset(g[1:]) for g in games})
+        for r in {g[0] for g in games}:
+            played = [t for g in games if g[0] == r for t in g[1:]]
+            assert len(played) == len(set(played))
+    S.write_report(rows, str(tmp_path / "csv"))
+    S.write_report(rows, str(tmp_path / "json"), "json")
+    assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == spark.read.json(str(tmp_path / "json")).count() == 3
+    assert '"1","NBA"' in next((tmp_path / "csv").glob("part-*")).read_text()
+
+
+def test_a_rebuild_deletes_the_partition_of_a_pool_without_games(spark, tmp_path):
+    base = E.replay(_games(spark, ROWS), [X.ruleset("adjusted-v1")])
+    E.write_history(base.unionByName(base.withColumn("pool", F.lit("gone"))), f"{tmp_path}/h")
+    E.write_history(base, f"{tmp_path}/h", [("nba", "adjusted-v1"), ("gone", "adjusted-v1")])
+    assert {r.pool for r in spark.read.parquet(f"{tmp_path}/h").select("pool").distinct().collect()} == {"nba"}
+
+
+def test_blocked_pools_keep_their_ratings(spark):
+    rules = [X.ruleset("adjusted-v1")]
+    games = _games(spark, ROWS + [(*ROWS[0][:1], *ROWS[0][1:4], 900, *ROWS[0][5:11], False, "finished")])
+    stored = E.replay(_games(spark, ROWS[:3]), rules)
+    assert sorted(map(tuple, E.rebuilt(games, stored, rules).collect())) == sorted(map(tuple, stored.collect()))
+
+
+def test_upsert_with_null_and_repeated_keys(spark):
+    old = spark.createDataFrame([(None, "a", 1), (1, "b", 1), (2, "c", 1)], "k int, v string, n int")
+    new = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (3, "z", 1)], "k int, v string, n int")
+    got = C.upsert(old, new, ["k"], order=[F.desc("n")])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([(None, "a", 1), (1, "y", 2), (2, "c", 1), (3, "z", 1)], key=repr)
+    both = spark.createDataFrame([(None, "q", 5)], "k int, v string, n int")
+    assert (None, "q", 5) in map(tuple, C.upsert(old, both, ["k"]).collect())
+
+
+def test_results_by_day_count_each_id_once_and_drop_late_ones(spark, tmp_path):
+    from datetime import datetime
+
+    from courtfold.streaming.replay import results_by_day
+
+    days = [[("a", 1), ("b", 1), ("a", 1)], [("c", 9)], [("d", 2), ("e", 9)], [("f", 20)]]
+    schema = "source_game_id string, ts timestamp"
+    (tmp_path / "in").mkdir()
+    stream = results_by_day(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*"))
+    for k, part in enumerate(days):
+        spark.createDataFrame([(i, datetime(2024, 1, d, 12)) for i, d in part], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    assert {(r.day.day, r.results) for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {(1, 2), (9, 2)}

@@ -1,8 +1,9 @@
 """Connected components by repeated contraction, with every round written to the shared folder.
 
 Each round lets every node point at its smallest neighbour, follows the pointers
-to their ends by squaring, and replaces the edges by edges between the ends. A round
-at least halves the nodes that still have edges, so rounds are few; no step gathers a
+to their ends by squaring, and replaces the edges by edges between the ends. Each component loses a node with every round at least; where
+identifiers are hashes, as in this package, a node is the smallest around it with a probability of one over its neighbours and itself, and the nodes
+that still have edges fall by a constant factor on average, so rounds are few. No step gathers a
 node's neighbours, and hubs meet only in partial aggregates and splittable joins.
 """
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .work import whole_number
+
 #: The template: a turn is HEAD role COLON text END. Inside roles and texts the characters of CODES become a backslash and a
 #: letter, so no marker can appear there.
 HEAD, COLON, END = "### ", ":\n", "</turn>\n"
@@ -121,7 +123,7 @@ def format_conversations(
 ) -> DataFrame:
     """One row per window: the formatted text, the spans under the loss mask, new turns, repeated turns, tokens.
 
-    Turns go in order of (turn, role, text), nulls first; null roles and texts are empty; a null conversation id is a
+    Turns go in order of (turn, role, text), nulls first; null roles and texts are empty; turns and ids that aren't whole numbers are null; a null conversation id is a
     conversation of its own; repeated rows are turns of their own. Windows hold whole turns in order: a turn starts a new one
     when the prefix sum with it would pass `budget`. Each later window repeats a system turn that opened the conversation and as many
     of the last turns as fit in `history` tokens. Only new assistant turns are under the loss mask, so each is a target once.
@@ -154,7 +156,7 @@ def _in_order(turns: DataFrame, conv_col: str, order: list[str]) -> DataFrame:
     turn, role, text = order
     return (
         turns.select(
-            F.col(conv_col).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
+            whole_number(conv_col).alias("conv_id"), whole_number(turn).alias("turn"),
             F.coalesce(F.col(role).cast("string"), F.lit("")).alias("role"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
         )
         .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .work import save
+from .work import joined_by_size, save, whole_number
 
 BITS = 64
 REFINE_FROM = 512
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = np.fromiter((fingerprint(t.as_py(), width) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    return docs.select(whole_number(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def _segments(max_distance: int) -> list[tuple[int, int]]:
@@ -116,7 +116,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links).
 
     Null, empty and wordless texts share fingerprint zero and link like any other. Rows with a null id
-    keep their row and never name a group unless all of its ids are null. Repeated rows stay repeated.
+    keep their row and never name a group unless all of its ids are null; ids that aren't whole numbers become null. Repeated rows stay repeated.
     Other columns of docs are ignored, whatever their names. An empty table gives an empty result.
     """
     prints = save(fingerprints(docs, id_col, text_col, width), "prints")
@@ -132,7 +132,9 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, max_distance: int = 4) -> DataFrame:
-    """The rows of docs whose document is the smallest of its group; rows of one id stay or go together."""
+    """The rows of docs whose document is the smallest of its group; rows of one id stay or go together. Columns keep their names, whatever they are."""
     groups = simhash_groups(docs, id_col, text_col, width, max_distance)
-    keep = save(groups.filter("doc_id <=> component_id").select(F.col("doc_id").alias("kept_id")).distinct(), "keep")
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("kept_id")), "left_semi")
+    stays = F.bool_or(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = save(groups.groupBy("doc_id").agg(stays.alias("stays")).filter("not stays").select(F.col("doc_id").alias("gone_id")), "gone")
+    own = docs.select(whole_number(id_col).alias("own_id"), F.struct(*[F.col(c) for c in docs.columns]).alias("row"))
+    return joined_by_size(own, gone, F.col("own_id").eqNullSafe(F.col("gone_id")), "left_anti").select("row.*")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from .arrays import SECOND, SECOND_INVERSE, covered, near_hashes, range_hashes, text_slices, windows_of, words_of
 from .packing import KEY, bucketed, flat, gathered, member, narrow, passed, runs, settled_rows, shard_bits, shard_parts, shard_rows, widen
-from .work import drop, save
+from .work import drop, save, whole_number
 
 WIDTH = 35
 FLUSH_WORDS = 1 << 20
@@ -259,12 +259,12 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A window goes if its words also start anywhere else, in the same text too; all its occurrences go, the first as well. Windows
     never cross texts and are judged on the input. Blocks of (width + 1) / 2 words from the start of each text are the anchors: any repeated window
     holds one, so every repeat is found. Windows are compared by 128 bits of hashes of their words. Null and empty texts have no
-    words; repeated rows are texts of their own; null ids are kept; other columns are ignored. An empty table gives an empty result.
+    words; repeated rows are texts of their own; null ids are kept, and ids that aren't whole numbers become null; other columns are ignored. An empty table gives an empty result.
     """
     if width < 2:
         raise ValueError("width must be 2 at least")
     block = (width + 1) // 2
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns(
+    own = docs.select(whole_number(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumns(
         {"key": F.xxhash64("doc_id", "text"), "id": F.xxhash64(F.lit(1), "doc_id", "text")}
     )
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .arrays import BASE, BASE_INVERSE, SECOND, SECOND_INVERSE, mix, near_hashes, powers, text_slices, windows_of
 from .packing import KEY, batch_of, bucketed, flat, gathered, member, passed, runs, settled_rows, shard_bits, shard_parts, shard_rows, slices
-from .work import drop, save
+from .work import drop, save, whole_number
 
 WIDTH, GRAM = 100, 32
 FLUSH_BYTES = 8 << 20
@@ -415,14 +415,14 @@ def suffix_dedup(
 ) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept): texts without the bytes of strings of `width` bytes that also start earlier.
 
-    Earlier is a smaller doc_id, or the same and an earlier start; null ids come first. Texts are UTF-8 bytes; null texts are empty.
+    Earlier is a smaller doc_id, or the same and an earlier start; null ids, and those that aren't whole numbers, come first. Texts are UTF-8 bytes; null texts are empty.
     Strings never cross texts, may overlap, and are judged on the input. Rows of one id are one document: strings that start
     at the same place in two of them aren't earlier than one another. What is kept may not be UTF-8, so it is binary. Repeated rows
     stay repeated, other columns are ignored, and an empty table gives an empty result. width - gram must be below 128.
     """
     if not 0 < gram < width or width - gram >= 128:
         raise ValueError("gram must be below width, by less than 128")
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
+    own = docs.select(whole_number(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = shard_bits(total)
     found = save(_recurring(own, width, gram, shards, max(REFINED_FROM, total // MOST_REFINED)), "recurring")

@@ -28,6 +28,8 @@ CACHE, PAIRS = 250_000, 300_000
 #: Texts whose new words are learnt together, and texts that are cut into words at a time.
 LEARNT, CUT = 4096, 256
 NOTHING = np.float64(-np.inf)
+#: Bits of a hash below those that number a slot of a table.
+TOP = np.uint64(44)
 
 
 @dataclass
@@ -49,6 +51,8 @@ class PieceModel:
         keys = np.array([_hash_one(c) for c in codes], np.uint64)
         order = np.argsort(keys)
         self.keys, self.key_ids = keys[order], np.array(self.usable, np.int64)[order]
+        self.present = np.zeros(1 << 20, bool)
+        self.present[self.keys >> TOP] = True
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.longest = max((len(c) for c in codes), default=1)
@@ -82,8 +86,11 @@ class PieceModel:
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids (-1 if none) and scores by substring hash."""
-        at = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        ids = np.where(self.keys[at] == hashes, self.key_ids[at], -1)
+        ids = np.full(hashes.shape, -1, np.int64)
+        maybe = np.nonzero(self.present[hashes >> TOP])  # most substrings are no pieces
+        h = hashes[maybe]
+        at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
+        ids[maybe] = np.where(self.keys[at] == h, self.key_ids[at], -1)
         return ids, np.where(ids >= 0, self.scores[ids], NOTHING)
 
 
@@ -151,15 +158,21 @@ class Steps:
     def __init__(self, model: PieceModel):
         self.model, self.known = model, {}
         self.size = len(model.pieces) + 2
+        self.slots, self.answers = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
 
     def possible(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        keys, which = np.unique((left + 2) * self.size + right + 2, return_inverse=True)
-        if len(self.known) > PAIRS:
-            self.known.clear()
-        new = [k for k in keys.tolist() if k not in self.known]
-        if new:
-            self._learn(new)
-        return np.array([self.known[k] for k in keys.tolist()], bool)[which]
+        keys = (left + 2) * self.size + right + 2
+        slot = (mix(keys.astype(np.uint64)) >> TOP).astype(np.int64)
+        out, new = self.answers[slot], np.flatnonzero(self.slots[slot] != keys)
+        if len(new):
+            asked, which = np.unique(keys[new], return_inverse=True)
+            asked = asked.tolist()
+            if len(self.known) > PAIRS:
+                self.known.clear()
+            self._learn([k for k in asked if k not in self.known])
+            out[new] = np.array([self.known[k] for k in asked], bool)[which]
+            self.answers[slot[new]], self.slots[slot[new]] = out[new], keys[new]
+        return out
 
     def _learn(self, keys: list[int]) -> None:
         by_length: dict[int, list] = {}

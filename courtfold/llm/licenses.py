@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SHINGLE = 5
@@ -101,9 +101,9 @@ def _band(shingle: str) -> Column:
 
 
 def _shingles(words: Column) -> Column:
-    """The distinct shingles as strings."""
+    """The shingles as strings, in order."""
     n = F.size(words) - (SHINGLE - 1)
-    return F.when(n > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.array_join(F.slice(words, p, SHINGLE), " ")))).otherwise(
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.array_join(F.slice(words, p, SHINGLE), " "))).otherwise(
         F.array().cast("array<string>")
     )
 
@@ -115,9 +115,10 @@ def license_scan(
     """One row per document and template found: doc_id, template, containment, start_word, n_places.
 
     Words are runs of letters and digits in lower case. A template of n words matches where a span of n words holds
-    at least `threshold` of its distinct five-word shingles; containment is that of the best place looked at, start_word its first
-    (counted from 0), n_places how many alignments matched. Each window of each whole text is hashed; `miss` bounds the probability that a
-    window with one shingle of a template isn't retrieved, and longer matches have many windows. Null, empty and short texts have
+    at least `threshold` of its distinct five-word shingles; containment is that of the best span wherever it begins, start_word its first word
+    (counted from 0, the first of equal spans), n_places how many runs of neighbouring beginnings reach the threshold, so copies without a word between count once.
+    Each window of each whole text is hashed; `miss` bounds the probability that a window with one shingle of a template isn't retrieved. A retrieved window brings
+    its neighbours' shingles, and longer matches have many windows. Null, empty and short texts have
     no matches. Rows of one id are one document, repeated rows too, and each of its texts is checked; a null id is an id. Other columns are ignored.
     """
     templates = TEMPLATES if templates is None else templates
@@ -125,44 +126,61 @@ def license_scan(
     bands = bands_for(miss)
     library = spark.createDataFrame(list(templates.items()), "template string, notice string").select(
         "template", _words(F.col("notice")).alias("t_words")
-    ).filter(F.size("t_words") >= SHINGLE).select("template", F.size("t_words").alias("n"), _shingles(F.col("t_words")).alias("t_shingles"), "t_words")
+    ).filter(F.size("t_words") >= SHINGLE)
     keys = (
-        library.select("template", "n", "t_words", F.explode(F.sequence(F.lit(0), F.col("n") - SHINGLE)).alias("offset"))
-        .select("template", "n", "offset", _shingle_hash(F.col("t_words"), F.col("offset")).alias("h"))
-        .select("template", "n", "offset", "h", _turns(bands)).select("template", "n", "offset", _band("h").alias("key"))
+        library.select("template", "t_words", F.explode(F.sequence(F.lit(0), F.size("t_words") - SHINGLE)).alias("offset"))
+        .select("template", _shingle_hash(F.col("t_words"), F.col("offset")).alias("h"))
+        .select("template", "h", _turns(bands)).select("template", _band("h").alias("key")).distinct()
+    )
+    library = library.select("template", F.size("t_words").alias("n"), F.array_distinct(_shingles(F.col("t_words"))).alias("wanted")).select(
+        "template", "n", F.size("wanted").alias("n_wanted"), F.explode("wanted").alias("shingle")
     )
     if sum(len(t) for t in templates.values()) * bands <= BROADCAST_KEYS:  # more characters than shingles
         keys, library = F.broadcast(keys), F.broadcast(library)
     windows = (
-        docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col).cast("string")).alias("words"))
+        docs.select(F.col(id_col).alias("doc_id"), F.md5(F.col(text_col).cast("string")).alias("copy"), _words(F.col(text_col).cast("string")).alias("words"))
         .filter(F.size("words") >= SHINGLE)
-        .select("doc_id", "words", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE, F.lit(WINDOW))).alias("at"))
+        .select("doc_id", "copy", "words", F.explode(F.sequence(F.lit(0), F.size("words") - SHINGLE, F.lit(WINDOW))).alias("at"))
     )
     hashed = windows.select(
-        "doc_id", "words", "at",
+        "doc_id", "copy", "words", "at",
         *[F.when(F.col("at") + i <= F.size("words") - SHINGLE, _shingle_hash(F.col("words"), F.col("at") + i)).alias(f"h{i}")  # null beyond the last, and least() passes over nulls
         for i in range(WINDOW)],
     )
     names = [f"h{i}" for i in range(WINDOW)]
-    banded = hashed.select("doc_id", "words", "at", *names, _turns(bands)).select("doc_id", "words", "at", F.least(*map(_band, names)).alias("key"))
-    begin = F.greatest(F.col("at") - F.col("offset"), F.lit(0))
+    banded = hashed.select("doc_id", "copy", "words", "at", *names, _turns(bands)).select("doc_id", "copy", "words", "at", F.least(*map(_band, names)).alias("key"))
+    begin = F.greatest(F.col("at") - WINDOW, F.lit(0))
     hits = banded.join(keys, "key").select(
-        "doc_id", "template", (F.col("at") - F.col("offset")).alias("aligned"), begin.alias("begin"),
-        F.array_join(F.slice("words", begin + 1, F.col("n") + WINDOW - 1), " ").alias("span"),
+        "doc_id", "copy", "template", begin.alias("begin"),
+        F.array_join(F.slice("words", begin + 1, F.col("at") - begin + 2 * WINDOW + SHINGLE - 1), " ").alias("around"),
+    ).distinct()
+    found = hits.select("doc_id", "copy", "template", "begin", F.posexplode(_shingles(F.split("around", " "))).alias("i", "shingle")).join(
+        library, ["template", "shingle"]
+    )
+    return _best_spans(found.select("doc_id", "copy", "template", "n", "n_wanted", "shingle", (F.col("begin") + F.col("i")).alias("place")), threshold)
+
+
+def _best_spans(found: DataFrame, threshold: float) -> DataFrame:
+    """The best spans of n words over the places at which a text (doc_id, copy) has shingles of a template.
+
+    A span counts a shingle at its first place there, so a place adds one to the spans that begin after the shingle's place before and
+    end behind this one. Running sums of where these ranges open and close are the numbers of different shingles of all spans.
+    A window holds the places of one text, which came as one row.
+    """
+    text = ["doc_id", "copy", "template"]
+    before = F.lag("place").over(Window.partitionBy(*text, "shingle").orderBy("place"))
+    opens = F.greatest(F.col("place") - F.col("n") + SHINGLE, F.coalesce(before + 1, F.lit(0)), F.lit(0))
+    steps = (
+        found.repartition(*text).select(*text, "n_wanted", "place", opens.alias("opens")).filter("opens <= place")  # not a place that came twice
+        .select(*text, "n_wanted", F.explode(F.array(
+            F.struct(F.col("opens").alias("start"), F.lit(1).alias("step")), F.struct((F.col("place") + 1).alias("start"), F.lit(-1).alias("step"))
+        )).alias("s")).select(*text, "n_wanted", "s.*")
     )
-    # texts of one id may differ, so each text's span is checked
-    places = hits.select("doc_id", "template", "aligned", "begin", "span").distinct()
-    span = F.split("span", " ")
-    tries = F.array(*[
-        F.struct(
-            (F.size(F.array_intersect(_shingles(F.slice(span, i + 1, F.col("n"))), F.col("t_shingles"))) / F.size("t_shingles")).alias("containment"),
-            (-F.col("begin") - i).alias("minus_start"),
-        )
-        for i in range(WINDOW)
-    ])
-    best = places.join(library.select("template", "n", "t_shingles"), "template").select("doc_id", "template", "aligned", F.array_max(tries).alias("best"))
+    along = Window.partitionBy(*text).orderBy("start")
+    held = steps.select(*text, "start", (F.sum("step").over(along) / F.col("n_wanted")).alias("containment"))
+    places = held.select(*text, "start", "containment", F.lag("containment", 1, 0.0).over(along).alias("last")).filter(F.col("containment") >= threshold)
     return (
-        best.filter(F.col("best.containment") >= threshold).groupBy("doc_id", "template")
-        .agg(F.max("best").alias("best"), F.count_distinct("aligned").alias("n_places"))
+        places.groupBy("doc_id", "template")
+        .agg(F.max(F.struct("containment", (-F.col("start")).alias("minus_start"))).alias("best"), F.count_if(F.col("last") < threshold).alias("n_places"))
         .select("doc_id", "template", F.col("best.containment").alias("containment"), (-F.col("best.minus_start")).alias("start_word"), "n_places")
     )

@@ -36,6 +36,11 @@ def documents():
             notice = rng.choice(notices).split()
             for _ in range(rng.choice([0, 0, 1, 2])):
                 notice[rng.randrange(len(notice))] = "changed"
+            for _ in range(rng.choice([0, 0, 0, 1, 2])):  # the best span then begins between two alignments
+                at = rng.randrange(len(notice))
+                notice[at:at] = ["added"] * rng.randint(1, 9)
+            if rng.random() < 0.2:
+                del notice[: len(notice) // 8]
             at = rng.randint(0, len(ws))
             ws[at:at] = notice
         rows.append((i, " ".join(ws)))
@@ -67,3 +72,11 @@ def test_texts_of_one_id_are_checked_each(spark):
         rows = [(k, t, "t", 1, "w") for k in (5, None) for t in texts]
         got = {(r.doc_id, r.containment) for r in license_scan(spark.createDataFrame(rows, SCHEMA).coalesce(1), {"notice": true}).collect()}
         assert got == {(5, 1.0), (None, 1.0)}
+
+
+def test_separate_places_are_counted_and_the_first_is_the_start(spark):
+    notice = " ".join(f"t{i}" for i in range(12))
+    gap = " other" * 30
+    rows = [(1, f"a b {notice}{gap} {notice}{gap} {notice}", "t", 1, "w"), (2, f"{notice} {notice}", "t", 1, "w"), (3, f"x {notice}", "t", 1, "w")]
+    got = {r.doc_id: (r.containment, r.start_word, r.n_places) for r in license_scan(spark.createDataFrame(rows + rows[-1:], SCHEMA), {"notice": notice}).collect()}
+    assert got == {1: (1.0, 2, 3), 2: (1.0, 0, 2), 3: (1.0, 1, 1)}

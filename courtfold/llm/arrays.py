@@ -74,12 +74,12 @@ def text_slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iter
             row = end
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in the bytes, and the first word of each row (one more at the end)."""
+def words_of(data: np.ndarray, offsets: np.ndarray, white: np.ndarray = WHITE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in the bytes, or of runs of other than the given bytes, and the first word of each row (one more at the end)."""
     n = len(data)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64)
-    inside = ~WHITE[data]
+    inside = ~white[data]
     cut = np.zeros(n + 1, bool)
     cut[offsets] = True
     begins, stops = inside.copy(), inside.copy()

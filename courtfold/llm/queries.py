@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing
+from . import exactdup, infill, linededup, mixing, search
 from .chat import format_conversations, read_back
+from .exactdup import exact_groups
+from .infill import fill_in_middle
 from .licenses import license_scan
 from .linededup import line_dedup
 from .mixing import mix_sources
 from .pieces import PieceModel, encode_documents
 from .quality import quality_rules
+from .search import ranked_search
 from .simhash import simhash_groups
 from .substrings import substring_dedup
 from .suffixes import suffix_dedup
@@ -77,6 +80,18 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(_read(spark, sf_dir, "documents"), keep_bytes=False).drop("kept")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle(_read(spark, sf_dir, "documents"), keep_text=False)
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_chat_format": op2_chat_format,
@@ -88,9 +103,15 @@ QUERIES = {
     "op8_mix_sources": op8_mix_sources,
     "op9_embedding_dedup": op9_embedding_dedup,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_ranked_search": op11_ranked_search,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_exact_dedup": op13_exact_dedup,
 }
 
 ORACLES: dict[str, str] = {
     "op4_line_dedup": linededup.ORACLE,
     "op8_mix_sources": mixing.ORACLE,
+    "op11_ranked_search": search.ORACLE,
+    "op12_fill_in_middle": infill.ORACLE,
+    "op13_exact_dedup": exactdup.ORACLE,
 }

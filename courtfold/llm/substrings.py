@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import SECOND, SECOND_INVERSE, covered, near_hashes, range_hashes, text_slices, windows_of, words_of
+from .arrays import SECOND, SECOND_INVERSE, byte_hashes, covered, near_hashes, text_slices, windows_of, words_of
 from .packing import KEY, bucketed, flat, gathered, member, narrow, passed, runs, settled_rows, shard_bits, shard_parts, shard_rows, widen
 from .work import drop, save, whole_number
 
@@ -25,21 +25,21 @@ FLUSH_WORDS = 1 << 20
 SPARE = 12
 
 
-def _flushes(batches, column="text"):
-    """Word hashes of many texts at a time: (other columns of the rows, hashes, first word of each row)."""
+def _flushes(batches, column="text", functions=(0,)):
+    """Word hashes of many texts at a time: (other columns of the rows, hashes by each of the functions, first word of each row)."""
     rows, hashes, firsts, n = [], [], [0], 0
     for batch in batches:
         for part, data, offsets in text_slices(batch, column):
             starts, ends, first = words_of(data, offsets)
             rows.append(part)
-            hashes.append(range_hashes(data, starts, ends))
+            hashes.append(np.stack([byte_hashes(data, starts, ends, f) for f in functions]))
             firsts.extend((first[1:] + n).tolist())
             n += len(starts)
             if n >= FLUSH_WORDS:
-                yield rows, np.concatenate(hashes), np.array(firsts)
+                yield rows, np.concatenate(hashes, axis=1), np.array(firsts)
                 rows, hashes, firsts, n = [], [], [0], 0
     if rows:
-        yield rows, np.concatenate(hashes), np.array(firsts)
+        yield rows, np.concatenate(hashes, axis=1), np.array(firsts)
 
 
 def _column(rows, name) -> np.ndarray:
@@ -57,7 +57,7 @@ def _index(own: DataFrame, block: int, bits: int, shards: int) -> DataFrame:
     low = bits - shards
 
     def run(batches):
-        for rows, words, first in _flushes(batches):
+        for rows, (words,), first in _flushes(batches):
             at = windows_of(first, block)
             if not len(at):
                 continue
@@ -166,7 +166,7 @@ def _equal(h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _extended(going: DataFrame, width: int, block: int, shards: int) -> DataFrame:
-    """(key, id, found): the windows of `width` words around the hits of each text that occur twice or more, by two 64-bit hashes.
+    """(key, id, found): the windows of `width` words around the hits of each text that occur twice or more, by two 64-bit hashes, each over its own hash of each word.
 
     A window is looked at if all blocks inside it are hits. Windows that recur in a flush are settled there. A shard is folded part by part into its different windows.
     """
@@ -179,7 +179,7 @@ def _extended(going: DataFrame, width: int, block: int, shards: int) -> DataFram
                 plain = pa.array([expand(z) for z in batch.column("packed").to_pylist()], pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("id"), plain, batch.column("places")], ["key", "id", "text", "places"])
 
-        for rows, words, first in _flushes(texts()):
+        for rows, (words, others), first in _flushes(texts(), functions=(0, 1)):
             anchors = np.zeros(len(words) + 1, bool)
             for start, end, places in zip(first[:-1].tolist(), first[1:].tolist(), (p for r in rows for p in r.column("places").to_pylist())):
                 at = start + np.frombuffer(places, np.int32).astype(np.int64) * block
@@ -194,7 +194,7 @@ def _extended(going: DataFrame, width: int, block: int, shards: int) -> DataFram
                 continue
             key = np.zeros(len(at), KEY)
             key["key"], key["id"] = _column(rows, "key")[row], _column(rows, "id")[row]
-            h, g = near_hashes(words, at, at + width, SECOND, SECOND_INVERSE), near_hashes(words, at, at + width)
+            h, g = near_hashes(words, at, at + width, SECOND, SECOND_INVERSE), near_hashes(others, at, at + width)
             order, cuts = _equal(h, g)
             h, g, key, place = h[order], g[order], key[order], place[order]
             n = np.diff(cuts)
@@ -258,7 +258,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A window goes if its words also start anywhere else, in the same text too; all its occurrences go, the first as well. Windows
     never cross texts and are judged on the input. Blocks of (width + 1) / 2 words from the start of each text are the anchors: any repeated window
-    holds one, so every repeat is found. Windows are compared by 128 bits of hashes of their words. Null and empty texts have no
+    holds one, so every repeat is found. Windows are compared by two independent 64-bit hashes
+    of the bytes of their words. Null and empty texts have no
     words; repeated rows are texts of their own; null ids are kept, and ids that aren't whole numbers become null; other columns are ignored. An empty table gives an empty result.
     """
     if width < 2:

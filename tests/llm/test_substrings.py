@@ -51,3 +51,21 @@ def test_matches_brute_force(spark, monkeypatch, width, flush):
 
 def test_empty_table(spark):
     assert substring_dedup(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_words_of_one_pattern_are_told_apart(spark):
+    """Polynomial hashes modulo 2**64 of these words agree for every odd base."""
+    words = ["".join("ab"[bin(i).count("1") % 2 ^ flip] for i in range(n)) for n in (1024, 2048) for flip in (0, 1)]
+    common = [f"w{i}" for i in range(34)]
+    rows = [(i, " ".join([*common[:17], w, *common[17:]])) for i, w in enumerate(words)] + [(9, " ".join([*common[:17], words[0], *common[17:]]))]
+    got = sorted((tuple(r) for r in substring_dedup(spark.createDataFrame([(*r, "k", 1, "n") for r in rows], SCHEMA)).collect()), key=repr)
+    assert got == brute(rows, 35)
+    assert [r[2] for r in got] == [35, 0, 0, 0, 35]
+
+
+def test_a_long_text(spark):
+    rng = random.Random(4)
+    long = [str(rng.randint(0, 10**6)) for _ in range(600_000)]
+    rows = [(1, " ".join(long)), (2, "a " + " ".join(long[1000:2000])), (3, "x" * 5_000_000)]
+    got = sorted((tuple(r) for r in substring_dedup(spark.createDataFrame([(*r, "k", 1, "n") for r in rows], SCHEMA)).collect()), key=repr)
+    assert got == brute(rows, 35) and got[0][2] == got[1][2] - 0 == 1000

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import SECOND, mix, near_hashes, range_hashes, text_slices, windows_of, words_of
+from .arrays import SECOND, byte_hashes, mix, near_hashes, range_hashes, text_slices, windows_of, words_of
 from .components import connected_components
 from .packing import runs
 from .simhash import fingerprint_links
@@ -26,13 +26,15 @@ LOWER[65:91] += 32
 SKETCH = "doc_id long, node long, n int, fp long, bands array<long>"
 BLOCK = 1 << 16
 CHUNK, COLUMNS = 256, 4096
+#: A chunk of a bucket holds about so many shingles, or one longer text's.
+CHUNK_SHINGLES = 1 << 19
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct hashes of each text's shingles of `width` words (a shorter text is one shingle), and their row bounds."""
     data = LOWER[data]
     starts, ends, first = words_of(data, offsets)
-    words = range_hashes(data, starts, ends)
+    words = byte_hashes(data, starts, ends)
     at = windows_of(first, width)
     short = np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < width))
     hashes = np.concatenate([near_hashes(words, at, at + width), range_hashes(words, first[short], first[short + 1])])
@@ -121,7 +123,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _bucket_links(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """(u, v): links between components that meet in a bucket of mixed(band, key, node, c), as a forest for each pair of chunks of CHUNK nodes.
+    """(u, v): links between components that meet in a bucket of mixed(band, key, node, n, c), as a forest for each pair of chunks of CHUNK nodes and CHUNK_SHINGLES shingles.
 
     The sizes of all intersections of a chunk pair are one matrix product, so no pair becomes a row.
     """
@@ -157,7 +159,8 @@ def _bucket_links(mixed: DataFrame, sets: DataFrame, threshold: float) -> DataFr
         at = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"u": node[at[:, 0]], "v": node[at[:, 1]]})
 
-    counts = mixed.groupBy("band", "key").agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
+    most = F.greatest(F.ceil(F.count("*") / CHUNK), F.ceil(F.sum("n") / CHUNK_SHINGLES))
+    counts = mixed.groupBy("band", "key").agg(F.greatest(most, F.lit(1)).alias("chunks"))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
     dealt = mixed.join(counts, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node"), "chunks")).withColumn("other", other)
     dealt = dealt.select("band", "key", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "node", "c")
@@ -206,7 +209,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     whole = Window.partitionBy("band", "key")
     held = keyed.join(groups, "node", "left").select("node", "n", F.coalesce("component", "node").alias("c"), "band", "key")
     mixed = save(
-        held.select("*", F.min("c").over(whole).alias("lo"), F.max("c").over(whole).alias("hi")).filter("lo < hi").select("band", "key", "node", "c"), "mixed"
+        held.select("*", F.min("c").over(whole).alias("lo"), F.max("c").over(whole).alias("hi")).filter("lo < hi").select("band", "key", "node", "n", "c"), "mixed"
     )
     across = save(_bucket_links(mixed, sets, threshold), "across")
     groups = connected_components(first.unionByName(across))

@@ -80,3 +80,14 @@ def test_null_ids_repeats_and_large_groups(spark):
     rows = [(None, text), (5, text), (5, text), (7, text + " end"), (None, "alone here"), *((100 + i, f"{text} end{i}") for i in range(300))]
     got = [tuple(r) for r in near_groups(spark.createDataFrame([(*r, "en", "a", 0) for r in rows], SCHEMA)).collect()]
     assert sorted(got, key=str) == sorted([(k, None if t == "alone here" else 5) for k, t in rows], key=str)
+
+
+def test_buckets_cut_by_shingles_give_the_same_groups(spark, monkeypatch):
+    from courtfold.llm import neardup
+
+    rng = random.Random(8)
+    bases = [[f"w{rng.randint(0, 99)}" for _ in range(rng.randint(60, 200))] for _ in range(6)]
+    rows = [(i, " ".join(changed(rng, rng.choice(bases), rng.randint(0, 4)))) for i in range(60)]
+    frame = spark.createDataFrame([(*r, "en", "s", 0) for r in rows], SCHEMA)
+    monkeypatch.setattr(neardup, "CHUNK_SHINGLES", 300)
+    assert {tuple(r) for r in near_groups(frame).collect()} == brute(rows)

@@ -6,27 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact_name, full_season, similar
+from .ingest import HOURS, nearest_in_time
 
 
-def nearest_fixture(results: DataFrame, fixtures: DataFrame, days: int = 1) -> DataFrame:
-    """Each result with the one scheduled game of the same teams nearest in time, within days; `ambiguous` where two are equally near.
+def nearest_fixture(results: DataFrame, fixtures: DataFrame, hours: int = HOURS) -> DataFrame:
+    """Each result with the one nearest game of another source that is scheduled in the same competition for the same teams, within hours; `ambiguous` where several are equally near.
 
-    Both sides are dealt by teams and day bucket, so a pair that plays often doesn't meet in one task.
+    results(feed_id, feed_ts, source, competition_id, home_id, away_id), fixtures(game_id, game_ts, source, competition_id, home_id, away_id, status); distances are in seconds.
     """
-    step = days + 1
-    r = results.withColumn("bucket", F.explode(F.array(*[F.floor(F.unix_date("feed_date") / step) + k for k in (-1, 0, 1)])))
-    f = fixtures.select(F.col("game_id"), F.col("game_date"), F.col("home_id").alias("h"), F.col("away_id").alias("a"), F.floor(F.unix_date("game_date") / step).alias("b"))
-    near = r.join(f, (r.home_id == f.h) & (r.away_id == f.a) & (r.bucket == f.b)).withColumn("distance", F.abs(F.datediff("feed_date", "game_date"))).filter(F.col("distance") <= days)
-    w = Window.partitionBy("feed_id")
-    first = near.withColumn("least", F.min("distance").over(w)).filter("distance = least")
-    return first.groupBy("feed_id").agg(F.when(F.count("*") == 1, F.min("game_id")).alias("game_id"), F.min("distance").alias("distance"), (F.count("*") > 1).alias("ambiguous"))
-
-
-def same_day_duplicates(games: DataFrame) -> DataFrame:
-    """Pairs of games of two sources on one day with the same scores and at least one team in common on its side."""
-    a = games.filter("home_score is not null and away_score is not null").select("game_id", "source", "game_date", "home_score", "away_score", "home_id", "away_id")
-    b = a.withColumnsRenamed({"game_id": "other_id", "source": "other_source", "home_id": "h", "away_id": "w"})
-    pairs = a.join(b, ["game_date", "home_score", "away_score"]).filter("game_id < other_id and source <> other_source and (home_id = h or away_id = w)")
+    keys = ["competition_id", "home_id", "away_id"]
+    rows = results.withColumnsRenamed({"feed_id": "row_id", "feed_ts": "ts"})
+    planned = fixtures.filter("status = 'scheduled'").withColumnsRenamed({"game_id": "other_id", "game_ts": "ts"})
+    return nearest_in_time(rows, planned, keys, hours).withColumnsRenamed({"row_id": "feed_id", "other_id": "game_id"})
+
+
+def same_day_duplicates(games: DataFrame, teams: DataFrame) -> DataFrame:
+    """Pairs of games of two sources in one season, on one day with the same scores, and on each side the same team or one of the same country."""
+    a = games.filter("home_score is not null and away_score is not null").select("game_id", "source", "season", "game_date", "home_score", "away_score", "home_id", "away_id")
+    for side in ("home", "away"):
+        a = a.join(teams.select(F.col("team_id").alias(f"{side}_id"), F.col("country").alias(f"{side}_country")), f"{side}_id", "left")
+    keys = ["season", "game_date", "home_score", "away_score"]
+    b = a.select(*keys, *[F.col(c).alias(f"other_{c}") for c in ("source", "home_id", "away_id", "home_country", "away_country")], F.col("game_id").alias("other_id"))
+    same = lambda side: (F.col(f"{side}_id") == F.col(f"other_{side}_id")) | (F.col(f"{side}_country") == F.col(f"other_{side}_country"))
+    pairs = a.join(b, keys).filter("game_id < other_id and source <> other_source").filter(same("home") & same("away"))
     return pairs.select("game_id", "other_id", "game_date")
 
 

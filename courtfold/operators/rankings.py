@@ -132,15 +132,16 @@ def form(history: DataFrame, n: int = 5) -> DataFrame:
 
 
 def resample(history: DataFrame, unit: str = "month") -> DataFrame:
-    """Rating at the end of each month or ISO week between a team's first and last game: the last at or before it."""
+    """A team's rating at the end of each month or ISO week before its last game, the last at or before it, and at the last game itself; `filled` where the period has no game."""
     step = {"month": "INTERVAL 1 MONTH", "week": "INTERVAL 7 DAYS"}[unit]
     inside = Window.partitionBy("pool", "ruleset", "team_id", "period").orderBy(F.desc("game_date"), F.desc("game_id"))
     last = history.withColumn("period", F.trunc("game_date", unit)).withColumn("rn", F.row_number().over(inside)).filter("rn = 1")
-    bounds = last.groupBy("pool", "ruleset", "team_id").agg(F.min("period").alias("a"), F.max("period").alias("b"))
-    grid = bounds.select("pool", "ruleset", "team_id", F.explode(F.expr(f"sequence(a, b, {step})")).alias("period"))
+    bounds = last.groupBy("pool", "ruleset", "team_id").agg(F.min("period").alias("a"), F.max("period").alias("b"), F.max("game_date").alias("last_date"))
+    grid = bounds.select("pool", "ruleset", "team_id", "b", "last_date", F.explode(F.expr(f"sequence(a, b, {step})")).alias("period"))
     upto = Window.partitionBy("pool", "ruleset", "team_id").orderBy("period")
     filled = grid.join(last.select("pool", "ruleset", "team_id", "period", "post"), ["pool", "ruleset", "team_id", "period"], "left")
-    return filled.select("pool", "team_id", "period", F.round(F.last("post", ignorenulls=True).over(upto), 2).alias("elo"), F.col("post").isNull().alias("filled"))
+    end = F.last_day("period") if unit == "month" else F.date_add("period", 6)
+    return filled.select("pool", "team_id", F.when(F.col("period") == F.col("b"), F.col("last_date")).otherwise(end).alias("point_date"), F.round(F.last("post", ignorenulls=True).over(upto), 2).alias("elo"), F.col("post").isNull().alias("filled"))
 
 
 def date_index(history: DataFrame) -> DataFrame:

@@ -48,13 +48,13 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 SOURCE = re.compile(r"\b(FROM|JOIN)\s+(\w+)\b")
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One view of the domain, or a table, as a DataFrame."""
-    if name not in VIEWS:
+def view(spark: SparkSession, sf_dir: str, name: str, more: dict[str, str] | None = None) -> DataFrame:
+    """One view of the domain, or of more of them, or a table, as a DataFrame."""
+    sql = (VIEWS | (more or {})).get(name)
+    if sql is None:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    sql = VIEWS[name]
     used = {n for _, n in SOURCE.findall(sql)}
-    return spark.sql(SOURCE.sub(r"\1 {\2}", sql), **{n: view(spark, sf_dir, n) for n in used})
+    return spark.sql(SOURCE.sub(r"\1 {\2}", sql), **{n: view(spark, sf_dir, n, more) for n in used})
 
 
 _written: dict[tuple[str, str], str] = {}

@@ -70,20 +70,24 @@ def official_counts(spark, sf_dir):
     return official_matches(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-STAGED = """SELECT game_id, season, CASE game_id % 4 WHEN 0 THEN 'group' WHEN 1 THEN 'quarter' WHEN 2 THEN 'semi' ELSE 'final' END AS stage, CASE WHEN game_id % 4 = 0 OR game_id % 8 = 2 THEN game_date END AS game_date FROM games"""
+#: Group games by their days, some later ones of the playoffs known: quarter finals by theirs, semifinals half a year on, finals of even seasons a year on.
+STAGED = """SELECT game_id, season, CASE game_id % 4 WHEN 0 THEN 'group' WHEN 1 THEN 'quarter' WHEN 2 THEN 'semi' ELSE 'final' END AS stage,
+  CASE WHEN game_id % 4 = 0 OR game_id % 16 = 1 THEN game_date WHEN game_id % 8 = 2 THEN game_date + CAST(game_id % 200 AS INT) WHEN game_id % 16 = 3 AND season < '1995-1996' THEN game_date + 400 END AS game_date FROM games"""
+#: Ends stage by stage, as a season is read.
+ENDS = {
+    "sizes": """SELECT season, max(game_date) FILTER (stage = 'group') AS g, max(game_date) FILTER (stage = 'quarter') AS qk, max(game_date) FILTER (stage = 'semi') AS sk, max(game_date) FILTER (stage = 'final') AS fk,
+  CAST(count(*) FILTER (stage = 'quarter' AND game_date IS NULL) AS INT) AS qu, CAST(count(*) FILTER (stage = 'semi' AND game_date IS NULL) AS INT) AS su FROM staged GROUP BY season""",
+    "quarters": "SELECT *, greatest(g + qu, coalesce(qk, g)) AS q FROM sizes",
+    "semis": "SELECT *, greatest(q, coalesce(sk, q)) AS s0, greatest(q, coalesce(sk, q)) + su AS s FROM quarters",
+}
 
 
 @query(with_views("""SELECT game_id, coalesce(game_date, ends + CAST(nth AS INT)) AS game_date FROM (
-  SELECT s.*, row_number() OVER (PARTITION BY s.season, s.stage ORDER BY s.game_date IS NOT NULL, s.game_id) AS nth,
-    CASE s.stage WHEN 'quarter' THEN e.g WHEN 'semi' THEN e.q WHEN 'final' THEN e.s END AS ends FROM staged s JOIN (
-    SELECT season, g, q, greatest(q + CAST(su AS INT), coalesce(sk, q)) AS s FROM (SELECT season, max(game_date) FILTER (stage = 'group') AS g, max(game_date) FILTER (stage = 'group') + CAST(count(*) FILTER (stage = 'quarter') AS INT) AS q,
-      count(*) FILTER (stage = 'semi' AND game_date IS NULL) AS su, max(game_date) FILTER (stage = 'semi') + CAST(count(*) FILTER (stage = 'semi' AND game_date IS NULL) AS INT) AS sk FROM staged GROUP BY season)) e USING (season))""", staged=STAGED))
+  SELECT s.game_id, s.game_date, row_number() OVER (PARTITION BY s.season, s.stage ORDER BY s.game_date IS NOT NULL, s.game_id) AS nth,
+    CASE s.stage WHEN 'quarter' THEN e.g WHEN 'semi' THEN e.s0 WHEN 'final' THEN greatest(e.s, coalesce(e.fk, e.s)) END AS ends FROM staged s JOIN semis e ON e.season = s.season)""", staged=STAGED, **ENDS))
 def filled_dates(spark, sf_dir):
-    """Playoff games without dates after the group stage; the dated half of the semifinals may end later."""
-    k = F.col("game_id")
-    stage = F.when(k % 4 == 0, "group").when(k % 4 == 1, "quarter").when(k % 4 == 2, "semi").otherwise("final")
-    g = view(spark, sf_dir, "games").select("game_id", "season", stage.alias("stage"), F.when((k % 4 == 0) | (k % 8 == 2), F.col("game_date")).alias("game_date"))
-    return S.filled_dates(g, "season", ["group", "quarter", "semi", "final"], "game_id").select("game_id", "game_date")
+    """Playoff games without dates; known days of their own stages may be later than the stage before."""
+    return S.filled_dates(view(spark, sf_dir, "staged", {"staged": STAGED}), "season", ["group", "quarter", "semi", "final"], "game_id", ("quarter",)).select("game_id", "game_date")
 
 
 @query(with_views("""SELECT season, source_game_id, game_date, home_score FROM (SELECT *, row_number() OVER (PARTITION BY season, lo, hi ORDER BY place, source_game_id) AS rn FROM (
@@ -195,3 +199,23 @@ def archive_games(spark, sf_dir):
                     F.col("home_score").cast("string").alias("pts"), F.col("away_score").cast("string").alias("opp_pts"), F.lit(2).alias("line"))
     one = files_.last_row_wins(rows.unionByName(rows.withColumns({"line": F.lit(1), "pts": F.lit("0")})), "game_id", "line")
     return files_.archive_games(one).select(F.col("game_id").cast("long").alias("game_id"), "game_date", "home_score", "away_score")
+
+
+#: Leagues of eight to ten customers, an odd one among them, and every game between two of them; one league lacks a game.
+MATRICES = {
+    "sides": "SELECT CAST(floor(c_custkey / 10) AS BIGINT) AS page_no, c_custkey AS team_no FROM customer WHERE floor(c_custkey / 10) % 2 = 0 OR c_custkey % 10 < 8",
+    "pages_of": """SELECT concat('p', page_no) AS page, CAST(1950 + page_no % 40 AS INT) AS start_year, concat('T', 1000000 + team_no * 7 % 1000) AS team, CAST(row_number() OVER (PARTITION BY page_no ORDER BY team_no) - 1 AS INT) AS row_no FROM sides""",
+    "grids": """SELECT h.page, h.start_year, h.row_no AS home_no, a.row_no AS away_no, h.team AS home, a.team AS away, CAST(60 + (h.row_no * 7 + a.row_no) % 30 AS INT) AS home_score, 50 AS away_score
+FROM pages_of h JOIN pages_of a ON a.page = h.page AND a.row_no <> h.row_no WHERE NOT (h.page = 'p7' AND h.row_no = 0 AND a.row_no = 1)""",
+}
+
+
+@query(with_views("""SELECT page, home, away, home_score, away_score, round_no, anchor + offs AS game_date FROM (
+  SELECT *, anchor_day - CAST((dayofweek(anchor_day) + 1) % 7 AS INT) AS anchor, [0, 6, 13, 18, 21, 28, 28, 36, 56, 63][least(round_no, 10)] AS offs FROM (
+    SELECT g.*, make_date(start_year, 9, 30) AS anchor_day, CAST(1 + CASE WHEN lo = 0 THEN (2 * n - 2 - hi) % (n - 1) ELSE ((4 * n - 4 - lo - hi) * (n // 2)) % (n - 1) END + CASE WHEN home > away THEN n - 1 ELSE 0 END AS INT) AS round_no FROM (
+      SELECT g.*, least(home_no, away_no) AS lo, greatest(home_no, away_no) AS hi, c.n FROM grids g JOIN (SELECT page, count(*) AS n FROM pages_of GROUP BY page) c ON c.page = g.page
+      JOIN (SELECT page, count(*) AS got FROM grids GROUP BY page) k ON k.page = g.page AND k.got = c.n * (c.n - 1) WHERE c.n % 2 = 0) g))""", **MATRICES))
+def scheduled_matrices(spark, sf_dir):
+    """Rounds and days of full matrices; odd and incomplete ones give nothing."""
+    teams, grids = (view(spark, sf_dir, n, MATRICES) for n in ("pages_of", "grids"))
+    return files_.scheduled(grids, teams, [0, 6, 13, 18, 21, 28, 28, 36, 56, 63]).select("page", "home", "away", "home_score", "away_score", "round_no", "game_date")

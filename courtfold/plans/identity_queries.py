@@ -78,34 +78,42 @@ def similar_teams(spark, sf_dir):
 
 
 #: The feed of another source, moved to the days of the games so that fixtures are near.
-NEWS = """SELECT feed_id, DATE '1995-01-01' + CAST(feed_id % 2400 AS INT) AS feed_date, home_id, away_id FROM feed"""
+#: Each game as a daily feed has it: up to 60 hours later or 20 earlier, some in another competition, some from the game's own source.
+NEWS = {
+    "timed": "SELECT *, CAST(game_date AS TIMESTAMP) + CAST(game_id % 24 AS INT) * INTERVAL '1' HOUR AS game_ts FROM games",
+    "news": """SELECT game_id AS feed_id, game_ts + CAST(game_id % 80 - 20 AS INT) * INTERVAL '1' HOUR AS feed_ts, CASE WHEN game_id % 7 = 0 THEN (competition_id + 1) % 5 ELSE competition_id END AS competition_id,
+  CASE WHEN game_id % 6 = 0 THEN source ELSE 'feed' END AS source, home_id, away_id FROM timed""",
+    "fixtures": """SELECT game_id, source, competition_id, home_id, away_id, status, game_ts FROM timed
+UNION ALL SELECT game_id + 1000000000, source, competition_id, home_id, away_id, status, game_ts + CAST(2 * (game_id % 80 - 20) AS INT) * INTERVAL '1' HOUR FROM timed WHERE game_id % 9 = 0""",
+}
 
 
 @query(with_views("""SELECT feed_id, CASE WHEN count(*) = 1 THEN min(game_id) END AS game_id, min(distance) AS distance, count(*) > 1 AS ambiguous FROM (
-  SELECT feed_id, game_id, abs(n.feed_date - g.game_date) AS distance, min(abs(n.feed_date - g.game_date)) OVER (PARTITION BY feed_id) AS best
-  FROM news n JOIN games g ON g.home_id = n.home_id AND g.away_id = n.away_id AND abs(n.feed_date - g.game_date) <= 3) WHERE distance = best GROUP BY feed_id""", news=NEWS))
+  SELECT *, min(distance) OVER (PARTITION BY feed_id) AS best FROM (
+    SELECT feed_id, game_id, abs(epoch(feed_ts) - epoch(game_ts))::BIGINT AS distance FROM news n JOIN fixtures g ON g.competition_id = n.competition_id AND g.home_id = n.home_id AND g.away_id = n.away_id
+      AND g.source <> n.source AND g.status = 'scheduled' AND abs(epoch(feed_ts) - epoch(game_ts)) <= 36 * 3600)) WHERE distance = best GROUP BY feed_id""", **NEWS))
 def nearest_fixtures(spark, sf_dir):
-    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("feed_id") % 2400).cast("int"))
-    news = view(spark, sf_dir, "feed").select("feed_id", day.alias("feed_date"), "home_id", "away_id")
-    return I.nearest_fixture(news, view(spark, sf_dir, "games"), days=3)
+    """Some games are planned twice, equally far from the news."""
+    return I.nearest_fixture(view(spark, sf_dir, "news", NEWS), view(spark, sf_dir, "fixtures", NEWS))
 
 
 SCORED = "SELECT * FROM games WHERE home_score IS NOT NULL AND away_score IS NOT NULL"
-#: Games, and a third of them once more from another source; of these some have another away team.
+#: Games, and a third of them once more from another source; of these some have another away team, of the same country or not.
 TWICE = """SELECT game_id, source, game_date, season, home_id, away_id, home_score, away_score FROM games WHERE home_score IS NOT NULL AND away_score IS NOT NULL
-UNION ALL SELECT game_id + 1000000000, 'copy', game_date, season, home_id, CASE WHEN game_id % 2 = 0 THEN 30 ELSE away_id END, home_score, away_score FROM games WHERE game_id % 3 = 0 AND home_score IS NOT NULL AND away_score IS NOT NULL"""
+UNION ALL SELECT game_id + 1000000000, 'copy', game_date, season, home_id, CASE WHEN game_id % 2 = 0 THEN (away_id + 5) % 30 ELSE away_id END, home_score, away_score FROM games WHERE game_id % 3 = 0 AND home_score IS NOT NULL AND away_score IS NOT NULL"""
 
 
 def twice(spark, sf_dir):
     g = view(spark, sf_dir, "games").filter("home_score is not null and away_score is not null").select("game_id", "source", "game_date", "season", "home_id", "away_id", "home_score", "away_score")
     i = F.col("game_id")
-    return g.unionByName(g.filter(i % 3 == 0).withColumns({"game_id": i + 1000000000, "source": F.lit("copy"), "away_id": F.when(i % 2 == 0, F.lit(30)).otherwise(F.col("away_id"))}))
+    return g.unionByName(g.filter(i % 3 == 0).withColumns({"game_id": i + 1000000000, "source": F.lit("copy"), "away_id": F.when(i % 2 == 0, (F.col("away_id") + 5) % 30).otherwise(F.col("away_id"))}))
 
 
-@query(with_views("""SELECT a.game_id, b.game_id AS other_id, a.game_date FROM twice a JOIN twice b USING (game_date, home_score, away_score)
-WHERE a.game_id < b.game_id AND a.source <> b.source AND (a.home_id = b.home_id OR a.away_id = b.away_id)""", twice=TWICE))
+@query(with_views("""SELECT a.game_id, b.game_id AS other_id, a.game_date FROM placed a JOIN placed b USING (season, game_date, home_score, away_score)
+WHERE a.game_id < b.game_id AND a.source <> b.source AND (a.home_id = b.home_id OR a.hc = b.hc) AND (a.away_id = b.away_id OR a.ac = b.ac)""",
+                  twice=TWICE, placed="SELECT w.*, h.country AS hc, a.country AS ac FROM twice w LEFT JOIN teams h ON h.team_id = home_id LEFT JOIN teams a ON a.team_id = away_id"))
 def same_day_duplicates(spark, sf_dir):
-    return I.same_day_duplicates(twice(spark, sf_dir))
+    return I.same_day_duplicates(twice(spark, sf_dir), view(spark, sf_dir, "teams"))
 
 
 @query(with_views("""SELECT game_id, other_id, distance, score_match FROM (

@@ -154,8 +154,10 @@ def team_form_10(spark, sf_dir):
 
 
 RESAMPLE = """
-SELECT pool, team_id, CAST(period AS DATE) AS period, round(last_value(post IGNORE NULLS) OVER (PARTITION BY pool, team_id ORDER BY period), 2) AS elo, post IS NULL AS filled FROM (
-  SELECT g.pool, g.team_id, g.period, l.post FROM (SELECT pool, team_id, unnest(generate_series(min(date_trunc('{unit}', game_date)::TIMESTAMP), max(date_trunc('{unit}', game_date)::TIMESTAMP), INTERVAL {step})) AS period FROM history GROUP BY pool, team_id) g
+SELECT pool, team_id, CASE WHEN period = last_period THEN last_date ELSE CAST(period + INTERVAL {step} AS DATE) - 1 END AS point_date,
+  round(last_value(post IGNORE NULLS) OVER (PARTITION BY pool, team_id ORDER BY period), 2) AS elo, post IS NULL AS filled FROM (
+  SELECT g.pool, g.team_id, g.period, g.last_period, g.last_date, l.post FROM (SELECT pool, team_id, max(date_trunc('{unit}', game_date)::TIMESTAMP) AS last_period, max(game_date) AS last_date,
+    unnest(generate_series(min(date_trunc('{unit}', game_date)::TIMESTAMP), max(date_trunc('{unit}', game_date)::TIMESTAMP), INTERVAL {step})) AS period FROM history GROUP BY pool, team_id) g
   LEFT JOIN (SELECT pool, team_id, date_trunc('{unit}', game_date)::TIMESTAMP AS period, arg_max(post, (game_date, game_id)) AS post FROM history GROUP BY ALL) l USING (pool, team_id, period))"""
 
 

@@ -58,21 +58,25 @@ def official_matches(pages: DataFrame, fixes: DataFrame | None = None, column: s
                     F.when(one & F.col("fix").isNotNull(), "inferred").otherwise("as given").alias("parser"))
 
 
-def filled_dates(games: DataFrame, season: str, stages: list[str], order: str) -> DataFrame:
-    """Undated games get consecutive days after the last day of the stage before, stage by stage of a season; dated stages stay.
+def filled_dates(games: DataFrame, season: str, stages: list[str], order: str, early: tuple[str, ...] = ()) -> DataFrame:
+    """Undated games of all stages but the first get consecutive days after the later of the stage before's end and the last known day of their own; dated ones stay.
 
-    A stage begins the day after all before it end, undated ones counting a day a game, so one running sum over the stages gives every start.
+    Undated games of an `early` stage follow the stage before, whatever days of their own stage are known. A stage ends with the latest of the end before, its known days
+    and the days it was given, so every end is a running maximum of known days less the undated games before them. A season whose first stage has no day stays as it is.
     """
     rank = F.array_position(F.array(*map(F.lit, stages)), F.col("stage"))
     g = games.withColumn("stage_no", rank)
-    per = g.groupBy(season, "stage_no").agg(F.max("game_date").alias("known_end"), F.count_if(F.col("game_date").isNull()).alias("undated"))
+    per = g.groupBy(season, "stage_no", "stage").agg(F.max("game_date").alias("known_end"), F.count_if(F.col("game_date").isNull()).alias("n"))
+    per = per.withColumn("undated", F.when(F.col("stage_no") > 1, F.col("n")).otherwise(0))
     w = Window.partitionBy(season).orderBy("stage_no")
-    # the end of a stage is the latest known end so far and the undated games since it
-    upto = w.rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("extra", F.sum("undated").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    per = per.withColumn("base", F.unix_date("known_end") - (F.col("extra") - F.col("undated")))
-    start = F.max("base").over(upto) + F.col("extra") - F.col("undated")
-    per = per.select(season, "stage_no", F.date_from_unix_date(start.cast("int")).alias("before_end"))
+    before, upto = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    follows = F.col("stage").isin(*early) if early else F.lit(False)
+    per = per.withColumns({"extra": F.sum("undated").over(upto), "known": F.unix_date("known_end"), "first_end": F.first("known_end").over(upto), "least_no": F.first("stage_no").over(upto)})
+    per = per.withColumn("base", F.col("known") + F.when(follows, 0).otherwise(F.col("undated")) - F.col("extra"))
+    ended = F.max("base").over(before) + F.col("extra") - F.col("undated")
+    start = F.when(follows, ended).otherwise(F.greatest(ended, "known"))
+    whole = (F.col("least_no") == 1) & F.col("first_end").isNotNull() & (F.col("stage_no") > 1)
+    per = per.withColumn("before_end", F.when(whole, F.date_from_unix_date(start.cast("int")))).select(season, "stage_no", "before_end")
     nth = F.row_number().over(Window.partitionBy(season, "stage_no").orderBy(F.col("game_date").isNotNull(), order))
     out = g.join(per, [season, "stage_no"]).withColumn("nth", nth)
     return out.withColumn("game_date", F.coalesce("game_date", F.date_add("before_end", F.col("nth")))).drop("stage_no", "before_end", "nth")

@@ -152,6 +152,28 @@ def round_robin(n: int) -> list[tuple[int, int, int]]:
     return out
 
 
+def scheduled(games: DataFrame, teams: DataFrame, offsets: list[int], month: int = 9, day: int = 30) -> DataFrame:
+    """Games of full matrices with the round and day that the circle method gives them; pages with an odd number of teams or a game missing give none.
+
+    games(page, start_year, home, away, ..) directed, each pair twice; teams(page, row_no, team) in the order of the matrix, from 0. The first team stays in its place while
+    the others move on by one a round, so the round of two teams follows from their numbers: it is where their places add up to the number of teams less one. The game at the team that
+    is first by name comes in the first half of the season, the other as much later. Rounds begin with the Saturday on or before the given day; offsets has each round's days from it, the last
+    one counting for all rounds beyond.
+    """
+    size = teams.groupBy("page").agg(F.count("*").alias("n"), F.count_distinct("row_no").alias("rows"), F.count_distinct("team").alias("names"))
+    number = lambda side: teams.select("page", F.col("team").alias(side), F.col("row_no").alias(f"_{side}_no"))
+    got = games.filter("home <> away").groupBy("page").agg(F.count_distinct("home", "away").alias("got"), F.count("*").alias("rows_got"))
+    whole = size.join(got, "page").filter("n % 2 = 0 and rows = n and names = n and got = n * (n - 1) and rows_got = got").select("page", "n")
+    own = games.join(whole, "page").join(number("home"), ["page", "home"]).join(number("away"), ["page", "away"])
+    lo, hi, n = F.least("_home_no", "_away_no"), F.greatest("_home_no", "_away_no"), F.col("n")
+    first = F.when(lo == 0, F.pmod(-hi, n - 1)).otherwise(F.pmod(-(lo + hi) * (n / 2).cast("long"), n - 1))
+    round_no = (1 + first + F.when(F.col("home") > F.col("away"), n - 1).otherwise(0)).cast("int")
+    start = F.make_date("start_year", F.lit(month), F.lit(day))
+    saturday = F.date_sub(start, F.dayofweek(start) % 7)
+    days = F.element_at(F.array(*map(F.lit, offsets)), F.least("round_no", F.lit(len(offsets))))
+    return own.withColumn("round_no", round_no).withColumn("game_date", F.date_add(saturday, days)).drop("n", "_home_no", "_away_no")
+
+
 def repaired_dates(games: DataFrame, keys: list[str]) -> DataFrame:
     """Missing dates of a round taken from its one known date; rounds with several stay as they are."""
     w = Window.partitionBy(*keys)

@@ -54,7 +54,8 @@ def view(spark: SparkSession, sf_dir: str, name: str, more: dict[str, str] | Non
     if sql is None:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     used = {n for _, n in SOURCE.findall(sql)}
-    return spark.sql(SOURCE.sub(r"\1 {\2}", sql), **{n: view(spark, sf_dir, n, more) for n in used})
+    text = SOURCE.sub(r"\1 {\2}", sql.replace("{", "{{").replace("}", "}}"))
+    return spark.sql(text, **{n: view(spark, sf_dir, n, more) for n in used})
 
 
 _written: dict[tuple[str, str], str] = {}

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..sources import files as S
+from ..sources import wiki as W
 from .adapter import view, with_views
 from .registry import query
 
@@ -83,3 +84,40 @@ def repaired_dates(spark, sf_dir):
     """A third of the dates hidden, and repaired from the round's one date where there is only one."""
     hidden = view(spark, sf_dir, "games").withColumn("game_date", F.when(F.col("game_id") % 3 != 0, F.col("game_date")))
     return S.repaired_dates(hidden, ["competition_id", "season", "round_name"]).select("game_id", "game_date")
+
+
+#: Games written as wikitext under headings, in a form for each sixth of them; a sixth isn't closed, and one is prose.
+_A, _B = "concat('[[T', home_id, '|Team ', home_id, ']]')", "concat('[[Club ', away_id, ']]')"
+_SCORES = "concat(home_score, '–', away_score)", "concat(away_score, '-', home_score + 1)", "concat(home_score + 2, ' – ', away_score)"
+WIKI = {
+    "scored_games": "SELECT * FROM games WHERE home_score IS NOT NULL AND away_score IS NOT NULL",
+    "written_games": f"""SELECT season, competition_id, game_id, concat(chr(10), '=== ', round_name, ' ===', chr(10), CASE game_id % 6
+  WHEN 0 THEN concat('{{{{TwoLegResult|', {_A}, '|{{{{flag|A=1|{{{{b|c}}}}}}}}|9–9|', {_B}, '|{{{{flag|B}}}}|', {_SCORES[0]}, '|', {_SCORES[1]}, '}}}}')
+  WHEN 1 THEN concat('{{{{ThreeLegResult|', {_A}, '||', '|', {_B}, '||', {_SCORES[0]}, '<ref>Un partido de desempate, en {{{{flag|C}}}} campo: ', {_B}, ' - ', {_A}, ' ', {_SCORES[2]}, '</ref>|', {_SCORES[1]}, '|', {_SCORES[2]}, '|note=x}}}}')
+  WHEN 2 THEN concat('{{|', chr(10), '|-', chr(10), '| ', {_A}, ' || 1–1 || ', {_B}, ' || ', {_SCORES[0]}, chr(10), '| ', {_SCORES[1]}, chr(10), '|-', chr(10), '| standings || 1 || 2', chr(10), '|}}')
+  WHEN 3 THEN concat('{{{{4TeamBracket|RD1-team1=', {_A}, '{{{{flag|D}}}}|RD1-team2=', {_B}, '|RD1-score1-1=', home_score, '|RD1-score2-1=', away_score, '|RD1-score1-2=', away_score, '|RD1-score2-2=', home_score + 1, '|RD1-team3=bye|RD1-team4=x}}}}')
+  WHEN 4 THEN concat('{{{{TwoLegResult|', {_A}, '|1–1|', {_B}, '|', {_SCORES[0]}) ELSE concat({_A}, ' beat ', {_B}, ' by ', {_SCORES[0]}) END) AS piece FROM scored_games""",
+}
+_HOME, _AWAY = "concat('Team ', home_id)", "concat('Club ', away_id)"
+
+
+def _leg(kind: str, n: int, rest: int, scores: tuple[str, str], turned: bool) -> str:
+    home, away = (_AWAY, _HOME) if turned else (_HOME, _AWAY)
+    return f"""SELECT concat(competition_id, ' ', season) AS page, '{kind}' AS kind, season AS phase, round_name, {n} AS leg, {home} AS home, {away} AS away, ({scores[0]})::INT AS home_score, ({scores[1]})::INT AS away_score
+FROM scored_games WHERE game_id % 6 = {rest}"""
+
+
+_FIRST, _SECOND, _THIRD = ("home_score", "away_score"), ("home_score + 1", "away_score"), ("home_score + 2", "away_score")
+_LEGS = [
+    _leg("twoleg", 1, 0, _FIRST, False), _leg("twoleg", 2, 0, _SECOND, True), _leg("threeleg", 1, 1, _FIRST, False), _leg("threeleg", 2, 1, _SECOND, True), _leg("threeleg", 3, 1, _THIRD, False),
+    _leg("tie-break", 1, 1, _THIRD, True), _leg("table", 1, 2, _FIRST, False), _leg("table", 2, 2, _SECOND, True), _leg("bracket", 1, 3, _FIRST, False), _leg("bracket", 2, 3, _SECOND, True),
+]
+
+
+@query(with_views(" UNION ALL ".join(_LEGS), **WIKI))
+def wiki_games(spark, sf_dir):
+    """A page for each competition's season."""
+    pieces = view(spark, sf_dir, "written_games", WIKI).groupBy("competition_id", "season").agg(F.array_sort(F.collect_list(F.struct("game_id", "piece"))).alias("p"))
+    text = F.concat(F.lit("== "), "season", F.lit(" =="), F.array_join(F.col("p.piece"), "\n"))
+    pages = pieces.select(F.concat_ws(" ", F.col("competition_id").cast("string"), "season").alias("page"), text.alias("wikitext"))
+    return W.wiki_games(pages, "page").drop("seq", "source_game_id")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,20 @@ ROWS = 512
 _powers: dict[int, np.ndarray] = {}
 
 
+def tidied(run: Callable) -> Callable:
+    """A function over a task's batches that gives freed memory back to the system at its end: Spark keeps the worker for other stages."""
+
+    def inner(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return inner
+
+
 def powers(base: np.uint64, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; kept, since batches ask for similar lengths."""
     have = _powers.get(int(base))
@@ -45,7 +60,7 @@ PLACES = 64
 TABLES = np.random.default_rng(0x5EED).integers(0, 1 << 64, (2, PLACES * 256), np.uint64)
 
 
-def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, step: int = 1 << 20) -> np.ndarray:
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0, step: int = 1 << 17) -> np.ndarray:
     """64-bit hash of the bytes of each range; ranges don't overlap and come in order. `which` chooses one of two independent functions.
 
     Each place and byte stands for a random number, and a hash is the sum of its range's, so two certain contents collide with a chance of 2**-64, whatever their

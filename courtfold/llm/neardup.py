@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrays import SECOND, byte_hashes, mix, near_hashes, range_hashes, text_slices, windows_of, words_of
+from .arrays import SECOND, byte_hashes, mix, near_hashes, range_hashes, text_slices, tidied, windows_of, words_of
 from .components import connected_components
 from .packing import runs
 from .simhash import fingerprint_links
@@ -98,7 +98,7 @@ def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                     ["doc_id", "node", "n", "fp", "bands"],
                 )
 
-    return docs.select(whole_number(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SKETCH)
+    return docs.select(whole_number(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), SKETCH)
 
 
 def gram_sets(texts: DataFrame, width: int = 5) -> DataFrame:
@@ -112,7 +112,7 @@ def gram_sets(texts: DataFrame, width: int = 5) -> DataFrame:
                     [pa.array(_nodes(hashes, bounds)), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))], ["node", "grams"]
                 )
 
-    return texts.select("text").mapInArrow(run, "node long, grams array<long>")
+    return texts.select("text").mapInArrow(tidied(run), "node long, grams array<long>")
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:

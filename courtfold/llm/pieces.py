@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import BASE, BASE_INVERSE, SECOND, mix, powers
+from .arrays import BASE, BASE_INVERSE, SECOND, mix, powers, tidied
 from .work import whole_number
 
 SPACE = "▁"
@@ -380,7 +380,7 @@ def encode_documents(
                     )
 
     return docs.select(whole_number(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
+        tidied(run), "doc_id long, n_tokens long, ids array<int>, round_trip boolean"
     )
 
 

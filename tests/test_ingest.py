@@ -210,3 +210,47 @@ def test_wikitext_of_all_kinds():
     assert [g[1:] for g in got if g[0] == "table"] == [("Final", None, 1, "Ee", "F", 90, 80), ("Final", None, 2, "F", "Ee", 75, 70)]
     assert [g[3:] for g in got if g[0] == "bracket"] == [(1, "G", "H", 66, 67)]
     assert wiki.games_of("") == wiki.games_of("]] }} |}\n|}") == []
+
+
+def test_late_games_are_flagged_and_their_pools_replayed(spark, tmp_path):
+    from courtfold.functions import rating as X
+    from courtfold.operators import rating as E
+    from courtfold.streaming.replay import caught_up, ratings_stream
+
+    rules = X.ruleset("adjusted-v1")
+    row = lambda pool, d: (pool, date(2000, 1, d), "s", str(d), d, 1, "1999-2000", d % 3, (d + 1) % 3, 80 + d % 5, 81, True, "finished")
+    schema = "pool string, game_date date, source string, source_game_id string, game_id long, competition_id long, season string, home_id long, away_id long, home_score long, away_score long, eligible boolean, status string"
+    days = [[1, 2, 5, 7], [3, 8, 10], [12, 13]]
+    every = spark.createDataFrame([row("a", d) for part in days for d in part] + [row("b", d) for d in range(1, 14)], schema)
+    for k, (part, more) in enumerate(zip(days, (range(1, 5), range(5, 11), range(11, 14)))):
+        spark.createDataFrame([row("a", d) for d in part] + [row("b", d) for d in more], schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        ratings_stream(spark.readStream.schema(schema).parquet(f"{tmp_path}/in/*"), rules).writeStream.format("parquet").option(
+            "checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start(f"{tmp_path}/out").awaitTermination()
+    streamed = spark.read.parquet(f"{tmp_path}/out")
+    assert [(r.pool, r.game_id, r.post) for r in streamed.filter("late").collect()] == [("a", 3, None)]
+    cols = ["pool", "game_id", "team_id", "pre", "post", "games_before", "rank_after"]
+    assert rows_of(caught_up(streamed, every, rules).select(*cols)) == rows_of(E.replay(every, [rules]).select(*cols))
+
+
+def test_an_audit_computes_changed_seasons_only(spark, tmp_path):
+    from courtfold.operators.audit import audit
+
+    schema = "season string, game_date date, home_id long, away_id long, home_score int, away_score int"
+    games = spark.createDataFrame([(f"s{i % 3}", date(2000, 1, 1 + i), i, i + 1, 80, None if i == 4 else 70) for i in range(9)], schema)
+    path = f"{tmp_path}/ledger"
+    assert not any(r.resumed for r in audit(games, path).collect())
+    assert all(r.resumed for r in audit(games.repartition(5), path).collect()) and len(S.Folder(spark, path).names()) == 2
+    changed = games.filter("season <> 's2'").unionByName(games.filter("season = 's1'"))
+    assert rows_of(audit(changed, path)) == [("s0", 3, 0, 0, True), ("s1", 6, 2, 3, False)]
+    folders = [n for n in S.Folder(spark, path).names() if n.startswith("v-")]
+    assert sorted(len([x for x in S.Folder(spark, path).names(n) if "=" in x]) for n in folders) == [1, 3]
+
+
+def test_names_in_text_take_the_longest_and_leave_doubtful_ones(spark):
+    from courtfold.operators.audit import names_in_text
+
+    names = spark.createDataFrame([(1, "Real"), (2, "Real Madrid"), (3, "Zadar"), (4, "KK Zadar"), (5, "Split"), (6, "split"), (7, "")], "team_id long, name string")
+    texts = ["about real madrid.", "REAL", "Real, Madrid and Zadar", "kk zadar", "Split", "Realm", None, "zadar Zadar", "real real madrid"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
+    assert dict(map(tuple, names_in_text(rows, names).collect())) == {0: 2, 1: 1, 3: 4, 7: 3}
+    assert names_in_text(rows, names.limit(0)).count() == names_in_text(rows.limit(0), names).count() == 0

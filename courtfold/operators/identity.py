@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_name, full_season, similar
+from ..functions.text import SIMILAR, compact_name, full_season, similar
 from .ingest import HOURS, nearest_in_time
+from .store import kept
 
 
 def nearest_fixture(results: DataFrame, fixtures: DataFrame, hours: int = HOURS) -> DataFrame:
@@ -61,13 +62,34 @@ def _blocks(name: Column) -> Column:
     return F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.substring(name, p, 4))).otherwise(F.array(name)))
 
 
+def rarest_blocks(names: DataFrame) -> DataFrame:
+    """(name, blocks, prefix) of names(name): all runs of each name, and its rarest ones by their number of names: four for each change that a similar name may have, and one more.
+
+    Of two names within k changes each lacks at most 4 k of the other's runs, so the first 4 k + 1 runs of both, in one order, have one in common. A partner is longer by 1 / 0.86 at most.
+    """
+    runs = names.select("name").distinct().select("name", F.explode(_blocks(F.col("name"))).alias("block"))
+    counted = runs.join(runs.groupBy("block").agg(F.count("*").alias("n")), "block")
+    changes = F.floor((1 - SIMILAR) * F.floor(F.length("name") / SIMILAR + 1e-9) + 1e-9).cast("int")
+    ordered = counted.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]).alias("blocks"))
+    return ordered.withColumn("prefix", F.slice("blocks", F.lit(1), 4 * changes + 1))
+
+
 def similar_names(names: DataFrame) -> DataFrame:
-    """(left_id, right_id, left_name, right_name) of names(team_id, name) of different teams that are similar, met by common runs of characters."""
-    keyed = names.withColumn("block", F.explode(_blocks(F.col("name"))))
-    left = keyed.withColumnsRenamed({"team_id": "left_id", "name": "left_name"})
-    right = keyed.withColumnsRenamed({"team_id": "right_id", "name": "right_name"})
-    pairs = left.join(right, (left.block == right.block) & (left.left_id < right.right_id)).select("left_id", "right_id", "left_name", "right_name").distinct()
-    return pairs.filter(similar(F.col("left_name"), F.col("right_name")))
+    """(left_id, right_id, left_name, right_name) of names(team_id, name) of different teams that are similar.
+
+    Names that differ meet by their rarest runs of characters, see rarest_blocks(); a name that another holds meets it by its one rarest run. So a run that most names have brings together
+    only those that have no rarer one.
+    """
+    ranked = kept(rarest_blocks(names))
+    a, b = (ranked.select(F.col("name").alias(x), F.explode("prefix").alias("block")) for x in ("a", "b"))
+    close = a.join(b, "block").filter("a < b").select("a", "b")
+    whole = ranked.select(F.col("name").alias("b"), F.explode("blocks").alias("block"))
+    inside = ranked.select(F.col("name").alias("a"), F.col("blocks")[0].alias("block")).join(whole, "block").filter("a <> b and contains(b, a)")
+    met = close.unionByName(inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct().filter(similar(F.col("a"), F.col("b")))
+    both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(ranked.select(F.col("name").alias("a"), F.col("name").alias("b")))
+    left, right = names.withColumnsRenamed({"team_id": "left_id", "name": "left_name"}), names.withColumnsRenamed({"team_id": "right_id", "name": "right_name"})
+    pairs = left.join(both, F.col("left_name") == F.col("a")).join(right, F.col("b") == F.col("right_name")).filter("left_id < right_id")
+    return pairs.select("left_id", "right_id", "left_name", "right_name").distinct()
 
 
 def similar_teams(aliases: DataFrame, places: DataFrame) -> DataFrame:

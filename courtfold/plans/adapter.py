@@ -58,18 +58,41 @@ def view(spark: SparkSession, sf_dir: str, name: str, more: dict[str, str] | Non
     return spark.sql(text, **{n: view(spark, sf_dir, n, more) for n in used})
 
 
-_written: dict[tuple[str, str], str] = {}
+_written: dict[tuple, str] = {}
 
 
-def written(spark: SparkSession, name: str, make) -> DataFrame:
-    """A table that make() gives, written once a session in the folder of spark.checkpoint.dir and read from there; made anew where no such folder is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+def state_of(spark: SparkSession, sf_dir: str) -> tuple:
+    """Names, sizes and times of what lies in a folder and in its tables' folders, so that a changed table is another state."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(sf_dir)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    listed = lambda path: [(x.getPath(), x.isDirectory(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(path)]
+    out = []
+    for path, folder, size, time in listed(root):
+        files = [(p.getName(), n, t) for p, _, n, t in listed(path)] if folder else []
+        out.append((path.getName(), size, time, len(files), sum(n for _, n, _ in files), max((t for *_, t in files), default=0)))
+    return tuple(sorted(out))
+
+
+def _shared(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+
+
+def written(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """A table that make() gives over a folder's tables, written once for each state of them in the folder of spark.checkpoint.dir and read from there; made anew where no such folder is set.
+
+    The table of an earlier state is deleted when one of a new state is written.
+    """
+    shared = _shared(spark)
     if not shared:
         return make()
-    key = (spark.sparkContext.applicationId, name)
+    own = (spark.sparkContext.applicationId, sf_dir, name)
+    key = (*own, state_of(spark, sf_dir))
     if key not in _written:
         made, path = make(), f"{shared.rstrip('/')}/courtfold-{uuid.uuid4().hex}"
         made.write.parquet(path)
+        for old in [k for k in _written if k[:3] == own]:
+            gone = spark._jvm.org.apache.hadoop.fs.Path(_written.pop(old))
+            gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)
         _written[key] = path
     return spark.read.parquet(_written[key])
 

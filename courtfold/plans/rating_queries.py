@@ -21,8 +21,8 @@ SELECT pool, seq, game_id, team_id, opponent_id, is_home, round(pre, 2) AS pre,
 
 
 def history(spark, sf_dir, rules: Ruleset = ADJUSTED):
-    """The replay of a folder's games, written once a session, as a rebuild writes it, and read by every query over it."""
-    return written(spark, f"{sf_dir}/{rules.name}", lambda: E.replay(view(spark, sf_dir, "games"), [rules]))
+    """The replay of a folder's games, written once for each state of its tables, as a rebuild writes it, and read by every query over it."""
+    return written(spark, sf_dir, rules.name, lambda: E.replay(view(spark, sf_dir, "games"), [rules]))
 
 
 def ranked(sql: str, **more: str) -> str:

@@ -254,3 +254,36 @@ def test_names_in_text_take_the_longest_and_leave_doubtful_ones(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string")
     assert dict(map(tuple, names_in_text(rows, names).collect())) == {0: 2, 1: 1, 3: 4, 7: 3}
     assert names_in_text(rows, names.limit(0)).count() == names_in_text(rows.limit(0), names).count() == 0
+
+
+def test_similar_names_meet_in_small_blocks_and_lose_no_pair(spark):
+    import random
+
+    from courtfold.functions.text import similar
+
+    rng = random.Random(5)
+    names = ["BASK" + "".join(rng.choice("ABCDEFGH") for _ in range(rng.randint(2, 16))) for _ in range(150)]
+    for n in names[:60]:
+        i = rng.randrange(len(n))
+        names += [n[:i] + rng.choice("XYZ") + n[i + 1 :], n[:i] + n[i + 1 :], n + "TEAM", n[:6] + "QQ" + n[6:]]
+    names += ["BAS", "BAS", "AB"]
+    frame = spark.createDataFrame(list(enumerate(names)), "team_id int, name string")
+    got = {(r.left_id, r.right_id) for r in D.similar_names(frame).collect()}
+    a, b = frame.withColumnsRenamed({"team_id": "i", "name": "a"}), frame.withColumnsRenamed({"team_id": "j", "name": "b"})
+    want = {tuple(r) for r in a.crossJoin(b).filter("i < j").filter(similar(F.col("a"), F.col("b"))).select("i", "j").collect()}
+    assert got == want and len(want) > 100
+    blocks = D.rarest_blocks(frame).select(F.explode("prefix").alias("block")).groupBy("block").count()
+    assert blocks.agg(F.max("count")).first()[0] < len(set(names)) / 4
+
+
+def test_written_tables_follow_their_inputs(spark, tmp_path, monkeypatch):
+    from courtfold.plans import adapter
+
+    monkeypatch.setattr(adapter, "_shared", lambda _: f"{tmp_path}/shared")
+    make = lambda n: spark.range(n).coalesce(1).write.mode("overwrite").parquet(f"{tmp_path}/sf/t.parquet")
+    read = lambda: adapter.written(spark, f"{tmp_path}/sf", "t", lambda: spark.read.parquet(f"{tmp_path}/sf/t.parquet")).count()
+    make(3)
+    before = adapter.state_of(spark, f"{tmp_path}/sf")
+    assert read() == 3 == read() and adapter.state_of(spark, f"{tmp_path}/sf") == before
+    make(5)
+    assert read() == 5 and len(list((tmp_path / "shared").iterdir())) == 1

@@ -22,11 +22,8 @@ EXCLUDED, NO_SCORE, STALE = "Excluded from ELO", "Finished game is missing a sco
 
 def least_games(season: Column) -> Column:
     """Least games of a complete season by its era; null before the first one."""
-    y = start_year(season)
-    out = F.lit(None).cast("int")
-    for first, last, least in ERAS:
-        out = F.when(y.between(first, last), least).otherwise(out)
-    return out
+    eras = F.array(*[F.struct(F.lit(a).alias("first"), F.lit(b).alias("last"), F.lit(n).alias("least")) for a, b, n in ERAS])
+    return F.get(F.filter(eras, lambda e: start_year(season).between(e["first"], e["last"])), F.lit(0))["least"]
 
 
 def low_by_era(coverage: DataFrame, by_era: Column) -> DataFrame:

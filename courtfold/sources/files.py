@@ -58,6 +58,20 @@ def api_games(pages: DataFrame, column: str = "body") -> DataFrame:
     )
 
 
+def api_gaps(pages: DataFrame, request: list[str], column: str = "body") -> DataFrame:
+    """Pages of an API's answers that give no games: (request.., page, reason), for bodies that aren't JSON, answers with errors, and pages up to the total of which there is none.
+
+    pages(request.., page, body); an empty list or object of errors is no error. The total is the largest that a page of the request names.
+    """
+    b = F.from_json(column, "errors string, paging struct<total:int>")
+    read = pages.select(*request, "page", b.alias("b"), F.coalesce(F.try_parse_json(column).isNull(), F.lit(True)).alias("broken"))
+    errors = F.trim("b.errors")
+    bad = F.when(F.col("broken"), "not JSON").when(~errors.isin("[]", "{}", "", "null"), F.concat(F.lit("errors: "), errors))
+    asked = read.groupBy(*request).agg(F.max("b.paging.total").alias("total")).filter("total > 0").select(*request, F.explode(F.sequence(F.lit(1), "total")).alias("page"))
+    absent = asked.join(read.select(*request, "page"), [*request, "page"], "left_anti").withColumn("reason", F.lit("missing"))
+    return read.select(*request, F.col("page").cast("int").alias("page"), bad.alias("reason")).filter("reason is not null").unionByName(absent)
+
+
 def delimited_records(feeds: DataFrame, column: str = "feed") -> DataFrame:
     """(fields map) for each record of a feed: records begin with ~, fields end with ¬ and have ÷ between key and value; of equal keys the first counts."""
     record = F.explode(F.filter(F.split(column, "~"), lambda r: F.contains(r, F.lit("÷")))).alias("record")

@@ -16,7 +16,7 @@ from courtfold.functions import text as T
 from courtfold.operators import changes as C
 from courtfold.operators import rankings as R
 from courtfold.operators import rating as E
-from courtfold.plans import answer_queries, archive_queries, audit_queries, change_queries, feed_queries, game_queries, identity_queries, ingest_queries, matching_queries, merge_queries, rating_queries, source_queries  # noqa: F401
+from courtfold.plans import answer_queries, archive_queries, audit_queries, change_queries, feed_queries, game_queries, health_queries, identity_queries, ingest_queries, matching_queries, merge_queries, rating_queries, source_queries  # noqa: F401
 from courtfold.plans.registry import ORACLES, QUERIES
 
 DATA = "/root/testdata/sf0.001"

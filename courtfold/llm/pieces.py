@@ -56,6 +56,7 @@ class PieceModel:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.longest = max((len(c) for c in codes), default=1)
+        self._encoder: Encoder | None = None
         self.pairs = {self.pieces[i][k : k + 2] for i in self.usable for k in range(len(self.pieces[i]) - 1)}
         self.worst = float(self.scores[self.usable].min()) if self.usable else 0.0
         by_byte = {i: bytes([b]) for b, i in self.byte_ids.items()}
@@ -84,6 +85,12 @@ class PieceModel:
             {i for i, p in enumerate(pieces) if p.type == 3}, [i for i, p in enumerate(pieces) if p.type == 1], norm.add_dummy_prefix,
         )
 
+    def encoder(self) -> Encoder:
+        """One encoder for all tasks of a worker, so that words and steps known to one task are known to the next; it holds no more than one of a single task may."""
+        if self._encoder is None:
+            self._encoder = Encoder(self)
+        return self._encoder
+
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids (-1 if none) and scores by substring hash."""
         ids = np.full(hashes.shape, -1, np.int64)
@@ -364,7 +371,7 @@ def encode_documents(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = shared.value.encoder()
         for batch in batches:
             for k in range(0, batch.num_rows, LEARNT):
                 part = batch.slice(k, LEARNT)

@@ -34,22 +34,63 @@ def same_day_duplicates(games: DataFrame, teams: DataFrame) -> DataFrame:
 
 
 def near_duplicates(games: DataFrame, days: int) -> DataFrame:
-    """Pairs of one competition within days, same teams in either order and the same scores, where each is the other's best: nearest, then lowest id."""
+    """Pairs of one competition within days, same teams in either order, where each is the other's best: nearest, then with the same scores, then lowest id.
+
+    What is a game's best is what the game is to others, so each game's one best is found from its nearest days and no other pair is formed.
+    """
     lo, hi = F.least("home_id", "away_id"), F.greatest("home_id", "away_id")
     low_score = F.when(F.col("home_id") < F.col("away_id"), F.col("home_score")).otherwise(F.col("away_score"))
     high_score = F.when(F.col("home_id") < F.col("away_id"), F.col("away_score")).otherwise(F.col("home_score"))
-    own = games.filter("home_score is not null").select("game_id", "source", "game_date", "competition_id", lo.alias("lo"), hi.alias("hi"), low_score.alias("ls"), high_score.alias("hs"))
-    other = own.withColumnsRenamed({"game_id": "other_id", "source": "other_source", "game_date": "other_date", "ls": "other_ls", "hs": "other_hs"})
-    # dealt by stretches of days, so a pair that plays often doesn't meet in one task
-    step = days + 1
-    own = own.withColumn("stretch", F.explode(F.array(*[F.floor(F.unix_date("game_date") / step) + k for k in (-1, 0, 1)])))
-    other = other.withColumn("stretch", F.floor(F.unix_date("other_date") / step))
-    pairs = own.join(other, ["competition_id", "lo", "hi", "stretch"]).filter("source <> other_source").withColumn("distance", F.abs(F.datediff("game_date", "other_date"))).filter(F.col("distance") <= days)
-    pairs = pairs.withColumn("score_match", ((F.col("ls") == F.col("other_ls")) & (F.col("hs") == F.col("other_hs"))).cast("int"))
-    mine = Window.partitionBy("game_id").orderBy("distance", F.desc("score_match"), "other_id")
-    theirs = Window.partitionBy("other_id").orderBy("distance", F.desc("score_match"), "game_id")
-    best = pairs.withColumns({"r1": F.row_number().over(mine), "r2": F.row_number().over(theirs)}).filter("r1 = 1 and r2 = 1 and game_id < other_id")
-    return best.select("game_id", "other_id", "distance", "score_match")
+    own = kept(games.filter("home_score is not null and source is not null and game_date is not null and competition_id is not null").select(
+        "game_id", "source", F.unix_date("game_date").alias("day"), "competition_id", lo.alias("lo"), hi.alias("hi"), low_score.alias("ls"), high_score.alias("hs")))
+    keys = ["competition_id", "lo", "hi"]
+    near = kept(own.join(_near_days(own, keys, days), [*keys, "day", "source"]))
+    theirs = [F.col(c).alias(f"other_{c}") for c in ("ls", "hs")]
+    whole = F.col("ls").isNotNull() & F.col("hs").isNotNull()
+    other = lambda id_: id_.withColumnRenamed("day", "at")
+    # the lowest game of another source that day with these scores, that day at all, and of games without both scores, which are rare, each with its own
+    equal = near.filter(whole).join(other(_two_lowest(own.filter(whole), [*keys, "day", "ls", "hs"])), [*keys, "at", "ls", "hs"]).withColumn("score_match", F.lit(1))
+    any_ = near.filter(whole).join(other(_two_lowest(own.filter(whole), [*keys, "day"])), [*keys, "at"]).withColumn("score_match", F.lit(0))
+    part = _two_lowest(own, [*keys, "day", "ls", "hs"]).select(*keys, F.col("day").alias("at"), *theirs, "lowest", "second")
+    open_ = near.filter(~whole).join(part, [*keys, "at"]).unionByName(near.filter(whole).join(part.filter("other_ls is null or other_hs is null"), [*keys, "at"]))
+    open_ = open_.withColumn("score_match", ((F.col("ls") == F.col("other_ls")) & (F.col("hs") == F.col("other_hs"))).cast("int")).drop("other_ls", "other_hs")
+    found = equal.unionByName(any_).unionByName(open_)
+    found = found.withColumn("other_id", F.when(F.col("lowest.source") != F.col("source"), F.col("lowest.game_id")).otherwise(F.col("second.game_id"))).filter("other_id is not null")
+    best = F.min(F.struct("distance", F.coalesce(1 - F.col("score_match"), F.lit(2)).alias("less"), "other_id", "score_match"))
+    first = kept(found.groupBy("game_id").agg(best.alias("m")).select("game_id", "m.*"))
+    back = first.select(F.col("game_id").alias("other_id"), F.col("other_id").alias("game_id"), "distance", "less")
+    return first.filter("game_id < other_id").join(back, ["game_id", "other_id", "distance", "less"]).select("game_id", "other_id", "distance", "score_match")
+
+
+def _two_lowest(games: DataFrame, by: list[str]) -> DataFrame:
+    """(by, lowest, second): the lowest game_id with its source, and the lowest one of any other source; whatever a game's source, one of them is the lowest of another source."""
+    each = games.groupBy(*by, "source").agg(F.min("game_id").alias("game_id"))
+    w = Window.partitionBy(*by).orderBy("game_id", "source")
+    two = each.withColumn("rn", F.row_number().over(w)).filter("rn <= 2")
+    x = F.struct("game_id", "source")
+    return two.groupBy(*by).agg(F.min(F.when(F.col("rn") == 1, x)).alias("lowest"), F.min(F.when(F.col("rn") == 2, x)).alias("second"))
+
+
+def _near_days(games: DataFrame, keys: list[str], days: int) -> DataFrame:
+    """(keys, day, source, at, distance): for the games of a day and source the nearest days, at most two and within days, on which another source has one.
+
+    Days are met in order: only the days of a run with one and the same source are passed over for that source, so the last day before the run is the one sought.
+    """
+    by_day = games.groupBy(*keys, "day").agg(F.min("source").alias("a"), F.max("source").alias("b")).withColumn("only", F.when(F.col("a") == F.col("b"), F.col("a")))
+    in_order = Window.partitionBy(*keys).orderBy("day")
+    sides = by_day
+    for name, w in (("before", in_order), ("after", Window.partitionBy(*keys).orderBy(F.desc("day")))):
+        # a run begins where the day passed last isn't of this one source; the day passed last then is the nearest of another source for all of the run
+        begins = F.lag("day").over(w).isNull() | F.col("only").isNull() | F.lag("only").over(w).isNull() | (F.lag("only").over(w) != F.col("only"))
+        sides = sides.withColumns({f"{name}_last": F.lag("day").over(w), f"{name}_begins": begins, f"{name}_only": F.lag("only").over(w)})
+        sides = sides.withColumn(f"{name}_run", F.last(F.when(F.col(f"{name}_begins"), F.struct(F.col(f"{name}_last").alias("d"))), ignorenulls=True).over(w))
+        sides = sides.withColumn(f"{name}_skip", F.lag(f"{name}_run").over(w)["d"])
+    own = games.select(*keys, "day", "source").distinct().join(sides, [*keys, "day"])
+    at = lambda s: F.when(F.col(f"{s}_only") == F.col("source"), F.col(f"{s}_skip")).otherwise(F.col(f"{s}_last"))
+    same = F.when(F.col("only").isNull(), F.col("day"))
+    seen = own.select(*keys, "day", "source", F.explode(F.array_compact(F.array_distinct(F.array(same, at("before"), at("after"))))).alias("at")).withColumn("distance", F.abs(F.col("at") - F.col("day")))
+    least = F.min("distance").over(Window.partitionBy(*keys, "day", "source"))
+    return seen.filter(F.col("distance") <= days).withColumn("least", least).filter("distance = least").drop("least")
 
 
 def _blocks(name: Column) -> Column:

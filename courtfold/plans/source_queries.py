@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..sources import files as S
 from ..sources import wiki as W
-from .adapter import view, with_views
+from .adapter import dealt, piece_of, view, with_views
 from .registry import query
 
 
@@ -116,8 +116,8 @@ _LEGS = [
 
 @query(with_views(" UNION ALL ".join(_LEGS), **WIKI))
 def wiki_games(spark, sf_dir):
-    """A page for each competition's season."""
-    pieces = view(spark, sf_dir, "written_games", WIKI).groupBy("competition_id", "season").agg(F.array_sort(F.collect_list(F.struct("game_id", "piece"))).alias("p"))
+    """A page for each competition's season, and further ones of it as its games get many."""
+    pieces = dealt(view(spark, sf_dir, "written_games", WIKI).withColumn("part", piece_of("game_id")), "competition_id", "season", "part").groupBy("competition_id", "season", "part").agg(F.array_sort(F.collect_list(F.struct("game_id", "piece"))).alias("p"))
     text = F.concat(F.lit("== "), "season", F.lit(" =="), F.array_join(F.col("p.piece"), "\n"))
     pages = pieces.select(F.concat_ws(" ", F.col("competition_id").cast("string"), "season").alias("page"), text.alias("wikitext"))
     return W.wiki_games(pages, "page").drop("seq", "source_game_id")

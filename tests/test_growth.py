@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import sys
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
@@ -111,3 +112,47 @@ def test_games_of_one_day_form_no_pairs(spark):
     rows, most = most_rows(I.near_duplicates(games, 31))
     assert most <= 800
     assert {tuple(r) for r in rows} == {(0, 5, 0, 1), (1, 6, 0, 1), (2, 7, 0, 1), (3, 8, 0, 1), (4, 9, 0, 1)}
+
+
+def test_wikitext_left_open_is_read_in_proportion():
+    from courtfold.sources import wiki as W
+
+    text = "".join(f"{{{{TwoLegResult|[[A{k}]]|1|[[B{k}]]|2\n" for k in range(300)) + "{{TwoLegResult|[[C]]||[[D]]||1-2|3-4}}"
+    steps = 0
+
+    def count(frame, event, arg):
+        nonlocal steps
+        steps += event in ("line", "return")
+        return count
+
+    old = sys.gettrace()
+    sys.settrace(count)
+    try:
+        found = W.parts(text)
+    finally:
+        sys.settrace(old)
+    assert [x[0] for x in found] == ["{{"] and W.games_of(text) == [("twoleg", None, None, 1, "C", "D", 1, 2), ("twoleg", None, None, 2, "D", "C", 4, 3)]
+    assert steps < 20 * 900  # lines and steps of generators
+
+
+def test_archive_pages_in_pieces_are_one_page(spark):
+    from courtfold.sources import archive as A
+
+    card = lambda i, score: f'<a href="/match/basketball/2001-02-0{i}/a/{i}/"><div class="gsa-c-match-c1">8:30</div><div class="gsa-c-match-c2"><span class="team_full">A</span></div><div class="gsa-c-match-c3"> {score} </div><div class="gsa-c-match-c4"><span class="team_full">B</span></div></a>'
+    path = "/competition/basketball/cup-2000-x/group-stage/5/"
+    wanted = spark.createDataFrame([("L", 2000, "/seed")], "league string, edition int, seed string")
+    slugs = spark.createDataFrame([("L", "cup", None, None)], "league string, slug string, keep string, leave string")
+    pages = spark.createDataFrame([("/seed", 0, f"<a href='{path}'>x</a>"), (path, 0, "<i onclick=\"changePage(1, 3)\"></i><input id='cur_page' value='0'>"), (path, 1, card(1, "1 : 2")), (path, 2, card(2, "3 : 4"))], "path string, piece int, body string")
+    parts = spark.createDataFrame([("5", "page", 1, 0, card(3, "5 : 6")), ("5", "page", 1, 1, card(4, "7 : 8") + card(2, "9 : 9"))], "round_id string, kind string, number int, piece int, body string")
+    games, gaps = A.read_editions(wanted, slugs, pages, parts)
+    assert sorted((r.source_game_id, r.home_score, r.away_score) for r in games.collect()) == [("gsa-1", 1, 2), ("gsa-2", 9, 9), ("gsa-3", 5, 6), ("gsa-4", 7, 8)]
+    assert [(r.kind, r.number, r.reason) for r in gaps.collect()] == [("page", 2, "not on disk")]
+
+
+def test_official_pages_in_pieces_are_one_page(spark):
+    from courtfold.sources import archive as A
+
+    card = lambda day, i, s: f"<h3>{day} May 2001</h3><div data-testid='ui-game-card'><a href='/games/{i}-a-b'>x {s} y 2</a></div>"
+    pages = spark.createDataFrame([("/p", 0, card(1, 7, 5) + card(2, 8, 6)), ("/p", 1, card(3, 7, 9)), ("/p", 2, card(4, 9, 1))], "path string, piece int, body string")
+    got = sorted((r.source_game_id, r.game_ts.day, r.home_score) for r in A.official_games(pages)[0].collect())
+    assert got == [("7", 3, 9), ("8", 2, 6), ("9", 4, 1)]

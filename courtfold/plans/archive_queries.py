@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import archive as S
 from ..sources import files
-from .adapter import view, with_views, written
+from .adapter import dealt, piece_of, view, with_views, written
 from .registry import query
 
 #: Games on an archive's pages: finals by week, the others by page, some cards once more on a later page with another score, some without score or team.
@@ -39,15 +39,16 @@ def _archive(spark, sf_dir):
     again = g.filter(TWICE).withColumns({"card": _card(F.lit(100)), "number": F.lit(2), "kind": F.lit("page")})
     keys = ["competition_id", "edition", "path", "round_id", "is_final", "kept", "listed", "kind", "number"]
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("game_id", "card"))), lambda x: x["card"]), "").alias("cards")
-    made = one.filter("fetched").unionByName(again).groupBy(*keys).agg(body)
-    parts = made.filter("kind <> 'stage'").select("round_id", "kind", "number", F.col("cards").alias("body"))
+    made = one.filter("fetched").unionByName(again).groupBy(*keys, piece_of("game_id")).agg(body)
+    parts = made.filter("kind <> 'stage'").select("round_id", "kind", "number", "piece", F.col("cards").alias("body"))
     control = F.when(F.col("is_final"), '<input id="maxweek" value="3"><input id="curweek" value="2">').otherwise('<i onclick="changePage(1, 4)"></i><input id="cur_page" value="1">')
     finals = g.filter("is_final").groupBy("competition_id", "edition").agg(F.max("path").alias("final_path"))
-    own = g.select("competition_id", "edition", "path", "is_final", "kept").distinct().join(made.filter("kind = 'stage'").select("path", "cards"), "path", "left").join(finals, ["competition_id", "edition"], "left")
+    own = g.select("competition_id", "edition", "path", "is_final", "kept").distinct().join(finals, ["competition_id", "edition"], "left")
     onward = F.when(~F.col("is_final") & F.col("final_path").isNotNull(), F.concat(F.lit("<a class='x' href='https://a.example"), "final_path", F.lit("'>Final</a>"))).otherwise("")
-    pages = own.filter("kept").select("path", F.concat(control, onward, F.coalesce("cards", F.lit(""))).alias("body"))
+    pages = own.filter("kept").select("path", F.lit(-1).cast("long").alias("piece"), F.concat(control, onward).alias("body"))
+    pages = pages.unionByName(made.filter("kept and kind = 'stage'").select("path", "piece", F.col("cards").alias("body")))
     links = F.array_join(F.array_sort(F.collect_list(F.concat(F.lit('<a href="'), "path", F.lit('">Cup</a>')))), "")
-    seeds = own.filter("not is_final").filter("not (competition_id = 4 and edition = 1995)").groupBy(F.concat(F.lit("/seed/"), "competition_id").alias("path")).agg(links.alias("body"))
+    seeds = own.filter("not is_final").filter("not (competition_id = 4 and edition = 1995)").groupBy(F.concat(F.lit("/seed/"), "competition_id").alias("path"), F.lit(0).cast("long").alias("piece")).agg(links.alias("body"))
     league = F.concat(F.lit("cup "), "competition_id").alias("league")
     editions = g.select("competition_id", "edition").distinct()
     wanted = editions.select(league, "edition", F.concat(F.lit("/seed/"), "competition_id").alias("seed")).unionByName(
@@ -102,7 +103,7 @@ def official_editions(spark, sf_dir):
 
 
 def _events(spark, sf_dir):
-    g = view(spark, sf_dir, "events_of", EVENTS)
+    g = dealt(view(spark, sf_dir, "events_of", EVENTS).withColumn("piece", piece_of("game_id")), "path", "piece")
     open_ = F.col("hs") + F.col("aw") == 0
     score = lambda c: F.when(open_ & (F.col("game_id") % 2 == 0), "null").otherwise(F.col(c).cast("string"))
     team = lambda k, s: F.concat(F.lit(f'"team{k}":{{"teamId":'), f"{s}_id", F.lit(',"code":'), F.when(F.col(f"{s}_id") % 5 == 0, "null").otherwise(F.concat(F.lit('"C'), f"{s}_id", F.lit('"'))), F.lit(',"shortName":"Club '), f"{s}_id", F.lit('"},'))
@@ -113,7 +114,7 @@ def _events(spark, sf_dir):
                     F.lit("'><b>A</b> "), "hs", F.lit(" <b>B</b> "), "aw", F.lit("</a></div>"))
     k = F.col("game_id") % 3
     text = lambda when, what: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("game_id", what.alias("x"))))), lambda r: r["x"]), "")
-    pages = g.groupBy("path").agg(F.concat(text(k != 1, card), F.lit("<script>"), F.replace(text(k > 0, data), F.lit('"'), F.lit('\\"')), F.lit("</script>")).alias("body"))
+    pages = g.groupBy("path", "piece").agg(F.concat(text(k != 1, card), F.lit("<script>"), F.replace(text(k > 0, data), F.lit('"'), F.lit('\\"')), F.lit("</script>")).alias("body"))
     return S.official_games(pages)
 
 

@@ -54,6 +54,11 @@ def stage_links(pages: DataFrame) -> DataFrame:
         "page", F.concat(F.lit("/"), F.ltrim(F.col("href"), F.lit("/"))).alias("path"), F.lower(part(1)).alias("slug"), part(2).cast("int").alias("edition"), F.lower(part(3)).alias("stage"), part(4).alias("round_id"))
 
 
+def _in_pieces(pages: DataFrame) -> DataFrame:
+    """pages with a column piece: pages may come in several pieces with a number each, cut between cards, as a page's text is one value; one without it is a page's only one."""
+    return pages if "piece" in pages.columns else pages.withColumn("piece", F.lit(0))
+
+
 def edition_stages(wanted: DataFrame, slugs: DataFrame, pages: DataFrame) -> DataFrame:
     """Stages of wanted(league, edition, seed): those that the seed's page links to, and those that the page of the first of them does.
 
@@ -75,18 +80,18 @@ def edition_stages(wanted: DataFrame, slugs: DataFrame, pages: DataFrame) -> Dat
 def wanted_parts(stages: DataFrame, pages: DataFrame) -> DataFrame:
     """What the stages' own pages say there is: (league, edition, .., body, kind, number), kind `stage` for the page itself (body null: not on disk), `page` and `week` for the other ones.
 
-    Pages are numbered from 0 to the most that a control names, weeks from 1; the page's own page and week aren't wanted again.
+    Pages are numbered from 0 to the most that a control names, weeks from 1; the page's own page and week aren't wanted again. Of a page in pieces one has all controls.
     """
     most = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(r"(?i)changePage\([^,]+,\s*(\d+)\)"), F.lit(1)), lambda x: x.try_cast("int")))
     field = lambda name, otherwise: F.coalesce(_group(F.col("body"), rf"""(?i)id=["']{name}["']\s+value=["'](\d+)["']""").try_cast("int"), F.lit(otherwise))
-    read = _once(stages.join(pages.select("path", "body"), "path", "left"), {
+    read = _once(stages.join(_in_pieces(pages).select("path", "piece", "body"), "path", "left"), {
         "n_pages": F.coalesce(most, F.lit(1)), "own_page": field("cur_page", 0), "n_weeks": F.greatest(field("maxweek", 1), F.lit(1)), "own_week": field("curweek", 1)})
     upto = lambda kind, first, last, own: F.transform(
         F.array_remove(F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>")), F.col(own)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("number")))
     own = F.array(F.struct(F.lit("stage").alias("kind"), F.lit(0).alias("number")))
     others = F.concat(upto("page", 0, F.col("n_pages") - 1, "own_page"), upto("week", 1, F.col("n_weeks"), "own_week"))
     parts = F.inline(F.when(F.col("body").isNull(), own).otherwise(F.concat(own, others)))
-    return read.select("league", "edition", "path", "stage", "stage_order", "round_id", "body", parts).withColumn("body", F.when(F.col("kind") == "stage", F.col("body")))
+    return read.select("league", "edition", "path", "stage", "stage_order", "round_id", "piece", "body", parts).withColumn("body", F.when(F.col("kind") == "stage", F.col("body")))
 
 
 def match_cards(parts: DataFrame, teams: DataFrame | None = None) -> DataFrame:
@@ -124,15 +129,15 @@ def match_cards(parts: DataFrame, teams: DataFrame | None = None) -> DataFrame:
 def read_editions(wanted: DataFrame, slugs: DataFrame, pages: DataFrame, parts: DataFrame, teams: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Games of the wanted editions, and what is missing of them.
 
-    wanted(league, edition, seed), slugs(league, slug, keep, leave), pages(path, body), parts(round_id, kind, number, body) as fetched, kinds being `page` and `week`. Of cards with one id in
+    wanted(league, edition, seed), slugs(league, slug, keep, leave), pages(path, body), parts(round_id, kind, number, body) as fetched, kinds being `page` and `week`; see _in_pieces(). Of cards with one id in
     an edition the last counts, by stages in order, then own page, pages, weeks. Games without final score wait as score_pending. Gaps are (league, edition, path, kind, number, reason).
     """
     stages = edition_stages(wanted, slugs, pages)
     needed = wanted_parts(stages, pages)
-    got = parts.select("round_id", "kind", "number", F.col("body").alias("fetched"))
-    read = needed.join(got, ["round_id", "kind", "number"], "left").withColumn("body", F.coalesce("body", "fetched")).drop("fetched")
+    got = _in_pieces(parts).select("round_id", "kind", "number", F.col("body").alias("fetched"), F.col("piece").alias("own_piece"))
+    read = needed.join(got, ["round_id", "kind", "number"], "left").withColumns({"body": F.coalesce("body", "fetched"), "piece": F.coalesce("own_piece", "piece")}).drop("fetched", "own_piece")
     cards = match_cards(read, teams)
-    place = F.struct("stage_order", F.lower("path"), F.when(F.col("kind") == "stage", 0).when(F.col("kind") == "page", 1).otherwise(2), "number", "at")
+    place = F.struct("stage_order", F.lower("path"), F.when(F.col("kind") == "stage", 0).when(F.col("kind") == "page", 1).otherwise(2), "number", "piece", "at")
     last = Window.partitionBy("league", "edition", "match_id").orderBy(place.desc())
     usable = cards.filter(F.col("problem").isNull() | F.col("problem").isin("no final score", "unknown time"))
     one = usable.withColumn("rn", F.row_number().over(last)).filter("rn = 1")
@@ -145,7 +150,7 @@ def read_editions(wanted: DataFrame, slugs: DataFrame, pages: DataFrame, parts:
     )
     none = F.lit(None).cast("string")
     known = wanted.join(stages.select("league", "edition").distinct().withColumn("found", F.lit(True)), ["league", "edition"], "left").filter("found is null")
-    seeds = pages.select(F.col("path").alias("seed"), F.lit(True).alias("there"))
+    seeds = pages.select(F.col("path").alias("seed"), F.lit(True).alias("there")).distinct()
     lost = known.join(seeds, "seed", "left").select(
         "league", "edition", F.col("seed").alias("path"), F.lit("edition").alias("kind"), F.lit(0).alias("number"),
         F.when(F.col("seed").isNull(), "no page is known").when(F.col("there").isNull(), "not on disk").otherwise("no stage is linked").alias("reason"))
@@ -170,7 +175,7 @@ def official_editions(pages: DataFrame) -> DataFrame:
 
 def _payload(pages: DataFrame) -> DataFrame:
     text = F.replace(F.col("body"), F.lit('\\"'), F.lit('"'))
-    r = pages.select("path", F.posexplode(F.split(text, '"gameId":')).alias("at", "record")).filter("at > 0")
+    r = pages.select("path", "piece", F.posexplode(F.split(text, '"gameId":')).alias("at", "record")).filter("at > 0")
     find = lambda pattern, n=1, of="record": _group(F.col(of), pattern, n)
     sides = {"home": r'(?is)"teamA":\{(.*?)"teamB":', "away": r'(?is)"teamB":\{(.*?)"teamAScore":'}
     r = _once(r, {k: F.regexp_extract("record", v, 1) for k, v in sides.items()})
@@ -185,7 +190,7 @@ def _payload(pages: DataFrame) -> DataFrame:
     open_ = hs.isNull() | aw.isNull() | ((hs == 0) & (aw == 0))
     rounds = r'(?is)"round":\{.*?"roundCode":"([^"]*)".*?"roundName":"([^"]*)"'
     games = r.select(
-        "path", "at", find(r"^(\d+)").alias("source_game_id"), "game_ts", F.when(open_, "scheduled").otherwise("final").alias("status"), "home_code", "home_team", "away_code", "away_team",
+        "path", "piece", "at", find(r"^(\d+)").alias("source_game_id"), "game_ts", F.when(open_, "scheduled").otherwise("final").alias("status"), "home_code", "home_team", "away_code", "away_team",
         F.when(~open_, hs).alias("home_score"), F.when(~open_, aw).alias("away_score"), find(rounds, 2).alias("phase"), find(rounds, 1).alias("round_name"), "scored")
     return games.filter("source_game_id is not null and home_code is not null and away_code is not null and scored and year(game_ts) >= 1900").drop("scored")
 
@@ -194,27 +199,28 @@ def _cards(pages: DataFrame) -> DataFrame:
     """Game cards by the day last named above them; a card is what stands between its mark and the end of its link."""
     mark = r"""(?i)<div\b[^>]*data-testid=["']ui-game-card["'][^>]*>"""
     start = F.try_to_timestamp(_group(F.replace(F.col("body"), F.lit('\\"'), F.lit('"')), r'(?i)eventDateStart"\s*:\s*"(\d{4}-\d{2}-\d{2})'), F.lit("yyyy-MM-dd"))
-    c = _once(pages.select("path", "body"), {"start": start}).select("path", "start", F.posexplode(F.split("body", mark)).alias("at", "piece"))
-    c, split = _once(c, {"split": F.split("piece", "(?i)</a>", 2)}), F.col("split")
-    days = F.regexp_extract_all(_plain(F.when(F.col("at") == 0, F.col("piece")).otherwise(F.get(split, F.lit(1)))), F.lit(r"\b(\d{1,2} [A-Za-z]+ \d{4})\b"), F.lit(1))
+    c = _once(pages.select("path", "piece", "body"), {"start": start}).select("path", "piece", "start", F.posexplode(F.split("body", mark)).alias("at", "text"))
+    c, split = _once(c, {"split": F.split("text", "(?i)</a>", 2)}), F.col("split")
+    days = F.regexp_extract_all(_plain(F.when(F.col("at") == 0, F.col("text")).otherwise(F.get(split, F.lit(1)))), F.lit(r"\b(\d{1,2} [A-Za-z]+ \d{4})\b"), F.lit(1))
     day = F.try_to_timestamp(F.try_element_at(days, F.lit(-1)), F.lit("d MMMM yyyy"))
     c = _once(c, {"day": day, "card": F.get(split, F.lit(0))})
-    above = Window.partitionBy("path").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
-    c = c.select("path", "at", "card", F.coalesce(F.last(F.when(F.year("day") >= 1900, F.col("day")), True).over(above), "start").alias("game_ts")).filter("at > 0")
+    above = Window.partitionBy("path", "piece").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    c = c.select("path", "piece", "at", "card", F.coalesce(F.last(F.when(F.year("day") >= 1900, F.col("day")), True).over(above), "start").alias("game_ts")).filter("at > 0")
     slug = F.split(F.element_at(F.split(F.rtrim(F.regexp_extract("card", r"""(?is)href\s*=\s*["']([^"'?#]*/games/[^"'?#]*)""", 1), F.lit("/")), "/"), -1), "-")
     numbers = F.regexp_extract_all(_plain(F.regexp_replace("card", r"(?is)^.*?<a\b[^>]*>", "")), F.lit(r"(?<!\d)(\d{1,3})(?!\d)"), F.lit(1))
     c, slug, numbers = _once(c, {"slug": slug, "numbers": numbers}), F.col("slug"), F.col("numbers")
     score = lambda n: F.try_element_at(numbers, F.lit(n)).try_cast("int")
-    return c.select("path", "at", F.get(slug, F.lit(0)).alias("source_game_id"), "game_ts", F.upper(F.get(slug, F.lit(1))).alias("home_code"), F.upper(F.get(slug, F.lit(2))).alias("away_code"),
+    return c.select("path", "piece", "at", F.get(slug, F.lit(0)).alias("source_game_id"), "game_ts", F.upper(F.get(slug, F.lit(1))).alias("home_code"), F.upper(F.get(slug, F.lit(2))).alias("away_code"),
                     score(-2).alias("home_score"), score(-1).alias("away_score"))
 
 
 def official_games(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Games of editions' pages(path, body), and cards that give none (path, at, reason).
+    """Games of editions' pages(path, body), and cards that give none (path, at, reason). Pages may come in pieces, see _in_pieces(), each with the days of its cards.
 
     A page has game cards, data written into it, or both; of one game the data counts, as it has ids, names and rounds. Two zeros are no score. Cards whose link names no game or no teams, or
     teams to be decided, give none. Cards without a day above them take the event's first day.
     """
+    pages = _in_pieces(pages)
     data, cards = _payload(pages), _cards(pages)
     undecided = F.col("home_code").isin("TBD", "TBC") | F.col("away_code").isin("TBD", "TBC")
     cards = cards.withColumn("reason", F.when(~F.regexp_like("source_game_id", F.lit(r"^\d+$")), "no game in the link").when(F.col("home_code").isNull() | F.col("away_code").isNull(), "a team is missing").when(undecided, "a team is undecided"))
@@ -223,6 +229,6 @@ def official_games(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         "status": F.when(open_, "scheduled").otherwise("final"), "home_score": F.when(~open_, F.col("home_score")), "away_score": F.when(~open_, F.col("away_score")),
         "home_team": F.col("home_code"), "away_team": F.col("away_code"), "phase": F.lit(None).cast("string"), "round_name": F.lit(None).cast("string"), "origin": F.lit("card")}).drop("reason")
     both = data.withColumn("origin", F.lit("data")).unionByName(shown)
-    last = Window.partitionBy("path", "source_game_id").orderBy(F.desc("origin"), F.desc("at"))
-    games = both.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn", "at")
+    last = Window.partitionBy("path", "source_game_id").orderBy(F.desc("origin"), F.desc("piece"), F.desc("at"))
+    games = both.withColumn("rn", F.row_number().over(last)).filter("rn = 1").drop("rn", "piece", "at")
     return games, cards.filter("reason is not null").select("path", "at", "reason")

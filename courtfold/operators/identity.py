@@ -115,19 +115,56 @@ def rarest_blocks(names: DataFrame) -> DataFrame:
     return ordered.withColumn("prefix", F.slice("blocks", F.lit(1), 4 * changes + 1))
 
 
+def _runs(name: Column, size: Column) -> Column:
+    """Different runs of so many characters of a name at least as long."""
+    n = F.length(name) - size + 1
+    return F.array_distinct(F.when(n > 0, F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda p: F.substr(name, p, size))).otherwise(F.array().cast("array<string>")))
+
+
+def rarest_runs(names: DataFrame) -> DataFrame:
+    """(name, shorter, longer, run) of names(name): keys of which two similar names of these two lengths, not equal, have one in common.
+
+    Names of lengths `shorter` and `longer` are similar within k = 14 % of the longer changes. Of runs of q characters, where q is the shorter length over k + 1, k changes touch k q at most and
+    leave one. Of both names' first k q + 1 runs, rarest first, one is therefore in common. Runs are as long as that allows (four at least), so the more names there are the less often they meet by chance.
+    """
+    n = F.length("name")
+    longest = F.floor(n / SIMILAR + 1e-9).cast("int")
+    shortest = F.ceil(n * SIMILAR - 1e-9).cast("int")
+    lengths = F.concat(F.transform(F.sequence(n, longest), lambda x: F.struct(n.alias("shorter"), x.alias("longer"))), F.transform(F.sequence(shortest, n), lambda x: F.struct(x.alias("shorter"), n.alias("longer"))))
+    each = names.select("name").distinct().filter(n >= 4).select("name", F.inline(F.array_distinct(lengths))).withColumn("k", F.floor((1 - SIMILAR) * F.col("longer") + 1e-9).cast("int")).filter("k > 0")
+    each = each.withColumn("q", F.greatest(F.lit(4), F.floor(F.col("shorter") / (F.col("k") + 1)).cast("int")))
+    runs = each.select("name", "q").distinct().select("name", "q", F.explode(_runs(F.col("name"), F.col("q"))).alias("run"))
+    counted = runs.join(runs.groupBy("q", "run").agg(F.count("*").alias("n")), ["q", "run"])
+    ordered = counted.groupBy("name", "q").agg(F.array_sort(F.collect_list(F.struct("n", "run"))).alias("runs"))
+    return each.join(ordered, ["name", "q"]).select("name", "shorter", "longer", F.explode(F.slice("runs", F.lit(1), F.col("k") * F.col("q") + 1)).alias("r")).select("name", "shorter", "longer", "r.run")
+
+
+#: Names this long or longer are sought in others by runs of as many characters. Fixed value.
+LONG = 8
+
+
+def _held(names: DataFrame, size: int, own: Column) -> DataFrame:
+    """(a, b): names b that hold a, another one for which `own` is true, met by a's rarest run of `size` characters."""
+    runs = kept(names.select("name", F.explode(_runs(F.col("name"), F.lit(size))).alias("run")))
+    counted = runs.filter(own).join(runs.groupBy("run").agg(F.count("*").alias("n")), "run")
+    first = counted.groupBy("name").agg(F.min(F.struct("n", "run")).alias("m")).select(F.col("name").alias("a"), "m.run")
+    return first.join(runs.withColumnRenamed("name", "b"), "run").filter("a <> b and contains(b, a)").select("a", "b")
+
+
 def similar_names(names: DataFrame) -> DataFrame:
     """(left_id, right_id, left_name, right_name) of names(team_id, name) of different teams that are similar.
 
-    Names that differ meet by their rarest runs of characters, see rarest_blocks(); a name that another holds meets it by its one rarest run. So a run that most names have brings together
+    Names that differ meet by their rarest runs of characters, see rarest_runs(); a name that another holds meets it by its one rarest run. So a run that most names have brings together
     only those that have no rarer one.
     """
-    ranked = kept(rarest_blocks(names))
-    a, b = (ranked.select(F.col("name").alias(x), F.explode("prefix").alias("block")) for x in ("a", "b"))
-    close = a.join(b, "block").filter("a < b").select("a", "b")
-    whole = ranked.select(F.col("name").alias("b"), F.explode("blocks").alias("block"))
-    inside = ranked.select(F.col("name").alias("a"), F.col("blocks")[0].alias("block")).join(whole, "block").filter("a <> b and contains(b, a)")
-    met = close.unionByName(inside.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))).distinct().filter(similar(F.col("a"), F.col("b")))
-    both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(ranked.select(F.col("name").alias("a"), F.col("name").alias("b")))
+    every = kept(names.select("name").distinct().filter("name is not null"))
+    keys = kept(rarest_runs(every))
+    a, b = (keys.withColumnRenamed("name", x) for x in ("a", "b"))
+    # the shorter name is on the left; of equally long ones the lower
+    close = a.filter(F.length("a") == F.col("shorter")).join(b.filter(F.length("b") == F.col("longer")), ["shorter", "longer", "run"]).filter("length(a) < length(b) or a < b").select("a", "b")
+    inside = _held(every, 4, F.length("name").between(4, LONG - 1)).unionByName(_held(every, LONG, F.length("name") >= LONG))
+    met = close.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().filter(similar(F.col("a"), F.col("b")))
+    both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(every.select(F.col("name").alias("a"), F.col("name").alias("b")))
     left, right = names.withColumnsRenamed({"team_id": "left_id", "name": "left_name"}), names.withColumnsRenamed({"team_id": "right_id", "name": "right_name"})
     pairs = left.join(both, F.col("left_name") == F.col("a")).join(right, F.col("b") == F.col("right_name")).filter("left_id < right_id")
     return pairs.select("left_id", "right_id", "left_name", "right_name").distinct()

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 import sys
 from datetime import date, timedelta
 
 from pyspark.sql import functions as F
 
+from courtfold.functions import text as T
 from courtfold.operators import identity as I
 
 
@@ -156,3 +158,29 @@ def test_official_pages_in_pieces_are_one_page(spark):
     pages = spark.createDataFrame([("/p", 0, card(1, 7, 5) + card(2, 8, 6)), ("/p", 1, card(3, 7, 9)), ("/p", 2, card(4, 9, 1))], "path string, piece int, body string")
     got = sorted((r.source_game_id, r.game_ts.day, r.home_score) for r in A.official_games(pages)[0].collect())
     assert got == [("7", 3, 9), ("8", 2, 6), ("9", 4, 1)]
+
+
+def test_similar_names_are_those_of_all_pairs(spark):
+    rng = random.Random(3)
+    names = {"".join(rng.choice("ABC") for _ in range(rng.randrange(0, 34))) for _ in range(150)}
+    for x in list(names):
+        for _ in range(2):
+            y = list(x * rng.choice([1, 1, 1, 2]))
+            for _ in range(rng.randrange(5)):
+                at = rng.randrange(len(y) + 1)
+                y[at : at + rng.randrange(2)] = rng.choice(["", "D", "E"])
+            names.add("".join(y))
+    rows = [(i, x) for i, x in enumerate(sorted(names))]
+    df = spark.createDataFrame(rows, "team_id long, name string")
+    left, right = df.toDF("left_id", "left_name"), df.toDF("right_id", "right_name")
+    want = left.crossJoin(right).filter("left_id < right_id").filter(T.similar(F.col("left_name"), F.col("right_name")))
+    keys = ["left_id", "right_id", "left_name", "right_name"]
+    found = [tuple(r) for r in I.similar_names(df).select(*keys).collect()]
+    assert set(found) == {tuple(r) for r in want.select(*keys).collect()} and len(found) == len(set(found)) > 200
+
+
+def test_long_names_seldom_meet_by_chance(spark):
+    rows = [(hashlib.md5(str(i).encode()).hexdigest()[:12],) for i in range(4000)]
+    keys = I.rarest_runs(spark.createDataFrame(rows, "name string"))
+    most = keys.groupBy("shorter", "longer", "run").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
+    assert most < 4000

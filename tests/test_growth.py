@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from courtfold.functions import text as T
 from courtfold.operators import identity as I
+from courtfold.operators import merges as M
 
 
 def most_rows(df):
@@ -184,3 +185,19 @@ def test_long_names_seldom_meet_by_chance(spark):
     keys = I.rarest_runs(spark.createDataFrame(rows, "name string"))
     most = keys.groupBy("shorter", "longer", "run").count().agg(F.sum(F.col("count") * (F.col("count") - 1))).first()[0]
     assert most < 4000
+
+
+def test_moves_of_teams_never_go_through_the_driver(spark):
+    t = spark.range(60).select(F.col("id").alias("team_id"), F.lit(None).cast("long").alias("predecessor_id"), (F.col("id") + 1).alias("successor_id"))
+    moves = spark.createDataFrame([(2, 1), (3, 2), (5, 4), (8, 9), (9, 8), (11, 99)], "source_id long, target_id long")
+    games = spark.range(60).select(F.col("id").alias("game_id"), F.col("id").alias("home_id"), ((F.col("id") + 20) % 60).alias("away_id"))
+    side = games.select(F.lit("x").alias("pool"), F.lit("y").alias("ruleset"), "game_id", F.col("home_id").alias("team_id"), F.col("away_id").alias("opponent_id"), F.lit(1).alias("games"))
+    aliases = t.select(F.col("team_id").alias("alias_id"), "team_id", F.lit("s").alias("source"), F.lit("n").alias("source_team_id"), F.lit("a").alias("alias_name"))
+    findings = games.select(F.col("game_id").alias("finding_id"), F.col("home_id").alias("left_id"), F.col("away_id").alias("right_id"), F.lit("z").alias("finding_type"))
+    closed, cyclic = M.closed_moves(moves)
+    done, refused = M.guarded_moves(moves, t, games, [aliases])
+    assert {tuple(r) for r in done.collect()} == {(2, 1), (3, 1), (5, 4)}
+    assert {tuple(r) for r in refused.collect()} == {(8, "cycle"), (9, "cycle"), (11, "missing target")}
+    out = M.merge_all({"teams": t, "aliases": aliases, "games": games, "history": side, "ratings": side.drop("game_id", "opponent_id"), "findings": findings}, done)
+    for df in (closed, cyclic, done, *out.values()):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -6,6 +6,7 @@ from bisect import bisect_left, insort
 from dataclasses import astuple
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -82,18 +83,28 @@ def replay(games: DataFrame, rulesets: list[Ruleset] | None = None) -> DataFrame
         now = ladder = None
         seq = 0
         for batch in batches:
-            out = []
-            for g in batch.to_pylist():
-                if now != (g["pool"], g["ruleset"]):
-                    now, ladder, seq = (g["pool"], g["ruleset"]), Ladder(rules[g["ruleset"]]), 0
+            n = batch.num_rows
+            pools, names, homes, aways, home_scores, away_scores = (batch.column(c).to_pylist() for c in ("pool", "ruleset", "home_id", "away_id", "home_score", "away_score"))
+            numbers, played = [], []  # what the ladder gives of each game
+            for key, home, away, home_score, away_score in zip(zip(pools, names), homes, aways, home_scores, away_scores):
+                if now != key:
+                    now, ladder, seq = key, Ladder(rules[key[1]]), 0
                 seq += 1
-                home, away = g["home_id"], g["away_id"]
-                h, a, p, times, change, before = ladder.play(home, away, g["home_score"], g["away_score"])
-                won = float(g["home_score"] > g["away_score"])
-                head = (*now, seq, g["game_id"], g["game_date"], g["competition_id"], g["season"])
-                out.append((*head, home, away, True, h, h + change, change, p, won, times, before[0], ladder.rank(home)))
-                out.append((*head, away, home, False, a, a - change, -change, 1 - p, 1 - won, times, before[1], ladder.rank(away)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*out)) or [[]] * len(HISTORY), HISTORY)], schema=HISTORY)
+                h, a, p, times, change, before = ladder.play(home, away, home_score, away_score)
+                numbers += (h, a, p, times, change)
+                played += (seq, before[0], before[1], ladder.rank(home), ladder.rank(away))
+            h, a, p, times, change = np.array(numbers, np.float64).reshape(n, 5).T
+            seqs, home_before, away_before, home_rank, away_rank = np.array(played, np.int64).reshape(n, 5).T
+            won = np.array([x > y for x, y in zip(home_scores, away_scores)], np.float64)
+            twice = pa.array(np.repeat(np.arange(n), 2))
+            both = lambda x, y: np.column_stack([x, y]).ravel()
+            sides = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("home_id", "away_id")]
+            own = {
+                "seq": both(seqs, seqs), "team_id": both(*sides), "opponent_id": both(*sides[::-1]), "is_home": both(np.ones(n, bool), np.zeros(n, bool)), "pre": both(h, a),
+                "post": both(h + change, a - change), "change": both(change, -change), "expected": both(p, 1 - p), "actual": both(won, 1 - won), "multiplier": both(times, times),
+                "games_before": both(home_before, away_before), "rank_after": both(home_rank, away_rank),
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(own[f.name], f.type) if f.name in own else batch.column(f.name).take(twice).cast(f.type) for f in HISTORY], schema=HISTORY)
 
     return _sorted(rated_games(games), rules).mapInArrow(run, DDL)
 

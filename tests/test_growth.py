@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from courtfold.functions import text as T
 from courtfold.operators import identity as I
 from courtfold.operators import merges as M
+from courtfold.operators import rating as E
 
 
 def most_rows(df):
@@ -201,3 +202,27 @@ def test_moves_of_teams_never_go_through_the_driver(spark):
     out = M.merge_all({"teams": t, "aliases": aliases, "games": games, "history": side, "ratings": side.drop("game_id", "opponent_id"), "findings": findings}, done)
     for df in (closed, cyclic, done, *out.values()):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_the_replay_makes_no_row_objects_of_games(spark, monkeypatch):
+    games = spark.range(200).select(
+        F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("pool"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") / 4).cast("int")).alias("game_date"), F.lit("s").alias("source"),
+        F.col("id").cast("string").alias("source_game_id"), F.col("id").alias("game_id"), F.lit(1).cast("long").alias("competition_id"), F.lit("x").alias("season"), (F.col("id") % 7).alias("home_id"),
+        ((F.col("id") * 3 + 1) % 5 + 7).alias("away_id"), (60 + F.col("id") % 11).cast("int").alias("home_score"), (60 + F.col("id") * 5 % 13).cast("int").alias("away_score"), F.lit(True).alias("eligible"))
+    sorted_ = E._sorted(E.rated_games(games), E.RULESETS).toArrow().to_batches()
+    taken = []
+    monkeypatch.setattr(E, "_sorted", lambda *_: type("Taken", (), {"mapInArrow": lambda self, run, ddl: taken.append(run)})())
+    E.replay(games)
+
+    class Columns:
+        def __init__(self, batch):
+            self.num_rows, self.column = batch.num_rows, batch.column
+
+    out = [r for b in sorted_ for k in range(0, b.num_rows, 64) for r in [Columns(b.slice(k, 64))]]
+    rows = [r for b in taken[0](iter(out)) for r in b.to_pylist()]
+    want, ladders = [], {}
+    for g in (g for b in sorted_ for g in b.to_pylist()):
+        ladder = ladders.setdefault((g["pool"], g["ruleset"]), E.Ladder(E.RULESETS[g["ruleset"]]))
+        h, a, p, times, change, before = ladder.play(g["home_id"], g["away_id"], g["home_score"], g["away_score"])
+        want += [(g["game_id"], g["home_id"], h, h + change, p, before[0], ladder.rank(g["home_id"])), (g["game_id"], g["away_id"], a, a - change, 1 - p, before[1], ladder.rank(g["away_id"]))]
+    assert [tuple(r[c] for c in ("game_id", "team_id", "pre", "post", "expected", "games_before", "rank_after")) for r in rows] == want

@@ -19,19 +19,35 @@ GAMES = ["game_id", *PLACE, *RESULT, "manual"]
 def nearest_in_time(rows: DataFrame, others: DataFrame, keys: list[str], hours: int = HOURS, apart: str | None = "source") -> DataFrame:
     """(row_id, other_id, distance, ambiguous): each row's one nearest of the others with equal keys within hours, none where several are equally near.
 
-    rows(row_id, ts, keys, apart), others(other_id, ts, keys, apart); a column `apart` must differ. Both sides are dealt by keys and stretch of hours, so what
-    plays often doesn't meet in one task.
+    rows(row_id, ts, keys, apart), others(other_id, ts, keys, apart); a column `apart` must differ. Others of one instant are counted first, and each row finds the nearest instants before and
+    after it in a window, so no pairs are formed however many play at a time. Windows are dealt by keys and stretch of hours, so what plays often doesn't meet in one task.
     """
     step = hours * 3600
-    carried = [*keys, *([apart] if apart else [])]
-    r = rows.select("row_id", F.unix_seconds("ts").alias("s"), *carried).withColumn("stretch", F.explode(F.array(*[F.floor(F.col("s") / step) + k for k in (-1, 0, 1)])))
-    o = others.select("other_id", F.unix_seconds("ts").alias("other_s"), *keys, *([F.col(apart).alias("_apart")] if apart else [])).withColumn("stretch", F.floor(F.col("other_s") / step))
-    near = r.join(o, [*keys, "stretch"]).withColumn("distance", F.abs(F.col("s") - F.col("other_s"))).filter(F.col("distance") <= step)
+    own = [apart] if apart else []
+    r = rows.select("row_id", F.unix_seconds("ts").alias("s"), *keys, *own).dropna(subset=["s", *keys, *own])
+    o = others.select("other_id", F.unix_seconds("ts").alias("s"), *keys, *own).dropna(subset=["s", *keys, *own])
+    told = o.groupBy(*keys, "s", *own).agg(F.count("*").alias("n"), F.min("other_id").alias("other_id"))
+    # an instant's one value of `apart`, null if it has several or none is asked for, and the nearest instants on both sides that have another
+    one = F.when(F.count("*") == 1, F.min(apart)) if apart else F.lit(None).cast("string")
+    times = told.groupBy(*keys, "s").agg(one.alias("one")).withColumn("stretch", F.explode(F.array(*[F.floor(F.col("s") / step) + k for k in (-1, 0, 1)])))
+    forth, back = (Window.partitionBy(*keys, "stretch").orderBy(order) for order in (F.col("s"), F.desc("s")))
+    for name, w in (("earlier", forth), ("later", back)):
+        other = ~F.col("one").eqNullSafe(F.lag("one").over(w))
+        times = times.withColumn("_last", F.when(other, F.lag("s").over(w))).withColumn(name, F.last("_last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_last")
+    points = times.select(*keys, "stretch", "s", F.struct("s", "one", "earlier", "later").alias("t"))
+    asked = r.withColumn("stretch", F.floor(F.col("s") / step))
+    both = asked.unionByName(points, allowMissingColumns=True)
+    for name, w in (("_b", forth), ("_a", back)):
+        both = both.withColumn(name, F.last("t", ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0)))
+    side = lambda c, far: F.when(F.col(f"{c}.one") == F.col(apart), F.col(f"{c}.{far}")).otherwise(F.col(f"{c}.s")) if apart else F.col(f"{c}.s")
+    met = both.filter("t is null").withColumns({"_b": side("_b", "earlier"), "_a": side("_a", "later")})
+    met = met.withColumn("distance", F.least(F.col("s") - F.col("_b"), F.col("_a") - F.col("s"))).filter(F.col("distance") <= step)
+    hits = F.array_distinct(F.filter(F.array("_b", "_a"), lambda x: F.abs(x - F.col("s")) == F.col("distance")))
+    near = met.select("row_id", "distance", *keys, *([F.col(apart).alias("_apart")] if apart else []), F.explode(hits).alias("s")).join(told, [*keys, "s"])
     if apart:
         near = near.filter(F.col(apart) != F.col("_apart"))
-    first = near.withColumn("least", F.min("distance").over(Window.partitionBy("row_id"))).filter("distance = least")
-    return first.groupBy("row_id").agg(
-        F.when(F.count("*") == 1, F.min("other_id")).alias("other_id"), F.min("distance").alias("distance"), (F.count("*") > 1).alias("ambiguous"))
+    return near.groupBy("row_id").agg(
+        F.when(F.sum("n") == 1, F.min("other_id")).alias("other_id"), F.min("distance").alias("distance"), (F.sum("n") > 1).alias("ambiguous"))
 
 
 def claimed(near: DataFrame) -> DataFrame:

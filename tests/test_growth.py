@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import sys
-from datetime import date, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -13,6 +13,7 @@ from courtfold.functions import text as T
 from courtfold.operators import identity as I
 from courtfold.operators import merges as M
 from courtfold.operators import rating as E
+from courtfold.operators.ingest import nearest_in_time
 
 
 def most_rows(df):
@@ -226,3 +227,25 @@ def test_the_replay_makes_no_row_objects_of_games(spark, monkeypatch):
         h, a, p, times, change, before = ladder.play(g["home_id"], g["away_id"], g["home_score"], g["away_score"])
         want += [(g["game_id"], g["home_id"], h, h + change, p, before[0], ladder.rank(g["home_id"])), (g["game_id"], g["away_id"], a, a - change, 1 - p, before[1], ladder.rank(g["away_id"]))]
     assert [tuple(r[c] for c in ("game_id", "team_id", "pre", "post", "expected", "games_before", "rank_after")) for r in rows] == want
+
+
+def test_the_nearest_in_time_is_found_without_pairs(spark):
+    rng = random.Random(8)
+    hour = lambda h: datetime(2001, 1, 1) + timedelta(hours=h)
+    rows = [(i, hour(rng.randrange(150)) if rng.random() < 0.97 else None, rng.choice([1, 2, None]), rng.choice(["x", "y", "z", None])) for i in range(300)]
+    others = [(i, hour(rng.randrange(150)), rng.choice([1, 1, 2, None]), rng.choice(["x", "x", "x", "y", "z"])) for i in range(60)]
+    r = spark.createDataFrame(rows, "row_id long, ts timestamp, k long, source string")
+    o = spark.createDataFrame(others, "other_id long, ts timestamp, k long, source string")
+    for apart in ("source", None):
+        want = {}
+        for i, ts, k, source in rows:
+            far = [(abs((ts - u).total_seconds()), j) for j, u, q, v in others if ts and k is not None and k == q and (not apart or (source and source != v)) and abs((ts - u).total_seconds()) <= 36 * 3600]
+            first = [j for d, j in far if d == min(far)[0]]
+            if first:
+                want[i] = (first[0] if len(first) == 1 else None, min(far)[0], len(first) > 1)
+        got = {x.row_id: (x.other_id, x.distance, x.ambiguous) for x in nearest_in_time(r, o, ["k"], 36, apart).collect()}
+        assert got == want and {x[2] for x in want.values()} == {True, False}
+    i = F.col("id")
+    many = spark.range(600).select(i.alias("row_id"), i.alias("other_id"), F.timestamp_seconds(i % 5 * 3600).alias("ts"), F.lit(1).alias("k"), F.when(i % 2 == 0, "x").otherwise("y").alias("source"))
+    found, most = most_rows(nearest_in_time(many.drop("other_id"), many.drop("row_id"), ["k"]))
+    assert len(found) == 600 and all(x.ambiguous and x.distance == 0 for x in found) and most <= 2400

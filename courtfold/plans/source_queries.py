@@ -46,7 +46,7 @@ def schedule_games(spark, sf_dir):
         F.lit("<table><tr><th>Date</th></tr><tr>"), cell("date_game", F.col("game_date")), cell("home_team_name", F.concat(F.lit("T"), "home_id")), cell("visitor_team_name", F.concat(F.lit("T"), "away_id")),
         cell("home_pts", F.col("home_score")), cell("visitor_pts", F.col("away_score")), cell("game_remarks", F.when(F.col("game_id") % 2 == 0, "Postponed")), F.lit("</tr></table>"),
     )
-    return S.schedule_games(S.table_rows(view(spark, sf_dir, "games").select("season", html.alias("html")), "season"))
+    return S.schedule_games(S.table_rows(dealt(view(spark, sf_dir, "games"), "game_id").select("season", html.alias("html")), "season"))
 
 
 @query(with_views("""SELECT CAST(r.r_regionkey AS VARCHAR) AS page, h.n_name AS home, a.n_name AS away, (60 + h.n_nationkey)::INT AS home_score, (60 + a.n_nationkey * 2)::INT AS away_score FROM region r

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -112,19 +113,57 @@ class _Cells(HTMLParser):
             self.rows[-1][self.cell] += data.strip()
 
 
+#: Pages of nothing but plain tags, text without entities, and attributes in double quotes; the parser would see in them just what the second pattern finds.
+_TAGS = "table|thead|tbody|tfoot|caption|tr|td|th|a|b|i|em|strong|p|div|span|ul|ol|li"
+PLAIN = re.compile(rf'(?:[^<&]++|<(?:{_TAGS})(?: [a-z-]++="[^"<>&]*+")*+>|</(?:{_TAGS})>)*+')
+TAG = re.compile(r'<(/?)([a-z]+)([^>]*)>([^<]*)')
+ATTRIBUTE = re.compile(r'([a-z-]+)="([^"]*)"')
+
+
+def _plain_cells(html: str) -> list[dict]:
+    """The rows that _Cells finds in a page that PLAIN matches."""
+    rows, cell = [], None
+    for end, tag, attributes, text in TAG.findall(html):
+        if tag == "td" or tag == "th":
+            if end:
+                cell = None
+            elif rows:
+                cell = dict(ATTRIBUTE.findall(attributes)).get("data-stat") or str(len(rows[-1]))
+                rows[-1][cell] = ""
+        elif tag == "tr":
+            if end:
+                cell = None
+            else:
+                rows.append({})
+        if text and cell is not None:
+            rows[-1][cell] += text.strip()
+    return rows
+
+
+def _cells(html: str) -> list[dict]:
+    if PLAIN.fullmatch(html):
+        return _plain_cells(html)
+    parser = _Cells()
+    parser.feed(html)
+    return parser.rows
+
+
 def table_rows(pages: DataFrame, key: str, column: str = "html") -> DataFrame:
     """(key, row_no, cells map) for each table row of each page."""
 
     def run(batches):
         for batch in batches:
-            out = []
+            keys, numbers, names, values, ends = [], [], [], [], [0]
             for k, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                parser = _Cells()
-                parser.feed(html or "")
-                out += [(k, i, list(cells.items())) for i, cells in enumerate(parser.rows) if cells]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int32()), pa.array([x[2] for x in out], pa.map_(pa.string(), pa.string()))], ["page", "row_no", "cells"]
-            )
+                for i, cells in enumerate(_cells(html or "")):
+                    if cells:
+                        keys.append(k)
+                        numbers.append(i)
+                        names += cells.keys()
+                        values += cells.values()
+                        ends.append(len(names))
+            cells = pa.MapArray.from_arrays(pa.array(ends, pa.int32()), pa.array(names, pa.string()), pa.array(values, pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(numbers, pa.int32()), cells], ["page", "row_no", "cells"])
 
     return pages.select(F.col(key).cast("string").alias("page"), F.col(column).alias("html")).mapInArrow(run, "page string, row_no int, cells map<string,string>")
 

@@ -14,6 +14,7 @@ from courtfold.operators import identity as I
 from courtfold.operators import merges as M
 from courtfold.operators import rating as E
 from courtfold.operators.ingest import nearest_in_time
+from courtfold.sources import files as S
 
 
 def most_rows(df):
@@ -249,3 +250,27 @@ def test_the_nearest_in_time_is_found_without_pairs(spark):
     many = spark.range(600).select(i.alias("row_id"), i.alias("other_id"), F.timestamp_seconds(i % 5 * 3600).alias("ts"), F.lit(1).alias("k"), F.when(i % 2 == 0, "x").otherwise("y").alias("source"))
     found, most = most_rows(nearest_in_time(many.drop("other_id"), many.drop("row_id"), ["k"]))
     assert len(found) == 600 and all(x.ambiguous and x.distance == 0 for x in found) and most <= 2400
+
+
+def test_plain_pages_give_the_parsers_cells():
+    rng = random.Random(4)
+    parts = ['<tr>', '</tr>', '<td>', '<td data-stat="a">', '<td class="x" data-stat="b">', '</td>', '<th data-stat="">', '</th>', '<a href="/q?x=1">', '</a>', '<table>', '</table>', " t > u ", "1", "\n", "</li>"]
+    odd = ["&amp;", "<!-- <td> -->", "<TD>", "<br/>", "<script>", "<td data-stat='c'>", "< ", "<td"]
+    plain = 0
+
+    def rows(read, html):
+        try:
+            return read(html)
+        except KeyError:
+            return "a cell goes on in the next row"
+
+    def parsed(html):
+        parser = S._Cells()
+        parser.feed(html)
+        return parser.rows
+
+    for k in range(3000):
+        html = "".join(rng.choice(parts if k % 3 else parts + odd) for _ in range(rng.randint(0, 25)))
+        plain += bool(S.PLAIN.fullmatch(html))
+        assert rows(S._cells, html) == rows(parsed, html)
+    assert 2000 <= plain < 3000

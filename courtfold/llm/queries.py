@@ -56,7 +56,7 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules(_read(spark, sf_dir, "documents"))
+    return quality_rules(_read(spark, sf_dir, "documents"), pieces=PieceModel.load(PIECE_MODEL))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

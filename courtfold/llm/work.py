@@ -33,11 +33,11 @@ def whole_number(name: str) -> Column:
     return F.col(name).try_cast("long")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and return a scan of it."""
+def save(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
+    """Write df as Parquet in the shared folder, by Spark's own compression or the one named, and return a scan of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/courtfold-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_path = path
     return out

@@ -19,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null and empty texts fail the base rule; null ids don't matter; repeated rows stay or go alike. An empty table stays empty.
     """
-    return quality_filter(docs)
+    return quality_filter(docs, pieces=PieceModel.load(PIECE_MODEL))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

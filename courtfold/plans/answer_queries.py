@@ -11,7 +11,7 @@ from ..operators import answers as A
 from ..operators import rankings as R
 from ..operators import rating as E
 from ..sources import newspaper as N
-from .adapter import view, with_views
+from .adapter import piece_of, view, with_views
 from .game_queries import COVERAGE_VIEWS, DAY, TODAY, _covered
 from .rating_queries import CURRENT, history, ranked
 from .registry import query
@@ -43,9 +43,9 @@ JUDGED = """SELECT page, nth, round_name, game_date, home_id, away_id, home_scor
 @query(with_views(JUDGED, **PAPER))
 def newspaper_results(spark, sf_dir):
     line = F.concat("above", "line", F.when(F.col("game_id") % 11 == 0, F.concat(F.lit("\n"), "line")).otherwise(""))
-    own = view(spark, sf_dir, "pieces", PAPER).groupBy("competition_id", "season").agg(F.array_sort(F.collect_list(F.struct("game_id", line.alias("line")))).alias("p"))
-    articles = own.select(F.concat_ws(" ", F.col("competition_id").cast("string"), "season").alias("page"), F.to_date(F.concat(F.substring("season", 1, 4), F.lit("-09-01"))).alias("published"), F.array_join(F.col("p.line"), "\n").alias("text"))
-    return N.newspaper_results(articles, view(spark, sf_dir, "clubs", PAPER), SERBIAN).drop("line_no")
+    own = view(spark, sf_dir, "pieces", PAPER).groupBy("competition_id", "season", piece_of("game_id")).agg(F.array_sort(F.collect_list(F.struct("game_id", line.alias("line")))).alias("p"))
+    articles = own.select(F.concat_ws(" ", F.col("competition_id").cast("string"), "season").alias("page"), "piece", F.to_date(F.concat(F.substring("season", 1, 4), F.lit("-09-01"))).alias("published"), F.array_join(F.col("p.line"), "\n").alias("text"))
+    return N.newspaper_results(articles, view(spark, sf_dir, "clubs", PAPER), SERBIAN).drop("piece", "line_no")
 
 
 #: Games of which those that aren't eligible have a reason, or a blank one.

@@ -70,3 +70,18 @@ def test_eras(spark):
     assert [r[0] for r in rows.select(A.least_games(F.col("season"))).collect()] == list(labels.values())
     assert [r.low for r in A.low_by_era(rows, F.lit(True)).collect()] == [v is not None and v > 1000 for v in labels.values()]
     assert all(r.low for r in A.low_by_era(rows, F.lit(False)).collect())
+
+
+def test_pieces_of_an_article_carry_rounds_and_days(spark):
+    lines = ["5. kolo", "Partizan Vojvodina 80:70", "11. 3. 1995.", "prose", "Kolubara - Partizan 90:80", "6. KOLO", "Iva Partizan 70:71", "Kolubara - Partizan 90:80", "Partizan Vojvodina 80:70"]
+    clubs = spark.createDataFrame(CLUBS, "team_id long, name string")
+    got = []
+    for size in (1, 2, 9):
+        pieces = [("p", date(1995, 3, 13), k, "\n".join(lines[k : k + size])) for k in range(0, 9, size)]
+        articles = spark.createDataFrame(pieces + [("q", date(1995, 3, 14), 0, "Iva Partizan 70:71")], "page string, published date, piece long, text string").repartition(3)
+        rows = newspaper_results(articles, clubs).orderBy("page", "piece", "line_no", "nth").collect()
+        got.append([(r.page, r.round_name, str(r.game_date), r.home_id, r.away_id, r.reason) for r in rows])
+    assert got[0] == got[1] == got[2] == [
+        ("p", "5", "1995-03-13", 2, 3, None), ("p", "5", "1995-03-11", None, None, "no score"), ("p", "5", "1995-03-11", 4, 2, None), ("p", "6", "1995-03-11", 8, 2, None),
+        ("p", "6", "1995-03-11", 4, 2, "repeated"), ("p", "6", "1995-03-11", 2, 3, None), ("q", None, "1995-03-14", 8, 2, None),
+    ]

@@ -116,3 +116,12 @@ def test_query_and_stage_take_pieces(spark):
     assert sorted(map(repr, op5_quality_rules(spark, "/root/testdata/sf0.001").collect())) == want != sorted(map(repr, quality_rules(docs).collect()))
     kept = sorted(r.doc_id for r in corpus_pipeline.quality(spark, docs, "").collect())
     assert kept == sorted(r.doc_id for r in quality_filter(docs, pieces=PIECES).collect()) == sorted(r.doc_id for r in quality_rules(docs, pieces=PIECES).filter("kept").collect())
+
+
+def test_stage_counts_no_symbols(spark, monkeypatch):
+    def symbols(*_):
+        raise AssertionError("n-grams of symbols")
+
+    monkeypatch.setattr(quality, "count_grams", symbols)
+    frame = spark.createDataFrame(documents(30), SCHEMA)
+    assert 0 < corpus_pipeline.quality(spark, frame, "").count() < 36

@@ -56,7 +56,7 @@ class PieceModel:
         if (self.keys[1:] == self.keys[:-1]).any():
             raise ValueError("two pieces share a hash")
         self.longest = max((len(c) for c in codes), default=1)
-        self._encoder: Encoder | None = None
+        self._encoders: dict[bool, Encoder] = {}
         self.pairs = {self.pieces[i][k : k + 2] for i in self.usable for k in range(len(self.pieces[i]) - 1)}
         self.worst = float(self.scores[self.usable].min()) if self.usable else 0.0
         by_byte = {i: bytes([b]) for b, i in self.byte_ids.items()}
@@ -85,11 +85,11 @@ class PieceModel:
             {i for i, p in enumerate(pieces) if p.type == 3}, [i for i, p in enumerate(pieces) if p.type == 1], norm.add_dummy_prefix,
         )
 
-    def encoder(self) -> Encoder:
+    def encoder(self, by_merges: bool = False) -> Encoder:
         """One encoder for all tasks of a worker, so that words and steps known to one task are known to the next; it holds no more than one of a single task may."""
-        if self._encoder is None:
-            self._encoder = Encoder(self)
-        return self._encoder
+        if by_merges not in self._encoders:
+            self._encoders[by_merges] = Encoder(self, by_merges)
+        return self._encoders[by_merges]
 
     def probe(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids (-1 if none) and scores by substring hash."""
@@ -253,10 +253,13 @@ def merges(words: list[str], model: PieceModel) -> Spans:
 
 
 class Encoder:
-    """Encodes texts by their words; ids of words seen are kept, up to CACHE words."""
+    """Encodes texts by their words; ids of words seen are kept, up to CACHE words.
 
-    def __init__(self, model: PieceModel):
-        self.model, self.known, self.steps = model, {}, Steps(model)
+    by_merges: words of up to LONG characters of a merge model make their merges themselves, at about a third of the Viterbi's time, which learns its steps from merges.
+    """
+
+    def __init__(self, model: PieceModel, by_merges: bool = False):
+        self.model, self.known, self.steps, self.by_merges = model, {}, Steps(model), by_merges and model.kind == "bpe"
 
     def _ids(self, word: str, starts, ends, ids) -> bytes:
         """int32 ids of a word's pieces; unknown characters become their bytes, or one unknown id a run."""
@@ -283,6 +286,10 @@ class Encoder:
             self.known.clear()
         merging = self.model.kind == "bpe"
         by_length: dict[int, list[str]] = {}
+        cut: dict[str, list[str]] = {}
+        if self.by_merges and self.model.byte_ids:  # parts of long words are words like others, as no unknown id can stand for characters of two parts
+            cut = {w: self._parts(w) for w in words if len(w) > LONG}
+            words = {w for w in words if len(w) <= LONG}.union(*cut.values())
         for word in words:
             if merging and len(word) > LONG:
                 self._learn_long(word)
@@ -293,8 +300,12 @@ class Encoder:
             for k in range(0, len(group), step):
                 part = group[k : k + step]
                 self._keep(part, self._spans(part))
+        for word, parts in cut.items():
+            self.known[word] = b"".join([self.known[p] for p in parts])
 
     def _spans(self, words: list[str]) -> Spans:
+        if self.by_merges and len(words[0]) <= LONG:
+            return merges(words, self.model)
         return merge_viterbi(words, self.model, self.steps) if self.model.kind == "bpe" else viterbi(words, self.model)
 
     def _keep(self, words: list[str], spans: Spans) -> None:

@@ -129,7 +129,7 @@ def encoded(docs: DataFrame, pieces: PieceModel) -> DataFrame:
     shared, kind = docs.sparkSession.sparkContext.broadcast(pieces), piece_type(pieces)
 
     def run(batches):
-        encoder = shared.value.encoder()
+        encoder = shared.value.encoder(by_merges=True)
         for batch in batches:
             for rows, data, offsets in text_slices(batch, "text"):
                 ids = [np.frombuffer(x, np.int32).astype(kind).tobytes() for x in encoder.encode([t or "" for t in rows.column("text").to_pylist()])]

@@ -8,7 +8,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import pyarrow as pa
+
 import corpus_pipeline
+from courtfold.llm import pieces as P
 from courtfold.llm import quality
 from courtfold.llm.pieces import PieceModel
 from courtfold.llm.quality import UNIT, build_model, costs_of, encoded, piece_bits, quality_filter, quality_rules, read_model
@@ -125,3 +128,19 @@ def test_stage_counts_no_symbols(spark, monkeypatch):
     monkeypatch.setattr(quality, "count_grams", symbols)
     frame = spark.createDataFrame(documents(30), SCHEMA)
     assert 0 < corpus_pipeline.quality(spark, frame, "").count() < 36
+
+
+def test_words_make_their_merges_once_without_a_viterbi(spark, monkeypatch):
+    """A worker's tasks encode by the library's ids, and no step between pieces is learnt for a word that isn't long."""
+    rng = random.Random(4)
+    texts = [t for _, t, _ in documents() if t] + ["".join(rng.choice("abcdefgh ") for _ in range(900)), "東京都と大阪" * 30, "ab" * 500, "  x  \n\ty ", "\u2581 a\u2581b", "naïve \U0001f600\U00010348 q" * 9]
+    rows, taken = pa.table({"lang": ["en"] * len(texts), "half": pa.array([0] * len(texts), pa.int32()), "text": texts}), []
+    docs = spark.createDataFrame([], "lang string, half int, text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, ddl: taken.append(run))
+    encoded(docs, PIECES)
+    own = {len(w) for t in texts for w in PIECES.encoder()._units(t) if len(w) <= P.LONG}
+    real = P.merge_viterbi
+    monkeypatch.setattr(P, "merge_viterbi", lambda words, *more: real(words, *more) if len(words[0]) > P.LONG else pytest.fail("a Viterbi of words"))
+    out = pa.Table.from_batches(taken[0](iter(rows.to_batches())))
+    assert [np.frombuffer(b.as_py(), np.uint16).tolist() for b in out.column("ids")] == [LIBRARY.encode(t) for t in texts]
+    assert len(own) > 10

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 from bisect import bisect_left, insort
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import astuple
 from datetime import date
 
@@ -10,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from ..functions.rating import RULESETS, Ruleset, rate, validate
 
@@ -25,6 +29,10 @@ DDL = (
 )
 
 
+#: A pool's games are played in full by spans of at least so many, and of at least as many as it has teams, so all ladders together hold no more teams than there are games.
+SPAN = 1 << 15
+
+
 def rated_games(games: DataFrame) -> DataFrame:
     """Games that count: eligible, both scores known, not level. The status doesn't matter."""
     return games.filter("eligible and home_score is not null and away_score is not null and home_score <> away_score")
@@ -43,6 +51,14 @@ class Ladder:
     def __init__(self, rules: Ruleset):
         self.rules, self.elo, self.played, self.order = rules, {}, {}, []
 
+    @classmethod
+    def resumed(cls, rules: Ruleset, state: bytes) -> tuple[Ladder, int]:
+        """The ladder before a span, and the number of games before it."""
+        ladder = cls(rules)
+        ladder.elo, ladder.played, seq = pickle.loads(state)
+        ladder.order = sorted((-elo, team) for team, elo in ladder.elo.items())
+        return ladder, seq
+
     def _move(self, team, elo: float) -> None:
         if team in self.elo:
             del self.order[bisect_left(self.order, (-self.elo[team], team))]
@@ -62,20 +78,96 @@ class Ladder:
         return bisect_left(self.order, (-self.elo[team], team)) + 1
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """(pool, ruleset) and the rows of each run of equal ones."""
+    kinds = list(zip(batch.column("pool").to_pylist(), batch.column("ruleset").to_pylist()))
+    cuts = [0, *(i for i in range(1, len(kinds)) if kinds[i] != kinds[i - 1]), len(kinds)]
+    for a, b in zip(cuts, cuts[1:]):
+        if a < b:
+            yield kinds[a], batch.slice(a, b - a)
+
+
+def _packed(batches):
+    """One row for each run of a batch: its first game's place in the order, and the games in Arrow's own form."""
+    for batch in batches:
+        runs = list(_runs(batch))
+        firsts = [pa.concat_arrays([part.column(c).slice(0, 1) for _, part in runs]) if runs else batch.column(c) for c in ("pool", "ruleset", *ORDER)]
+        blobs = []
+        for _, part in runs:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as out:
+                out.write_batch(part)
+            blobs.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([*firsts, pa.array(blobs, pa.binary())], ["pool", "ruleset", *ORDER, "games"])
+
+
+def _walked(rules: dict[str, Ruleset]):
+    """Numbers the spans of each pool from packed games in order: only ratings move here, and each span's first row has the ratings, games and number of games before it."""
+
+    def run(batches):
+        now = None
+        for batch in batches:
+            blobs, spans, seqs, states = batch.column("games"), [], [], []
+            for key, blob in zip(zip(batch.column("pool").to_pylist(), batch.column("ruleset").to_pylist()), blobs):
+                if now != key:
+                    now, own, elo, played, seq, span, begun = key, rules[key[1]], {}, Counter(), 0, 0, 0
+                state = None
+                if seq - begun >= max(SPAN, len(elo)):
+                    span, begun, state = span + 1, seq, pickle.dumps((elo, dict(played), seq))
+                spans.append(span)
+                seqs.append(seq)
+                states.append(state)
+                names = pa.ipc.open_stream(blob.as_buffer()).schema.names
+                wanted = [names.index(c) for c in ("home_id", "away_id", "home_score", "away_score")]
+                games = pa.ipc.open_stream(blob.as_buffer(), options=pa.ipc.IpcReadOptions(included_fields=wanted)).read_all()
+                homes, aways, home_scores, away_scores = (games.column(names[i]).to_pylist() for i in wanted)
+                base = own.base
+                for home, away, home_score, away_score in zip(homes, aways, home_scores, away_scores):
+                    h, a = elo.get(home, base), elo.get(away, base)
+                    change = rate(home_score, away_score, h, a, own)[2]
+                    elo[home] = h + change
+                    elo[away] = a - change
+                played.update(homes)
+                played.update(aways)
+                seq += len(homes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("pool"), batch.column("ruleset"), pa.array(spans, pa.int64()), pa.array(seqs, pa.int64()), pa.array(states, pa.binary()), blobs],
+                ["pool", "ruleset", "span", "seq", "state", "games"],
+            )
+
+    return run
+
+
+def _unpacked(batches):
+    """The games again, the first of each span but a pool's first with the state before it."""
+    for batch in batches:
+        for blob, state in zip(batch.column("games"), batch.column("state").to_pylist()):
+            for games in pa.ipc.open_stream(blob.as_buffer()):
+                yield pa.RecordBatch.from_arrays([*games.columns, pa.array([state] + [None] * (games.num_rows - 1), pa.binary())], [*games.schema.names, "state"])
+
+
 def _sorted(games: DataFrame, rules: dict[str, Ruleset], *more: str) -> DataFrame:
-    """Games once for each ruleset, each (pool, ruleset) in one partition in order of play; the rows stream through."""
+    """Games once for each ruleset in order of play, in spans that are dealt to tasks; `state` of a span's first game is what Ladder.resumed() goes on from, and null where a pool begins.
+
+    Games are sorted in ranges. One task for each (pool, ruleset) then moves the ratings alone through its games, which come packed, to have the state before each span;
+    what stands in the history is left to the spans.
+    """
     cols = ["pool", "game_date", "source", "source_game_id", "game_id", "competition_id", "season", "home_id", "away_id", "home_score", "away_score", *more]
-    return (
-        games.select(*cols).withColumn("ruleset", F.explode(F.array(*map(F.lit, rules))))
-        .repartition("pool", "ruleset").sortWithinPartitions("pool", "ruleset", *ORDER)
-    )
+    keys = ["pool", "ruleset"]
+    ordered = games.select(*cols).withColumn("ruleset", F.explode(F.array(*map(F.lit, rules)))).repartitionByRange(*keys, *ORDER).sortWithinPartitions(*keys, *ORDER)
+    kinds = {f.name: f for f in ordered.schema.fields}
+    firsts = [kinds[c] for c in (*keys, *ORDER)]
+    packed = ordered.mapInArrow(_packed, StructType([*firsts, StructField("games", BinaryType())])).repartition(*keys).sortWithinPartitions(*keys, *ORDER)
+    walked = packed.mapInArrow(_walked(rules), StructType([*firsts[:2], *StructType.fromDDL("span long, seq long, state binary, games binary").fields]))
+    tasks = 4 * games.sparkSession.sparkContext.defaultParallelism
+    return walked.repartition(tasks, *keys, "span").sortWithinPartitions(*keys, "span", "seq").mapInArrow(_unpacked, StructType([*ordered.schema.fields, StructField("state", BinaryType())]))
 
 
 def replay(games: DataFrame, rulesets: list[Ruleset] | None = None) -> DataFrame:
     """Two rows a game, one for each team: ratings before and after, change, expectation, multiplier, games before, rank after.
 
     Only rated games count. State is a ladder of the teams of one (pool, ruleset); rows stream in sorted order,
-    so memory is bounded by the teams, and pools and rulesets run in parallel. Ratings are not rounded.
+    so memory is bounded by the teams, and pools, rulesets and the spans of _sorted() run in parallel. Ratings are not rounded.
     """
     rules = {r.name: r for r in rulesets or RULESETS.values()}
 
@@ -85,9 +177,12 @@ def replay(games: DataFrame, rulesets: list[Ruleset] | None = None) -> DataFrame
         for batch in batches:
             n = batch.num_rows
             pools, names, homes, aways, home_scores, away_scores = (batch.column(c).to_pylist() for c in ("pool", "ruleset", "home_id", "away_id", "home_score", "away_score"))
+            states = batch.column("state").to_pylist()
             numbers, played = [], []  # what the ladder gives of each game
-            for key, home, away, home_score, away_score in zip(zip(pools, names), homes, aways, home_scores, away_scores):
-                if now != key:
+            for key, home, away, home_score, away_score, state in zip(zip(pools, names), homes, aways, home_scores, away_scores, states):
+                if state is not None:
+                    now, (ladder, seq) = key, Ladder.resumed(rules[key[1]], state)
+                elif now != key:
                     now, ladder, seq = key, Ladder(rules[key[1]]), 0
                 seq += 1
                 h, a, p, times, change, before = ladder.play(home, away, home_score, away_score)
@@ -172,7 +267,9 @@ def backtest(games: DataFrame, rulesets: list[Ruleset], warm: tuple[date, date],
         for batch in batches:
             out = []
             for g in batch.to_pylist():
-                if now != (g["pool"], g["ruleset"]):
+                if g["state"] is not None:
+                    now, ladder = (g["pool"], g["ruleset"]), Ladder.resumed(rules[g["ruleset"]], g["state"])[0]
+                elif now != (g["pool"], g["ruleset"]):
                     now, ladder = (g["pool"], g["ruleset"]), Ladder(rules[g["ruleset"]])
                 r = ladder.rules
                 h, a, p, _, change, _ = ladder.play(g["home_id"], g["away_id"], g["home_score"], g["away_score"])

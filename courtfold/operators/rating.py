@@ -146,15 +146,20 @@ def _unpacked(batches):
                 yield pa.RecordBatch.from_arrays([*games.columns, pa.array([state] + [None] * (games.num_rows - 1), pa.binary())], [*games.schema.names, "state"])
 
 
-def _sorted(games: DataFrame, rules: dict[str, Ruleset], *more: str) -> DataFrame:
+def _dealt(games: DataFrame, rules: dict[str, Ruleset], *more: str) -> DataFrame:
+    """Games once for each ruleset."""
+    cols = ["pool", "game_date", "source", "source_game_id", "game_id", "competition_id", "season", "home_id", "away_id", "home_score", "away_score", *more]
+    return games.select(*cols).withColumn("ruleset", F.explode(F.array(*map(F.lit, rules))))
+
+
+def _sorted(games: DataFrame, rules: dict[str, Ruleset]) -> DataFrame:
     """Games once for each ruleset in order of play, in spans that are dealt to tasks; `state` of a span's first game is what Ladder.resumed() goes on from, and null where a pool begins.
 
     Games are sorted in ranges. One task for each (pool, ruleset) then moves the ratings alone through its games, which come packed, to have the state before each span;
     what stands in the history is left to the spans.
     """
-    cols = ["pool", "game_date", "source", "source_game_id", "game_id", "competition_id", "season", "home_id", "away_id", "home_score", "away_score", *more]
     keys = ["pool", "ruleset"]
-    ordered = games.select(*cols).withColumn("ruleset", F.explode(F.array(*map(F.lit, rules)))).repartitionByRange(*keys, *ORDER).sortWithinPartitions(*keys, *ORDER)
+    ordered = _dealt(games, rules).repartitionByRange(*keys, *ORDER).sortWithinPartitions(*keys, *ORDER)
     kinds = {f.name: f for f in ordered.schema.fields}
     firsts = [kinds[c] for c in (*keys, *ORDER)]
     packed = ordered.mapInArrow(_packed, StructType([*firsts, StructField("games", BinaryType())])).repartition(*keys).sortWithinPartitions(*keys, *ORDER)
@@ -253,7 +258,7 @@ def backtest(games: DataFrame, rulesets: list[Ruleset], warm: tuple[date, date],
     """One row per game in either window: the prediction before the game, and the change after it.
 
     Windows include both ends; a game in both is scored, one in neither is left out and moves no rating. `p` is
-    not rounded here; the rulesets run over the same games, each in its own partition.
+    not rounded here; the rulesets run over the same games, each in its own partition and in order, as means of stored margins may stand on a rounding's edge.
     """
     for r in rulesets:
         if wrong := validate(r):
@@ -267,9 +272,7 @@ def backtest(games: DataFrame, rulesets: list[Ruleset], warm: tuple[date, date],
         for batch in batches:
             out = []
             for g in batch.to_pylist():
-                if g["state"] is not None:
-                    now, ladder = (g["pool"], g["ruleset"]), Ladder.resumed(rules[g["ruleset"]], g["state"])[0]
-                elif now != (g["pool"], g["ruleset"]):
+                if now != (g["pool"], g["ruleset"]):
                     now, ladder = (g["pool"], g["ruleset"]), Ladder(rules[g["ruleset"]])
                 r = ladder.rules
                 h, a, p, _, change, _ = ladder.play(g["home_id"], g["away_id"], g["home_score"], g["away_score"])
@@ -280,7 +283,7 @@ def backtest(games: DataFrame, rulesets: list[Ruleset], warm: tuple[date, date],
 
     ddl = ("pool string, ruleset string, game_id long, game_date date, competition_id long, season string, home_id long, away_id long, scored boolean, p double, "
            "margin double, predicted double, home_won boolean, home_change double, home_post double, away_post double")
-    return _sorted(own, rules, "scored").mapInArrow(run, ddl)
+    return _dealt(own, rules, "scored").repartition("pool", "ruleset").sortWithinPartitions("pool", "ruleset", *ORDER).mapInArrow(run, ddl)
 
 
 def predictions(tested: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import compact_name, decision_key, same_country
 from . import identity as I
-from .store import kept
+from .store import dealt, kept
 
 #: Kinds of findings and the ones that are about a pair of teams. Fixed values.
 METADATA, OBSERVED, SPLIT, DUPLICATE, ACROSS, SEASONS = "missing_metadata", "alias_observation", "source_team_split", "possible_duplicate", "possible_cross_source_match", "possible_cross_season_split"
@@ -30,7 +30,7 @@ def missing_metadata(teams: DataFrame, games: DataFrame, competitions: DataFrame
     """Teams without a trusted country, with the one country of all their games' competitions as suggestion, where there is one."""
     known = competitions.filter(~_unknown(F.col("country")))
     lost = teams.filter(_unknown(F.col("country"))).select("team_id", F.col("team_name").alias("evidence"))
-    return _shaped(lost.join(I.unanimous(games, known).select("team_id", F.col("country").alias("suggestion")), "team_id", "left"), METADATA, "warning")
+    return _shaped(lost.join(dealt(I.unanimous(games, known).select("team_id", F.col("country").alias("suggestion"))), "team_id", "left"), METADATA, "warning")
 
 
 def observed_names(aliases: DataFrame) -> DataFrame:
@@ -42,8 +42,8 @@ def observed_names(aliases: DataFrame) -> DataFrame:
 def split_teams(aliases: DataFrame) -> DataFrame:
     """A source's ids that stand for several teams: the two lowest."""
     s = aliases.groupBy("source", "source_team_id").agg(F.min("team_id").alias("team_id"), F.count_distinct("team_id").alias("n")).filter("n > 1")
-    second = aliases.join(s.select("source", "source_team_id", F.col("team_id").alias("low")), ["source", "source_team_id"]).filter("team_id > low").groupBy("source", "source_team_id").agg(F.min("team_id").alias("other_id"))
-    both = s.join(second, ["source", "source_team_id"]).withColumns({"other_source": F.col("source"), "other_source_team_id": F.col("source_team_id")})
+    second = aliases.join(dealt(s.select("source", "source_team_id", F.col("team_id").alias("low"))), ["source", "source_team_id"]).filter("team_id > low").groupBy("source", "source_team_id").agg(F.min("team_id").alias("other_id"))
+    both = s.join(dealt(second), ["source", "source_team_id"]).withColumns({"other_source": F.col("source"), "other_source_team_id": F.col("source_team_id")})
     return _shaped(both, SPLIT, "blocker")
 
 
@@ -56,16 +56,16 @@ def similar_aliases(teams: DataFrame, aliases: DataFrame, games: DataFrame, pair
     played = _appearances(games).select("team_id", "competition_id").distinct()
     a, b = (played.withColumnRenamed("team_id", s) for s in ("left_id", "right_id"))
     two = pairs.select("left_id", "right_id").distinct()
-    common = two.join(a, "left_id").join(b, ["right_id", "competition_id"]).select("left_id", "right_id")
-    lone = [two.join(x.select(s).distinct(), s, "left_anti").select("left_id", "right_id") for s, x in (("left_id", a), ("right_id", b))]
+    common = two.join(dealt(a), "left_id").join(dealt(b), ["right_id", "competition_id"]).select("left_id", "right_id")
+    lone = [two.join(dealt(x.select(s).distinct()), s, "left_anti").select("left_id", "right_id") for s, x in (("left_id", a), ("right_id", b))]
     met = common.unionByName(lone[0]).unionByName(lone[1]).distinct()
     countries = teams.select("team_id", F.when(~_unknown(F.col("country")), F.col("country")).alias("c"))
     for s in ("left", "right"):
-        met = met.join(countries.withColumnsRenamed({"team_id": f"{s}_id", "c": f"{s}_country"}), f"{s}_id")
+        met = met.join(dealt(countries.withColumnsRenamed({"team_id": f"{s}_id", "c": f"{s}_country"})), f"{s}_id")
     met = met.filter(F.col("left_country").isNull() | F.col("right_country").isNull() | same_country(F.col("left_country"), F.col("right_country"))).select("left_id", "right_id")
     left = places.withColumnsRenamed({"team_id": "left_id", "name": "left_name"})
     right = places.withColumnsRenamed({"team_id": "right_id", "name": "right_name", "source": "other_source", "source_team_id": "other_source_team_id"})
-    seen = pairs.join(met, ["left_id", "right_id"]).join(left, ["left_id", "left_name"]).join(right, ["right_id", "right_name"])
+    seen = pairs.join(dealt(met), ["left_id", "right_id"]).join(dealt(left), ["left_id", "left_name"]).join(dealt(right), ["right_id", "right_name"])
     kind = F.when(F.col("source") == F.col("other_source"), DUPLICATE).otherwise(ACROSS).alias("kind")
     first = F.min(F.struct("source", "source_team_id", "other_source", "other_source_team_id")).alias("m")
     one = seen.groupBy("left_id", "right_id", "left_name", kind).agg(first)
@@ -80,7 +80,7 @@ def split_seasons(games: DataFrame, seasons: DataFrame, pairs: DataFrame, days:
     years = _appearances(games).select("team_id", "competition_id", "season").distinct().join(seasons, ["competition_id", "season"])
     lists = years.groupBy("team_id", "competition_id").agg(F.collect_list(F.struct("season", "first", "last")).alias("s"))
     two = pairs.groupBy("left_id", "right_id").agg(F.min(F.struct("left_name", "right_name")).alias("n"))
-    met = two.join(lists.withColumnsRenamed({"team_id": "left_id", "s": "ls"}), "left_id").join(lists.withColumnsRenamed({"team_id": "right_id", "s": "rs"}), ["right_id", "competition_id"])
+    met = two.join(dealt(lists.withColumnsRenamed({"team_id": "left_id", "s": "ls"})), "left_id").join(dealt(lists.withColumnsRenamed({"team_id": "right_id", "s": "rs"})), ["right_id", "competition_id"])
     gap = lambda x, y: F.when(x["last"] <= y["first"], F.datediff(y["first"], x["last"])).otherwise(F.datediff(x["first"], y["last"]))
     near = F.exists("ls", lambda x: F.exists("rs", lambda y: (x["season"] != y["season"]) & gap(x, y).between(0, days)))
     return _shaped(met.filter(near).select(F.col("left_id").alias("team_id"), F.col("right_id").alias("other_id"), "competition_id", F.concat_ws(" / ", "n.left_name", "n.right_name").alias("evidence")), SEASONS, "blocker")
@@ -103,8 +103,8 @@ def all_findings(teams: DataFrame, aliases: DataFrame, games: DataFrame, competi
 def undecided(findings: DataFrame, decisions: DataFrame) -> DataFrame:
     """Findings without those that decisions(decision, action, left_id, right_id) name, and without any about two teams that are to be kept separate."""
     apart = decisions.filter("action = 'keep_separate' and left_id is not null and right_id is not null").select(F.least("left_id", "right_id").alias("lo"), F.greatest("left_id", "right_id").alias("hi")).distinct()
-    f = findings.join(decisions.select("decision").distinct(), "decision", "left_anti")
-    return f.join(apart, (F.least("team_id", "other_id") == F.col("lo")) & (F.greatest("team_id", "other_id") == F.col("hi")) & F.col("other_id").isNotNull(), "left_anti")
+    f = findings.join(dealt(decisions.select("decision").distinct()), "decision", "left_anti")
+    return f.join(dealt(apart), (F.least("team_id", "other_id") == F.col("lo")) & (F.greatest("team_id", "other_id") == F.col("hi")) & F.col("other_id").isNotNull(), "left_anti")
 
 
 def check_state(findings: DataFrame) -> DataFrame:
@@ -123,10 +123,10 @@ def review_candidates(findings: DataFrame, teams: DataFrame, aliases: DataFrame,
     if status != "all":
         rolled = rolled.filter(F.col("status") == status)
     named = aliases.groupBy("team_id").agg(F.count("*").alias("n_aliases"))
-    known = teams.join(I.team_stats(games), "team_id", "left").join(named, "team_id", "left").select(
+    known = teams.join(dealt(I.team_stats(games)), "team_id", "left").join(dealt(named), "team_id", "left").select(
         "team_id", "team_name", "country", "is_active", F.coalesce("games", F.lit(0)).alias("n_games"), F.coalesce("n_aliases", F.lit(0)).alias("n_aliases"), "last_date")
     for s in ("left", "right"):
-        rolled = rolled.join(known.select(*[F.col(c).alias(f"{s}_id" if c == "team_id" else f"{s}_{c}") for c in known.columns]), f"{s}_id")
+        rolled = rolled.join(dealt(known.select(*[F.col(c).alias(f"{s}_id" if c == "team_id" else f"{s}_{c}") for c in known.columns])), f"{s}_id")
     if country and country.strip():
         rolled = rolled.filter(same_country(F.col("left_country"), F.lit(country)) | same_country(F.col("right_country"), F.lit(country)))
     rank = F.when(F.col("status") == "open", 0).when(F.col("status") == "deferred", 1).otherwise(2)

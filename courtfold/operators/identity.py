@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import SIMILAR, compact_name, full_season, similar
 from .ingest import HOURS, nearest_in_time
-from .store import kept
+from .store import dealt, kept
 
 
 def nearest_fixture(results: DataFrame, fixtures: DataFrame, hours: int = HOURS) -> DataFrame:
@@ -109,7 +109,7 @@ def rarest_blocks(names: DataFrame) -> DataFrame:
     Of two names within k changes each lacks at most 4 k of the other's runs, so the first 4 k + 1 runs of both, in one order, have one in common. A partner is longer by 1 / 0.86 at most.
     """
     runs = names.select("name").distinct().select("name", F.explode(_blocks(F.col("name"))).alias("block"))
-    counted = runs.join(runs.groupBy("block").agg(F.count("*").alias("n")), "block")
+    counted = runs.join(dealt(runs.groupBy("block").agg(F.count("*").alias("n"))), "block")
     changes = F.floor((1 - SIMILAR) * F.floor(F.length("name") / SIMILAR + 1e-9) + 1e-9).cast("int")
     ordered = counted.groupBy("name").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "block"))), lambda x: x["block"]).alias("blocks"))
     return ordered.withColumn("prefix", F.slice("blocks", F.lit(1), 4 * changes + 1))
@@ -134,9 +134,9 @@ def rarest_runs(names: DataFrame) -> DataFrame:
     each = names.select("name").distinct().filter(n >= 4).select("name", F.inline(F.array_distinct(lengths))).withColumn("k", F.floor((1 - SIMILAR) * F.col("longer") + 1e-9).cast("int")).filter("k > 0")
     each = each.withColumn("q", F.greatest(F.lit(4), F.floor(F.col("shorter") / (F.col("k") + 1)).cast("int")))
     runs = each.select("name", "q").distinct().select("name", "q", F.explode(_runs(F.col("name"), F.col("q"))).alias("run"))
-    counted = runs.join(runs.groupBy("q", "run").agg(F.count("*").alias("n")), ["q", "run"])
+    counted = runs.join(dealt(runs.groupBy("q", "run").agg(F.count("*").alias("n"))), ["q", "run"])
     ordered = counted.groupBy("name", "q").agg(F.array_sort(F.collect_list(F.struct("n", "run"))).alias("runs"))
-    return each.join(ordered, ["name", "q"]).select("name", "shorter", "longer", F.explode(F.slice("runs", F.lit(1), F.col("k") * F.col("q") + 1)).alias("r")).select("name", "shorter", "longer", "r.run")
+    return each.join(dealt(ordered), ["name", "q"]).select("name", "shorter", "longer", F.explode(F.slice("runs", F.lit(1), F.col("k") * F.col("q") + 1)).alias("r")).select("name", "shorter", "longer", "r.run")
 
 
 #: Names this long or longer are sought in others by runs of as many characters. Fixed value.
@@ -146,9 +146,9 @@ LONG = 8
 def _held(names: DataFrame, size: int, own: Column) -> DataFrame:
     """(a, b): names b that hold a, another one for which `own` is true, met by a's rarest run of `size` characters."""
     runs = kept(names.select("name", F.explode(_runs(F.col("name"), F.lit(size))).alias("run")))
-    counted = runs.filter(own).join(runs.groupBy("run").agg(F.count("*").alias("n")), "run")
+    counted = runs.filter(own).join(dealt(runs.groupBy("run").agg(F.count("*").alias("n"))), "run")
     first = counted.groupBy("name").agg(F.min(F.struct("n", "run")).alias("m")).select(F.col("name").alias("a"), "m.run")
-    return first.join(runs.withColumnRenamed("name", "b"), "run").filter("a <> b and contains(b, a)").select("a", "b")
+    return first.join(dealt(runs.withColumnRenamed("name", "b")), "run").filter("a <> b and contains(b, a)").select("a", "b")
 
 
 def similar_names(names: DataFrame) -> DataFrame:
@@ -161,12 +161,12 @@ def similar_names(names: DataFrame) -> DataFrame:
     keys = kept(rarest_runs(every))
     a, b = (keys.withColumnRenamed("name", x) for x in ("a", "b"))
     # the shorter name is on the left; of equally long ones the lower
-    close = a.filter(F.length("a") == F.col("shorter")).join(b.filter(F.length("b") == F.col("longer")), ["shorter", "longer", "run"]).filter("length(a) < length(b) or a < b").select("a", "b")
+    close = a.filter(F.length("a") == F.col("shorter")).join(dealt(b.filter(F.length("b") == F.col("longer"))), ["shorter", "longer", "run"]).filter("length(a) < length(b) or a < b").select("a", "b")
     inside = _held(every, 4, F.length("name").between(4, LONG - 1)).unionByName(_held(every, LONG, F.length("name") >= LONG))
     met = close.unionByName(inside).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().filter(similar(F.col("a"), F.col("b")))
     both = met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(every.select(F.col("name").alias("a"), F.col("name").alias("b")))
     left, right = names.withColumnsRenamed({"team_id": "left_id", "name": "left_name"}), names.withColumnsRenamed({"team_id": "right_id", "name": "right_name"})
-    pairs = left.join(both, F.col("left_name") == F.col("a")).join(right, F.col("b") == F.col("right_name")).filter("left_id < right_id")
+    pairs = left.join(dealt(both), F.col("left_name") == F.col("a")).join(dealt(right), F.col("b") == F.col("right_name")).filter("left_id < right_id")
     return pairs.select("left_id", "right_id", "left_name", "right_name").distinct()
 
 
@@ -176,10 +176,10 @@ def similar_teams(aliases: DataFrame, places: DataFrame) -> DataFrame:
     pairs = similar_names(names).groupBy("left_id", "right_id").agg(F.count("*").alias("n_names"))
     seen = places.select("team_id", "competition_id").distinct()
     a, b = seen.withColumnRenamed("team_id", "left_id"), seen.withColumnRenamed("team_id", "right_id")
-    common = pairs.join(a, "left_id").join(b, ["right_id", "competition_id"]).select("left_id", "right_id").distinct()
+    common = pairs.join(dealt(a), "left_id").join(dealt(b), ["right_id", "competition_id"]).select("left_id", "right_id").distinct()
     teams = seen.select("team_id").distinct()
-    lone = pairs.join(teams, pairs.left_id == teams.team_id, "left_anti").unionByName(pairs.join(teams, pairs.right_id == teams.team_id, "left_anti"))
-    return pairs.join(common.unionByName(lone.select("left_id", "right_id")).distinct(), ["left_id", "right_id"], "left_semi")
+    lone = pairs.join(dealt(teams), pairs.left_id == teams.team_id, "left_anti").unionByName(pairs.join(dealt(teams), pairs.right_id == teams.team_id, "left_anti"))
+    return pairs.join(dealt(common.unionByName(lone.select("left_id", "right_id")).distinct()), ["left_id", "right_id"], "left_semi")
 
 
 def succeeding(spans: DataFrame, names: DataFrame, days: int = 370) -> DataFrame:

@@ -8,17 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import kept
+from .store import dealt, kept
 
 #: Columns of teams in each table, and what must be unique in it after a merge.
 TEAM_COLUMNS = {"aliases": ["team_id"], "games": ["home_id", "away_id"], "history": ["team_id", "opponent_id"], "ratings": ["team_id"], "findings": ["left_id", "right_id"]}
 
 
-def _dealt(rows: DataFrame) -> DataFrame:
-    """rows as a side of a join that never goes through the driver."""
-    return rows.hint("merge")
-
-
 def closed_moves(moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(moves to the end of each chain, sources that lead into a cycle) of moves(source_id, target_id).
 
@@ -29,10 +24,10 @@ def closed_moves(moves: DataFrame) -> tuple[DataFrame, DataFrame]:
     now = kept(one.select("source_id", F.when(F.col("n") == 1, F.col("target_id")).otherwise(F.col("source_id")).alias("target_id")))
     for _ in range(now.count().bit_length() + 1):
         nxt = now.select(F.col("source_id").alias("_s"), F.col("target_id").alias("_t"))
-        if not now.join(_dealt(nxt), F.col("target_id") == F.col("_s"), "left_semi").limit(1).count():
+        if not now.join(dealt(nxt), F.col("target_id") == F.col("_s"), "left_semi").limit(1).count():
             break
-        now = kept(now.join(_dealt(nxt), F.col("target_id") == F.col("_s"), "left").select("source_id", F.coalesce("_t", "target_id").alias("target_id")))
-    ends = _dealt(now.select(F.col("source_id").alias("_s")))
+        now = kept(now.join(dealt(nxt), F.col("target_id") == F.col("_s"), "left").select("source_id", F.coalesce("_t", "target_id").alias("target_id")))
+    ends = dealt(now.select(F.col("source_id").alias("_s")))
     return now.join(ends, F.col("target_id") == F.col("_s"), "left_anti"), now.join(ends, F.col("target_id") == F.col("_s"), "left_semi").select("source_id")
 
 
@@ -46,24 +41,24 @@ def guarded_moves(moves: DataFrame, teams: DataFrame, games: DataFrame, tables:
     played = games.select(F.explode(F.array("home_id", "away_id")).alias("team_id"))
     for t in tables:
         played = played.unionByName(t.select("team_id"))
-    idle = closed.join(_dealt(played.distinct()), F.col("source_id") == F.col("team_id"), "left_anti")
-    busy = kept(closed.join(_dealt(idle.select("source_id")), "source_id", "left_anti"))
-    missing = busy.join(_dealt(teams.select("team_id")), F.col("target_id") == F.col("team_id"), "left_anti")
+    idle = closed.join(dealt(played.distinct()), F.col("source_id") == F.col("team_id"), "left_anti")
+    busy = kept(closed.join(dealt(idle.select("source_id")), "source_id", "left_anti"))
+    missing = busy.join(dealt(teams.select("team_id")), F.col("target_id") == F.col("team_id"), "left_anti")
     ends = busy.unionByName(busy.select(F.col("target_id").alias("source_id"), "target_id").distinct())
-    h, a = (_dealt(ends.select(F.col("source_id").alias(c), F.col("target_id").alias(f"{c}_end"))) for c in ("home_id", "away_id"))
+    h, a = (dealt(ends.select(F.col("source_id").alias(c), F.col("target_id").alias(f"{c}_end"))) for c in ("home_id", "away_id"))
     met = games.join(h, "home_id").join(a, "away_id").filter("home_id_end = away_id_end").select(F.col("home_id_end").alias("target_id")).distinct()
     reasons = cyclic.select("source_id", F.lit("cycle").alias("reason"), F.lit(0).alias("p")).unionByName(missing.select("source_id", F.lit("missing target").alias("reason"), F.lit(1).alias("p")))
-    reasons = reasons.unionByName(busy.join(_dealt(met), "target_id", "left_semi").select("source_id", F.lit("met").alias("reason"), F.lit(2).alias("p")))
+    reasons = reasons.unionByName(busy.join(dealt(met), "target_id", "left_semi").select("source_id", F.lit("met").alias("reason"), F.lit(2).alias("p")))
     reasons = reasons.unionByName(idle.select("source_id", F.lit("nothing to move").alias("reason"), F.lit(3).alias("p")))
     refused = kept(reasons.groupBy("source_id").agg(F.min_by("reason", "p").alias("reason")))
-    return busy.join(_dealt(refused), "source_id", "left_anti"), refused
+    return busy.join(dealt(refused), "source_id", "left_anti"), refused
 
 
 def repointed(rows: DataFrame, columns: list[str], moves: DataFrame) -> DataFrame:
     """rows with team columns by closed moves, and `_moved` where the first of them changed."""
     out = rows
     for i, c in enumerate(columns):
-        m = _dealt(moves.select(F.col("source_id").alias("_s"), F.col("target_id").alias("_t")))
+        m = dealt(moves.select(F.col("source_id").alias("_s"), F.col("target_id").alias("_t")))
         out = out.join(m, F.col(c) == F.col("_s"), "left")
         if not i:
             out = out.withColumn("_moved", F.col("_t").isNotNull())
@@ -86,7 +81,7 @@ def merge_all(tables: dict[str, DataFrame], moves: DataFrame) -> dict[str, DataF
     left_id, right_id, finding_type, status): those of a team with itself are done with, and of equal ones the first stays. In each table a target's own row comes before moved ones.
     """
     out = {}
-    t = tables["teams"].join(_dealt(moves.select("source_id")), F.col("team_id") == F.col("source_id"), "left_anti")
+    t = tables["teams"].join(dealt(moves.select("source_id")), F.col("team_id") == F.col("source_id"), "left_anti")
     links = ["predecessor_id", "successor_id"]
     t = repointed(t, links, moves).drop("_moved")
     out["teams"] = t.withColumns({c: F.when(F.col(c) != F.col("team_id"), F.col(c)) for c in links})

@@ -33,6 +33,11 @@ def kept(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """rows as a side of a join that is an exchange of both sides: kept files of ids and names are small enough to be broadcast long after the driver can't hold several of them."""
+    return rows.hint("merge")
+
+
 class Folder:
     """A folder of any file system that Spark reaches."""
 

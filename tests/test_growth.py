@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import random
+import re
 import sys
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
 from courtfold.functions import text as T
+from courtfold.operators import health as H
 from courtfold.operators import identity as I
 from courtfold.operators import merges as M
 from courtfold.operators import rating as E
@@ -206,6 +208,29 @@ def test_moves_of_teams_never_go_through_the_driver(spark):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_findings_about_teams_never_go_through_the_driver(spark, monkeypatch):
+    made = []
+    for m in (I, H):
+        monkeypatch.setattr(m, "kept", lambda df, own=m.kept: made.append(df) or own(df))
+    i = F.col("id")
+    name = F.upper(F.substring(F.md5(F.floor(i / 2).cast("string")), 1, 12))
+    teams = spark.range(40).select(i.alias("team_id"), F.concat(F.lit("Club "), i).alias("team_name"), F.when(i % 3 > 0, "FR").alias("country"), F.lit(True).alias("is_active"))
+    aliases = spark.range(40).select(i.alias("team_id"), F.lit("s").alias("source"), F.floor(i / 8).cast("string").alias("source_team_id"), name.alias("alias_name"))
+    games = spark.range(40).select(i.alias("game_id"), i.alias("home_id"), ((i + 3) % 40).alias("away_id"), (7 + F.floor(i / 40)).alias("competition_id"), (2000 + i % 2).cast("string").alias("season"), F.lit(date(2000, 5, 1)).alias("game_date"))
+    leagues = spark.createDataFrame([(7, "FR")], "competition_id long, country string")
+    seasons = spark.createDataFrame([(7, "2000", date(2000, 1, 1), date(2000, 12, 1)), (7, "2001", date(2001, 1, 1), date(2001, 12, 1))], "competition_id long, season string, first date, last date")
+    decided = spark.range(0, 40, 4).select(F.concat(F.lit("x"), i).alias("decision"), F.lit("keep_separate").alias("action"), i.alias("left_id"), (i + 1).alias("right_id"))
+    found = H.undecided(H.all_findings(teams, aliases, games, leagues, seasons), decided)
+    first = H.review_candidates(found.withColumn("status", F.lit("open")), teams, aliases, games)
+    assert {r.left_id for r in first.collect()} == set(range(2, 40, 4))
+    joins = lambda df: re.findall(r"\w+Join\b", df._jdf.queryExecution().sparkPlan().toString())
+    assert made and {j for df in made for j in joins(df)} == {"SortMergeJoin"}
+    # only competitions, and seasons to the games of either side, may be broadcast, as they don't grow with the teams
+    for df in (found, first):
+        others = [j for j in joins(df) if j != "SortMergeJoin"]
+        assert others == ["BroadcastHashJoin"] * len(others) and len(others) <= 3
+
+
 def test_the_replay_makes_no_row_objects_of_games(spark, monkeypatch):
     games = spark.range(200).select(
         F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("pool"), F.date_add(F.lit("2000-01-01").cast("date"), (F.col("id") / 4).cast("int")).alias("game_date"), F.lit("s").alias("source"),

@@ -99,6 +99,17 @@ def _plain_duplicates(games, days):
     return {(i, b[2], b[0], b[3]) for i, b in all_.items() if b and i < b[2] and all_[b[2]] and all_[b[2]][2] == i}
 
 
+def test_pairs_of_two_large_kinds_are_dealt_to_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(I, "TOGETHER", 32, raising=False)
+    i = F.col("id")
+    year = F.when(i < 300, 1990).otherwise(1991)
+    spans = spark.range(600).select(i.alias("team_id"), F.lit("here").alias("place"), F.make_date(year, F.lit(1), F.lit(1)).alias("first"), F.make_date(year, F.lit(12), F.lit(31)).alias("last"))
+    rows = I.succeeding(spans, spark.range(600).select(i.alias("team_id"), F.lit("RED RING").alias("name"))).withColumn("task", F.spark_partition_id()).collect()
+    assert sorted((r.earlier_id, r.later_id, r.gap) for r in rows) == [(a, b, 1) for a in range(300) for b in range(300, 600)]
+    tasks = [r.task for r in rows]
+    assert max(tasks.count(t) for t in set(tasks)) < len(rows) / 3
+
+
 def test_near_duplicates_are_those_of_all_pairs(spark):
     for seed in range(3):
         rng = random.Random(seed)

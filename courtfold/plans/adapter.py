@@ -72,6 +72,9 @@ def dealt(rows: DataFrame, *keys) -> DataFrame:
     return rows.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
 
 
+#: Rows of a row group of pages: a reader holds as many rows at once as a row group has, up to 4096, and pages are long.
+PAGES = {"parquet.block.row.count.limit": 128}
+
 _written: dict[tuple, str] = {}
 
 
@@ -91,10 +94,10 @@ def _shared(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
 
 
-def written(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+def written(spark: SparkSession, sf_dir: str, name: str, make, **options) -> DataFrame:
     """A table that make() gives over a folder's tables, written once for each state of them in the folder of spark.checkpoint.dir and read from there; made anew where no such folder is set.
 
-    The table of an earlier state is deleted when one of a new state is written.
+    The table of an earlier state is deleted when one of a new state is written. options are the writer's.
     """
     shared = _shared(spark)
     if not shared:
@@ -103,7 +106,7 @@ def written(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     key = (*own, state_of(spark, sf_dir))
     if key not in _written:
         made, path = make(), f"{shared.rstrip('/')}/courtfold-{uuid.uuid4().hex}"
-        made.write.parquet(path)
+        made.write.options(**options).parquet(path)
         for old in [k for k in _written if k[:3] == own]:
             gone = spark._jvm.org.apache.hadoop.fs.Path(_written.pop(old))
             gone.getFileSystem(spark._jsc.hadoopConfiguration()).delete(gone, True)

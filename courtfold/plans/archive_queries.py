@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import archive as S
 from ..sources import files
-from .adapter import dealt, piece_of, view, with_views, written
+from .adapter import PAGES, dealt, piece_of, view, with_views, written
 from .registry import query
 
 #: Games on an archive's pages: finals by week, the others by page, some cards once more on a later page with another score, some without score or team.
@@ -55,7 +55,7 @@ def _archive(spark, sf_dir):
         editions.select(league, F.lit(2050).alias("edition"), F.when(F.col("competition_id") > 1, F.lit("/seed/none")).alias("seed")).distinct())
     null = F.lit(None).cast("string")
     slugs = editions.select(league, F.concat(F.lit("cup-"), "competition_id").alias("slug"), F.when(F.col("competition_id") == 0, "group").alias("keep"), null.alias("leave")).distinct()
-    saved = lambda name, rows: written(spark, sf_dir, name, lambda: rows)
+    saved = lambda name, rows: written(spark, sf_dir, name, lambda: rows, **PAGES)
     return S.read_editions(wanted, slugs, saved("archive pages", pages.unionByName(seeds)), saved("archive parts", parts))
 
 

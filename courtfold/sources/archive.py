@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.store import dealt, kept
+
 #: Stages by the order in which their pages are read; others come last. Fixed values.
 STAGE_ORDER = {
     "final-round": 0, "group-stage": 0, "main-round": 1, "11th-place": 1, "classification-round": 2, "second-stage": 2, "9th-place": 2, "classification-stage": 3, "15th-place": 3, "7th-place": 3,
@@ -18,6 +20,9 @@ STAGE_NAMES = {
 }
 NO_FINAL_SCORE = "source_missing_final_score"  # fixed value
 
+#: Pages are met by so many keys at most without being moved. Fixed value.
+KEYS = 100_000
+
 LINK = r"""(?i)<a\b[^>]*?\bhref\s*=\s*["'](?:https?:)?(?://[^/"']+)?(/?competition/basketball/[^"'?#]+)"""
 STAGE = r"(?i)competition/basketball/([^/]+?)-(\d{4})(?:-[^/]+)?/([^/]+)/(\d+)/"
 CARD = r"""(?is)<a\b[^>]*?\bhref\s*=\s*["'][^"']*/match/basketball/.*?</a>"""
@@ -59,6 +64,11 @@ def _in_pieces(pages: DataFrame) -> DataFrame:
     return pages if "piece" in pages.columns else pages.withColumn("piece", F.lit(0))
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """Kept keys as the right side of a join with pages: up to KEYS go to where the pages lie; more are exchanged with them, and pages are streamed past. Neither way holds the pieces of a page at once, as a join that broadcasts pages or keeps those of one key would."""
+    return F.broadcast(keys) if keys.count() <= KEYS else dealt(keys)
+
+
 def edition_stages(wanted: DataFrame, slugs: DataFrame, pages: DataFrame) -> DataFrame:
     """Stages of wanted(league, edition, seed): those that the seed's page links to, and those that the page of the first of them does.
 
@@ -66,32 +76,35 @@ def edition_stages(wanted: DataFrame, slugs: DataFrame, pages: DataFrame) -> Dat
     dealt to several leagues. pages(path, body) are those that are on disk; only the pages that are followed are searched for links.
     """
     def followed(start):
-        links = stage_links(pages.join(start.select(F.col("page").alias("path")).distinct(), "path", "left_semi"))
+        links = stage_links(pages.join(_few(kept(start.select(F.col("page").alias("path")).distinct())), "path", "left_semi"))
         own = start.join(slugs, "league").join(links, ["page", "slug", "edition"])
-        kept = F.coalesce(F.regexp_like("stage", F.col("keep")), F.lit(True)) & ~F.coalesce(F.regexp_like("stage", F.col("leave")), F.lit(False))
+        mine = F.coalesce(F.regexp_like("stage", F.col("keep")), F.lit(True)) & ~F.coalesce(F.regexp_like("stage", F.col("leave")), F.lit(False))
         order = F.coalesce(_values({k: F.lit(v) for k, v in STAGE_ORDER.items()}, F.col("stage")), F.lit(8)).alias("stage_order")
-        return own.filter(kept).select("league", "edition", "path", "stage", "round_id", order).distinct()
+        return own.filter(mine).select("league", "edition", "path", "stage", "round_id", order).distinct()
 
-    found = followed(wanted.filter("seed is not null").select("league", "edition", F.col("seed").alias("page")))
+    found = kept(followed(wanted.filter("seed is not null").select("league", "edition", F.col("seed").alias("page"))))
     first = found.groupBy("league", "edition").agg(F.min_by("path", F.struct("stage_order", F.lower("path"))).alias("page"))
-    return found.unionByName(followed(first)).distinct()
+    return kept(found.unionByName(followed(first)).distinct())
 
 
-def wanted_parts(stages: DataFrame, pages: DataFrame) -> DataFrame:
-    """What the stages' own pages say there is: (league, edition, .., body, kind, number), kind `stage` for the page itself (body null: not on disk), `page` and `week` for the other ones.
+def wanted_parts(stages: DataFrame, pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The stages' own pages that are on disk (league, edition, .., piece, kind, number, body), kind `stage`, and all others without text: kind `stage` for pages that aren't on disk, `page` and `week` for those that the own pages name.
 
-    Pages are numbered from 0 to the most that a control names, weeks from 1; the page's own page and week aren't wanted again. Of a page in pieces one has all controls.
+    Pages are numbered from 0 to the most that a control names, weeks from 1; the page's own page and week aren't wanted again. Of a page in pieces one has all controls. stages are kept.
     """
     most = F.array_max(F.transform(F.regexp_extract_all("body", F.lit(r"(?i)changePage\([^,]+,\s*(\d+)\)"), F.lit(1)), lambda x: x.try_cast("int")))
     field = lambda name, otherwise: F.coalesce(_group(F.col("body"), rf"""(?i)id=["']{name}["']\s+value=["'](\d+)["']""").try_cast("int"), F.lit(otherwise))
-    read = _once(stages.join(_in_pieces(pages).select("path", "piece", "body"), "path", "left"), {
-        "n_pages": F.coalesce(most, F.lit(1)), "own_page": field("cur_page", 0), "n_weeks": F.greatest(field("maxweek", 1), F.lit(1)), "own_week": field("curweek", 1)})
+    columns = ["league", "edition", "path", "stage", "stage_order", "round_id", "piece"]
+    stage = [F.lit("stage").alias("kind"), F.lit(0).alias("number")]
+    own = _in_pieces(pages).select("path", "piece", "body").join(_few(stages), "path").select(*columns, "body")
+    there = own.filter("body is not null")
+    read = _once(there, {"n_pages": F.coalesce(most, F.lit(1)), "own_page": field("cur_page", 0), "n_weeks": F.greatest(field("maxweek", 1), F.lit(1)), "own_week": field("curweek", 1)}).drop("body")
     upto = lambda kind, first, last, own: F.transform(
         F.array_remove(F.when(last >= first, F.sequence(F.lit(first), last)).otherwise(F.array().cast("array<int>")), F.col(own)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("number")))
-    own = F.array(F.struct(F.lit("stage").alias("kind"), F.lit(0).alias("number")))
-    others = F.concat(upto("page", 0, F.col("n_pages") - 1, "own_page"), upto("week", 1, F.col("n_weeks"), "own_week"))
-    parts = F.inline(F.when(F.col("body").isNull(), own).otherwise(F.concat(own, others)))
-    return read.select("league", "edition", "path", "stage", "stage_order", "round_id", "piece", "body", parts).withColumn("body", F.when(F.col("kind") == "stage", F.col("body")))
+    others = read.select(*columns, F.inline(F.concat(upto("page", 0, F.col("n_pages") - 1, "own_page"), upto("week", 1, F.col("n_weeks"), "own_week"))))
+    gone = stages.join(dealt(pages.select("path").distinct()), "path", "left_anti").withColumn("piece", F.lit(None).cast(own.schema["piece"].dataType))
+    gone = gone.select(*columns).unionByName(own.filter("body is null").select(*columns)).select(*columns, *stage)
+    return there.select(*columns, *stage, "body"), kept(others.unionByName(gone))
 
 
 def match_cards(parts: DataFrame, teams: DataFrame | None = None) -> DataFrame:
@@ -133,9 +146,12 @@ def read_editions(wanted: DataFrame, slugs: DataFrame, pages: DataFrame, parts:
     an edition the last counts, by stages in order, then own page, pages, weeks. Games without final score wait as score_pending. Gaps are (league, edition, path, kind, number, reason).
     """
     stages = edition_stages(wanted, slugs, pages)
-    needed = wanted_parts(stages, pages)
-    got = _in_pieces(parts).select("round_id", "kind", "number", F.col("body").alias("fetched"), F.col("piece").alias("own_piece"))
-    read = needed.join(got, ["round_id", "kind", "number"], "left").withColumns({"body": F.coalesce("body", "fetched"), "piece": F.coalesce("own_piece", "piece")}).drop("fetched", "own_piece")
+    texts, needed = wanted_parts(stages, pages)
+    keys = ["round_id", "kind", "number"]
+    got = _in_pieces(parts).select(*keys, "body", F.col("piece").alias("own_piece"))
+    fetched = got.join(_few(needed), keys).withColumn("piece", F.coalesce("own_piece", "piece")).drop("own_piece")
+    # pages are short to send and long to read, so tasks by size would be too few
+    read = texts.unionByName(fetched.filter("body is not null")).repartition(4 * texts.sparkSession.sparkContext.defaultParallelism, "path", "kind", "number", "piece")
     cards = match_cards(read, teams)
     place = F.struct("stage_order", F.lower("path"), F.when(F.col("kind") == "stage", 0).when(F.col("kind") == "page", 1).otherwise(2), "number", "piece", "at")
     last = Window.partitionBy("league", "edition", "match_id").orderBy(place.desc())
@@ -154,7 +170,7 @@ def read_editions(wanted: DataFrame, slugs: DataFrame, pages: DataFrame, parts:
     lost = known.join(seeds, "seed", "left").select(
         "league", "edition", F.col("seed").alias("path"), F.lit("edition").alias("kind"), F.lit(0).alias("number"),
         F.when(F.col("seed").isNull(), "no page is known").when(F.col("there").isNull(), "not on disk").otherwise("no stage is linked").alias("reason"))
-    absent = read.filter("body is null").select("league", "edition", "path", "kind", "number", F.lit("not on disk").alias("reason"))
+    absent = needed.join(dealt(got.select(*keys).distinct()), keys, "left_anti").unionByName(fetched.filter("body is null").drop("body")).select("league", "edition", "path", "kind", "number", F.lit("not on disk").alias("reason"))
     unread = cards.filter("problem is not null").select("league", "edition", F.coalesce("href", none).alias("path"), F.lit("card").alias("kind"), F.coalesce(F.col("match_id").try_cast("int"), F.lit(0)).alias("number"), F.col("problem").alias("reason"))
     return games, lost.unionByName(absent).unionByName(unread)
 

@@ -7,7 +7,9 @@ import random
 import re
 import sys
 from datetime import date, datetime, timedelta
+from pathlib import Path
 
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from courtfold.functions import text as T
@@ -16,6 +18,8 @@ from courtfold.operators import identity as I
 from courtfold.operators import merges as M
 from courtfold.operators import rating as E
 from courtfold.operators.ingest import nearest_in_time
+from courtfold.plans import adapter
+from courtfold.sources import archive as A
 from courtfold.sources import files as S
 
 
@@ -155,8 +159,6 @@ def test_wikitext_left_open_is_read_in_proportion():
 
 
 def test_archive_pages_in_pieces_are_one_page(spark):
-    from courtfold.sources import archive as A
-
     card = lambda i, score: f'<a href="/match/basketball/2001-02-0{i}/a/{i}/"><div class="gsa-c-match-c1">8:30</div><div class="gsa-c-match-c2"><span class="team_full">A</span></div><div class="gsa-c-match-c3"> {score} </div><div class="gsa-c-match-c4"><span class="team_full">B</span></div></a>'
     path = "/competition/basketball/cup-2000-x/group-stage/5/"
     wanted = spark.createDataFrame([("L", 2000, "/seed"), ("L", 2001, "/bare")], "league string, edition int, seed string")
@@ -168,6 +170,40 @@ def test_archive_pages_in_pieces_are_one_page(spark):
     assert sorted((r.kind, r.number, r.reason) for r in gaps.collect()) == [("edition", 0, "no stage is linked"), ("page", 2, "not on disk")]
 
 
+def test_pieces_of_a_page_are_never_held_together(spark):
+    path = "/competition/basketball/cup-2020/final/7/"
+    card = lambda i: f'<a href="/match/basketball/2001-03-04/a/{i}/"><div class="gsa-c-match-c2"><span class="gsa-c-team_full">A</span></div><div class="gsa-c-match-c3">80 : 70</div><div class="gsa-c-match-c4"><span class="gsa-c-team_full">B</span></div></a>'
+    control = '<i onclick="changePage(1, 3)"></i><input id="cur_page" value="0">'
+    pages = [("/seed", -1, f"<a href='{path}'>x</a>"), (path, -1, control), *[(path, i, card(i)) for i in range(40)], (path, 40, None)]
+    parts = [("7", "page", 1, i, card(100 + i)) for i in range(40)] + [("7", "page", 1, 40, None), ("8", "page", 1, 1, card(999))]
+    games, gaps = A.read_editions(
+        spark.createDataFrame([("cup", 2020, "/seed")], "league string, edition int, seed string"), spark.createDataFrame([("cup", "cup", None, None)], "league string, slug string, keep string, leave string"),
+        spark.createDataFrame(pages, "path string, piece long, body string"), spark.createDataFrame(parts, "round_id string, kind string, number int, piece long, body string"))
+    assert {r.source_game_id for r in games.collect()} == {f"gsa-{i + k}" for i in range(40) for k in (0, 100)}
+    assert sorted(map(tuple, gaps.filter("kind <> 'card'").collect())) == [("cup", 2020, path, *k, "not on disk") for k in (("page", 1), ("page", 2), ("stage", 0))]
+    # neither broadcast nor sorted, as for a join
+    for df in (games, gaps):
+        todo = [df._jdf.queryExecution().executedPlan()]
+        while todo:
+            node = todo.pop()
+            name = node.getClass().getSimpleName()
+            if name == "AdaptiveSparkPlanExec":
+                todo.append(node.executedPlan())
+                continue
+            names = {node.output().apply(i).name() for i in range(node.output().size())}
+            assert name not in ("BroadcastExchangeExec", "SortExec") or not {"body", "fetched"} & names
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
+def test_written_pages_are_read_by_few_rows_at_once(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(adapter, "_shared", lambda _: f"{tmp_path}/shared")
+    spark.range(600).write.parquet(f"{tmp_path}/sf/t.parquet")
+    rows = spark.range(0, 600, 1, 1).select(F.col("id").alias("path"), F.repeat(F.lit("text "), 100).alias("body"))
+    assert adapter.written(spark, f"{tmp_path}/sf", "pages", lambda: rows, **adapter.PAGES).count() == 600
+    groups = [m.row_group(i).num_rows for p in Path(tmp_path, "shared").rglob("*.parquet") for m in [pq.ParquetFile(p).metadata] for i in range(m.num_row_groups)]
+    assert sum(groups) == 600 and max(groups) <= 128
+
+
 def test_official_pages_in_pieces_are_one_page(spark):
     from courtfold.sources import archive as A
 
